@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing, quality, token_counts, warc
+from tessera.llm import bpe, embeddings, html, language, minhash, packing, quality, secrets, token_counts, warc
 from tessera.llm._shared import table
 
 
@@ -23,6 +23,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(F.col(f"q_{f}").alias(f) for f in quality.FEATURES), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.round("q_posterior", 6).alias("posterior"))
 
 
+def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    count = lambda k: F.size(F.filter("s_base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.as_text("s_base"), 256).alias("base_sha256"), secrets.as_text("s_spans").alias("spans"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -31,10 +41,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words_each=3, percent=85)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.select("doc_id", "text"), language.train(docs))
@@ -47,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_byte_bpe, op5_packing, op7_token_counts, op9_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_duplicates, op3_secret_scan, op4_byte_bpe, op5_packing, op6_minhash_duplicates, op7_token_counts, op8_html_text, op9_language_id, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

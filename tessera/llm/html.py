@@ -219,7 +219,7 @@ class ContentModel:
     weights: np.ndarray
     pair: list[list[float]]
 
-    def text(self, html: str | None, least: float = 0.5) -> str:
+    def text(self, html: str | None, least: float = 0.4) -> str:
         """Blocks of the page's content nodes in page order, one a line."""
         if not html:
             return ""

@@ -8,18 +8,19 @@ left the last token is taken back and its start barred. Each place is barred onc
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm._vocab import CACHE_CHARS, CACHE_WORDS, pre_tokens, read_ranks
 from tessera.llm._shared import map_batches
 
-_PAIRS = 2_000_000
+#: Known token pairs that a worker keeps.
+_PAIRS = 500_000
 
 
 class BytePairEncoder:
@@ -167,9 +168,21 @@ def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFra
     return map_batches(encoded, run, f"{fields}, decoded binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document ``n_tokens`` and the SHA-256 of the ids and of the text decoded from them."""
-    both = decode_ids(encode_texts(docs, vocabulary), vocabulary)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them.
 
+    Encodes and decodes in one pass, so that a task has one worker with one vocabulary.
+    """
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = encoder(vocabulary)
+        counts, of_ids, of_text = [], [], []
+        for t in batch.column(1):
+            ids = own.encode(t.as_py() or "")
+            counts.append(len(ids) // 4)
+            of_ids.append(hashlib.sha256(ids).hexdigest())
+            of_text.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(id_col, text), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

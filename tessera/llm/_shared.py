@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Set only where the session names no checkpoint folder (tests, local runs).
 _LOCAL_DIR: list[str] = []
@@ -52,5 +53,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def as_row(names: list[str]) -> Column:
+    """The columns ``names`` as one struct ``__row``, so that they can't clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("__")).alias("__row")
+
+
+def from_row(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """The columns in ``__row`` again, and the new ones; a new one replaces an old one of its name."""
+    taken = {c.lower() for c in new}
+    old = [c for c in df.schema["__row"].dataType.names if c != "__" and c.lower() not in taken]
+    return df.select(*(F.col("__row").getField(c).alias(c) for c in old), *(v.alias(c) for c, v in new.items()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

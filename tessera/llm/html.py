@@ -346,9 +346,10 @@ def extract(pages: DataFrame, html: str = "html", into: str = "main_text", model
     """``pages`` with the main text of ``html`` in the column ``into`` (empty if there is none).
 
     A null or empty html has an empty text. White space inside a block becomes one space; blocks are joined by one line
-    feed in page order. Nulls and repeated rows stay; other columns are untouched and a column named ``into`` must not
-    exist; an empty table gives an empty result. The model has a fixed size, whatever the table, and goes with the tasks.
+    feed in page order. Nulls and repeated rows stay; other columns are untouched, but one named ``into`` is
+    replaced; an empty table gives an empty result. The model has a fixed size, whatever the table, and goes with the tasks.
     """
+    pages = pages.drop(into)
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
     place = pages.columns.index(html)
 

@@ -142,6 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     text is read; rows with nulls elsewhere and repeated rows are scored alike; an empty table gives an empty result.
     The model has a fixed size and goes out with the tasks.
     """
+    docs = docs.drop(f"{prefix}lang_pred", f"{prefix}score")  # replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place, names = docs.columns.index(text), [f"{prefix}lang_pred", f"{prefix}score"]
 

@@ -15,7 +15,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import stored
+from tessera.llm._shared import as_row, from_row, stored
 
 #: Kinds and patterns of the base rules. Runs of a class match whole, so their least lengths are in the
 #: pattern; a short assignment still uses up its text and is dropped afterwards.
@@ -133,14 +133,13 @@ def _score(hit: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns, ``__text`` if carried, and the found and tested spans."""
-    names = docs.columns if carry is None else carry
-    df = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    """The ``carry`` columns as the struct ``__row``, and the found and tested spans."""
+    df = docs.select(as_row(docs.columns if carry is None else carry), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", CANDIDATE)):
         df = _find(df, name, pattern)
     long_enough = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= MIN_ASSIGNED)
     plain = lambda a: F.transform(a, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
-    df = df.select(*names, plain(long_enough).alias("__assign"), plain(F.col("__access")).alias("__access"), plain(F.col("__hex")).alias("__hex"), "__random")
+    df = df.select("__row", plain(long_enough).alias("__assign"), plain(F.col("__access")).alias("__access"), plain(F.col("__hex")).alias("__hex"), "__random")
     base = lambda s: F.exists(F.concat("__assign", "__access", "__hex"), lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"]))
     # slashes alone make paths: a candidate has letters, and digits or both cases
     mixed = lambda h: h.rlike("[A-Za-z]") & (h.rlike("[0-9].*[0-9]")) & ~h.rlike("^(.)\\1*$")
@@ -192,16 +191,15 @@ def find_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None =
 
     Both are arrays of ``(begin, kind, end)`` by begin, then kind as listed in ``KINDS`` (by number), in code points,
     end exclusive: the base matches, and these with the random tokens that overlap none of them. A null text counts as
-    empty. Nulls, repeated rows and other columns stay as they are; an empty table gives an empty result; names that
-    begin with ``__`` or ``s_`` are reserved. Spans are stored once and read for the control and for the result.
+    empty. Nulls, repeated rows and other columns stay as they are, but one named ``s_base`` or
+    ``s_spans`` is replaced; an empty table gives an empty result. Spans are stored once and read for the control and for the result.
     """
-    names = docs.columns if carry is None else carry
     scanned = stored(scan(docs, text, carry), "spans")
     least = control(scanned, fdr)
     tag = lambda a, k: F.transform(a, lambda s: F.struct(s["begin"].alias("begin"), F.lit(k).alias("kind"), s["end"].alias("end")))
     base = F.concat(*(tag(F.col(f"__{name}"), k) for k, name in enumerate(KINDS[:3])))
     more = tag(F.filter("__random", lambda s: s["t"]["p"] > least.of(s["t"]["encoding"], s["t"]["size"])), 3)
-    return scanned.select(*(F.col(f"`{c}`") for c in names), F.array_sort(base).alias("s_base"), F.array_sort(F.concat(base, more)).alias("s_spans"))
+    return from_row(scanned, {"s_base": F.array_sort(base), "s_spans": F.array_sort(F.concat(base, more))})
 
 
 def as_text(spans: str) -> Column:
@@ -212,15 +210,19 @@ def as_text(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", fdr: float = 0.1) -> DataFrame:
     """``docs`` with every found span replaced by ``PLACEHOLDER``; overlapping spans are replaced as one."""
-    found = find_secrets(docs, text, fdr=fdr)
-    # the spans' union, as (begin, end) in order
-    start = F.array().cast("array<struct<begin:int,end:int>>")
-    grow = lambda a, s: F.when(
-        (F.size(a) > 0) & (s["begin"] <= F.element_at(a, -1)["end"]),
-        F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.element_at(a, -1)["begin"].alias("begin"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(a, F.array(F.struct(s["begin"].alias("begin"), s["end"].alias("end")))))
-    merged = found.select(*docs.columns, F.when(F.size("s_spans") > 0, F.aggregate("s_spans", start, grow)).alias("s_cuts"))
-    t = F.col(f"`{text}`")
-    parts = F.transform("s_cuts", lambda s, i: F.concat(t.substr(F.coalesce(F.get("s_cuts", i - 1)["end"], F.lit(0)) + 1, s["begin"] - F.coalesce(F.get("s_cuts", i - 1)["end"], F.lit(0))), F.lit(PLACEHOLDER)))
-    rest = t.substr(F.element_at("s_cuts", -1)["end"] + 1, F.length(t))
-    return merged.select(*(F.coalesce(F.when(F.col("s_cuts").isNotNull(), F.concat(F.array_join(parts, ""), rest)), t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    packed = docs.select(as_row(docs.columns), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = find_secrets(packed, fdr=fdr)
+    # the spans' union, as (begin, end) in order: a cut begins where a span begins after all ends before it
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
+    grow = lambda a, s: F.struct(
+        F.greatest(a["reach"], s["end"]).alias("reach"),
+        F.when(s["begin"] > a["reach"], F.concat(a["out"], F.array(F.struct(s["begin"].alias("begin"), s["end"].alias("end")))))
+        .otherwise(F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.struct(F.element_at(a["out"], -1)["begin"].alias("begin"), F.greatest(a["reach"], s["end"]).alias("end"))))).alias("out"),
+    )
+    cuts = F.when(F.size("s_spans") > 0, F.aggregate("s_spans", start, grow, lambda a: a["out"]))
+    merged = found.select("__row", "text", cuts.alias("s_cuts"))
+    after = lambda i: F.coalesce(F.get("s_cuts", i - 1)["end"], F.lit(0))
+    parts = F.transform("s_cuts", lambda s, i: F.concat(F.col("text").substr(after(i) + 1, s["begin"] - after(i)), F.lit(PLACEHOLDER)))
+    rest = F.col("text").substr(F.element_at("s_cuts", -1)["end"] + 1, F.length("text"))
+    clean = F.when(F.col("s_cuts").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("__row").getField(text))
+    return from_row(merged, {text: clean}).select(*(F.col(f"`{c}`") for c in docs.columns))

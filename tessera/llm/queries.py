@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, embeddings, html, language, minhash, packing, quality, secrets, token_counts, warc
 from tessera.llm._shared import table
+from tessera.llm.sql import ORACLE
 
 
 def vocabulary(name: str) -> str:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

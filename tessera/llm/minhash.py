@@ -171,7 +171,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     own = stored(sketches(docs, id_col, text, words_each), "sketches")
     usable = own.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    classes = stored(usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).select("rep", "bands").dropDuplicates(["rep", "bands"]), "classes")
+    # stored, so that the later join with it has a shuffle of its own on either side and Spark can split a large class
+    named = stored(usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = named.select("rep", "bands")
     placed = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     shared = placed.groupBy("band", "value").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
     met = stored(placed.join(shared, ["band", "value"]).select("band", "value", "rep", "center", "n"), "met")
@@ -192,7 +194,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     more = stored(rest.groupBy("band", "value", "left", "right").applyInArrow(_block_links(percent), f"u {kind}, v {kind}"), "more")
     final = comps if more.isEmpty() else components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    named = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
-    placed_rows = own.join(named, "set_key", "left").join(final, F.col("rep") == F.col("node"), "left")
+    placed_rows = own.join(named.select("set_key", "rep"), "set_key", "left").join(final, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return placed_rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

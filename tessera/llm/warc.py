@@ -119,8 +119,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least_bytes
     first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = first.where("n > 1").select("digest", "first_id")
-    # a hint-free join: Spark broadcasts the shared digests only if they are small
+    # stored, so that Spark knows its size, broadcasts it only if that is small, and else can split a frequent digest
+    shared = stored(first.where("n > 1").select("digest", "first_id"), "digests")
     framed = rows.join(shared, "digest", "left").withColumn("first_id", F.when(large, F.col("first_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

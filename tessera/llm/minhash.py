@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import map_batches, stored
 from tessera.llm.graph import components
 
-#: Bands of signature values, and values in a band. A pair with Jaccard 0.85 meets in none with probability 4e-7.
-BANDS, ROWS = 25, 5
+#: Bands of signature values, and values in a band. A pair with Jaccard 0.85 meets in none with probability 7e-9, one with 0.8 with 3e-6.
+BANDS, ROWS = 32, 5
 #: Classes in a block of the comparison that follows the stars.
 BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -281,3 +281,10 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["line"] for r in spark.table("sliced").collect()] == ["x error"]
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path):
+    from tessera import session
+
+    df = session.written(spark.range(3), "x")
+    assert df.count() == 3 and session.shared_folder(spark).startswith("file:")

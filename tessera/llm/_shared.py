@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,37 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Set only where the session names no checkpoint folder (tests, local runs).
-_LOCAL_DIR: list[str] = []
+from tessera.session import shared_folder, written as stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a trailing slash.
-
-    It is the session's ``spark.checkpoint.dir``; a local temporary folder stands in only where that is unset.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="spark-"))
-    return f"file://{_LOCAL_DIR[0]}"
+__all__ = ["as_row", "from_row", "map_batches", "new_path", "stored", "table"]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts lineage and survives the loss of any executor. The table is removed with the application's folder.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -9,11 +9,11 @@ is one sparse presence matrix times their product, a columns-by-languages matrix
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from tessera.llm._shared import map_batches
 
 #: Columns that n-grams are hashed to.
 COLUMNS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Characters looked at together; bounds the memory for very long texts.
 _BLOCK = 1 << 20
 UNKNOWN = "und"

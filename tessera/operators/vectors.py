@@ -167,3 +167,17 @@ def same_hits(a: DataFrame, b: DataFrame, tol: float = 1e-5) -> bool:
     both = ranked(a, "a").join(ranked(b, "b"), "rank", "full_outer")
     differ = F.col("a").isNull() | F.col("b").isNull() | (F.col("a.doc_id") != F.col("b.doc_id")) | (F.abs(F.col("a.score") - F.col("b.score")) > tol)
     return both.where(differ).isEmpty()
+
+
+def encode_payloads(vectors: DataFrame, explicit_id: str | None = "doc_id", vector: str = "vector") -> DataFrame:
+    """Adds ``payload``, the inverse of ``decode_payloads``; a null id is left out of the bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(vector)).to_pylist()
+            ids = [None] * len(values) if explicit_id is None else batch.column(batch.schema.get_field_index(explicit_id)).to_pylist()
+            raw = [None if v is None else struct.pack(f"<I{len(v)}f", len(v), *v) + (b"" if i is None else struct.pack("<Q", i)) for v, i in zip(values, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "payload"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return vectors.mapInArrow(run, f"{fields}, payload binary")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.checksum import crc32c
 from tessera.functions.formulas import predict
 from tessera.functions.text import snippet
 from tessera.functions.vectors import dot, l2_norm
@@ -19,7 +21,10 @@ from tessera.operators import series as W
 from tessera.operators import topics as L
 from tessera.operators import vectors as V
 from tessera.operators.ids import dense_ids
-from tessera.sources.files import path_summary
+from tessera.session import shared_folder
+from tessera.sources import files as S
+from tessera.sources import tables as T
+from tessera.streaming import jobs
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -242,7 +247,10 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    return _ops_of(table(spark, sf_dir, "events"))
+
+
+def _ops_of(events: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type").isin("click", "view", "signup"), "SADD").otherwise("SREM")
     name = F.concat(F.lit("s"), F.get_json_object("props", "$.k").cast("long") % 10)
     return events.select(F.col("event_id").alias("seq"), op.alias("op"), name.alias("name"), F.col("user_id").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
@@ -403,7 +411,7 @@ def kv_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_summary_(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.concat_ws("/", "source", "doc_id").alias("path"), F.lit(False).alias("is_dir"), F.octet_length("text").cast("long").alias("length"))
-    return path_summary(files.union(docs.select("source", F.lit(True), F.lit(0).cast("long")).distinct()))
+    return S.path_summary(files.union(docs.select("source", F.lit(True), F.lit(0).cast("long")).distinct()))
 
 
 @query
@@ -454,3 +462,191 @@ def predict_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dense_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_ids(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source", "doc_id"], "rank")
+
+
+# --- sources and sinks, through the shared folder
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def payload_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as payloads, every other one without an id of its own, decoded, checked, normalised and searched."""
+    vectors = _vectors(spark, sf_dir)
+    rows = vectors.select(F.col("doc_id").alias("auto_id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("own_id"), "vector")
+    built = V.build_vectors(V.encode_payloads(rows, "own_id").select("auto_id", "payload"))
+    return V.cosine_topk(built, _query_vector(vectors), 8)
+
+
+@query
+def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "vectors")
+    T.write_vectors(_vectors(spark, sf_dir), path)
+    return T.read_vectors(spark, path).agg(F.count("*").alias("n"), F.max(F.size("vector")).cast("long").alias("dim"), F.round(F.sum("norm"), 2).alias("norms"))
+
+
+@query
+def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as segments and read back, checksums verified, up to what the global index holds."""
+    root = _folder(spark, "log")
+    S.write_topic(_topic_log(spark, sf_dir), root)
+    kept = L.committed(S.scan_topic(spark, root, "click"), S.scan_global_index(spark, root, "click"))
+    return kept.select("topic", "offset", "segment_base", F.col("payload").cast("string").alias("payload"), "crc_ok")
+
+
+@query
+def payload_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", crc32c(F.col("props").cast("binary")).alias("crc32c"))
+
+
+@query
+def facts_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "facts")
+    S.save_facts(R.dump_facts(R.fold_ops(_ops(spark, sf_dir))), path)
+    state, bad = R.load_facts(S.scan_lines(spark, path, K.FACTS_MAX))
+    if bad is not None:
+        raise ValueError(f"line {bad} is bad")
+    return state.members
+
+
+@query
+def kv_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "kv")
+    S.save_kv(M.fold_kv(_commands(spark, sf_dir)), path)
+    return S.load_kv(spark, path)
+
+
+@query
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "manifest")
+    T.write_manifest(spark, D.build_manifest(_docs(spark, sf_dir)), path, 0, "", D.CHUNK_SIZE, D.OVERLAP, sf_dir)
+    return T.read_manifest(spark, path).select("doc_id", "path", "offset", "length")
+
+
+@query
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _docs(spark, sf_dir), _folder(spark, "state")
+    files = D.state_from_chunks(D.assign_doc_ids(D.chunk_documents(docs)), D.hash_files(docs))
+    T.write_state(spark, files, docs.select("doc_id").where("doc_id % 100 = 0"), path, 0, D.CHUNK_SIZE, D.OVERLAP, "", sf_dir)
+    read, superseded, _ = T.read_state(spark, path)
+    return read.select("path", "hash", F.size("doc_ids").cast("long").alias("n_ids")).unionByName(superseded.select(F.lit("superseded").alias("path"), F.lit("").alias("hash"), F.col("doc_id").alias("n_ids")))
+
+
+# --- more of the document index and the algebra
+
+
+@query
+def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.index_report(_refreshed(spark, sf_dir)[0])
+
+
+@query
+def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("path", "content")
+    index = D.build_index(docs, D.hashing_embedder(16))
+    return D.validate_full(index.manifest, index.base, 16).select("check", "ok")
+
+
+@query
+def merged_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of a manifest over all documents when only those with a vector have one and some are superseded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    vectors = _vectors(spark, sf_dir)
+    return D.validate_merged(docs, vectors.where("doc_id % 2 = 0"), vectors.where("doc_id % 2 = 1"), docs.where("doc_id % 97 = 0"), 64)
+
+
+@query
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full search over a refreshed index: base and delta, without superseded chunks, joined back to the sources."""
+    index, _ = _refreshed(spark, sf_dir)
+    docs = _before_after(spark, sf_dir)[1]
+    return D.search(index, D.hashing_embedder(16)(["the and of"])[0], 8, docs=docs)
+
+
+@query
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a refreshed index after compaction: ids are dense again."""
+    index, _ = _refreshed(spark, sf_dir)
+    docs = _before_after(spark, sf_dir)[1].select("path", "content")
+    return D.compact(index, docs, D.hashing_embedder(16)).manifest.select("doc_id", "path", "offset", "length")
+
+
+@query
+def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.array("lang", "source").alias("tags"))
+    state = R.fold_ops(R.tag(docs))
+    return R.files_with(state, "fr").withColumn("of", F.lit("files")).unionByName(R.tags_of(state, "7").withColumn("of", F.lit("tags")))
+
+
+@query
+def stored_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation's domain kept as a set, and its inverse as a relation, beside what the log had."""
+    text = lambda c: F.col(c).cast("string")
+    nation = table(spark, sf_dir, "nation")
+    ops = nation.select(F.col("n_nationkey").cast("long").alias("seq"), F.lit("RADD").alias("op"), F.lit("lies_in").alias("name"), text("n_name").alias("a"), text("n_regionkey").alias("b"))
+    relation = R.pairs(R.fold_ops(ops), "lies_in")
+    state = R.fold_ops(R.store_inverse(R.store_domain(ops, relation, "nations"), relation, "has"))
+    return R.members(state, "nations").select(F.lit("nations").alias("name"), "atom").unionByName(R.select(R.pairs(state, "has"), "first", "1").select(F.lit("has 1").alias("name"), "atom"))
+
+
+@query
+def set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.members(R.fold_ops(_ops(spark, sf_dir)), "s3")
+
+
+@query
+def rel_select_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.select(_relations(spark, sf_dir)["supplies"], "second", 5)
+
+
+@query
+def kv_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return M.keys(M.exists(M.fold_kv(_commands(spark, sf_dir)), wanted))
+
+
+@query
+def path_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit("."), F.col("lang")).alias("path"), F.lit(False).alias("is_dir"), F.octet_length("text").cast("long").alias("length"))
+    return S.path_rollup(files)
+
+
+# --- streams over the tables' files, run until they have read all of them
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's files as they come; the pattern lets one file be a stream too."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}?.parquet")
+
+
+@query
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "fold")
+    ops = _ops_of(_stream(spark, sf_dir, "events"))
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n:06}")
+    jobs.stream_fold(ops).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.parquet(f"{path}/out")
+    last = states.agg(F.max("batch").alias("batch"))
+    return states.join(F.broadcast(last), "batch").where("kind = 'S' AND op = 'SADD'").select(F.col("name").alias("set"), F.col("a").alias("atom"))
+
+
+@query
+def stream_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "slice")
+    lines = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("props").alias("line"))
+    found = jobs.stream_slice(lines, field=("k", "7"), jsonl=True)
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").select("path")
+
+
+@query
+def stream_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "tail")
+    vectors = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("auto_id"), F.col("embedding").alias("vector"))
+    payloads = V.encode_payloads(vectors, None).select("auto_id", "payload")
+    jobs.stream_vectors(payloads, f"{path}/delta", f"{path}/check").awaitTermination()
+    delta = spark.read.parquet(f"{path}/delta").select("doc_id", "vector")
+    return V.cosine_topk(delta, _query_vector(_vectors(spark, sf_dir)), 8)

@@ -131,3 +131,31 @@ ORACLE: dict[str, str] = {
     "predict_formula": f"""WITH {_POINTS} SELECT "group", round(sum(CASE WHEN exp(1.0) - ln(x) > 0 THEN exp(x) - ln(exp(1.0) - ln(x)) ELSE 0 END), 3) AS total, 0::BIGINT AS bad FROM points GROUP BY "group\"""",
     "dense_document_ids": "SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS rank FROM documents",
 }
+
+ORACLE |= {
+    "payload_vectors": ORACLE["cosine_topk"],
+    "stream_vectors": ORACLE["cosine_topk"],
+    "vector_table": "SELECT count(*) AS n, max(len(embedding))::BIGINT AS dim, round(count(*)::DOUBLE, 2) AS norms FROM embeddings",
+    "topic_segments": f"""WITH {_LOG} SELECT topic, "offset", segment_base, payload, true AS crc_ok FROM seg WHERE topic = 'click'""",
+    "facts_dump_load": ORACLE["fold_ops"],
+    "stream_fold": ORACLE["fold_ops"],
+    "stream_slice": ORACLE["jsonl_field"],
+    "kv_dump_load": ORACLE["fold_kv"],
+    "manifest_round_trip": f"""WITH {_DOCS} SELECT row_number() OVER (ORDER BY path, "offset") - 1 AS doc_id, path, "offset", length FROM ({_chunked("docs")})""",
+    "state_round_trip": f"""WITH {_DOCS}, c AS (SELECT path, count(*) AS n FROM ({_chunked("docs")}) GROUP BY path)
+ SELECT path, sha256(content) AS hash, coalesce(n, 0) AS n_ids FROM docs LEFT JOIN c USING (path) UNION ALL SELECT 'superseded', '', doc_id FROM documents WHERE doc_id % 100 = 0""",
+    "index_report": f"""{_BEFORE_AFTER} SELECT "check", true AS ok, n::VARCHAR AS detail FROM (SELECT 'base vectors' AS "check", count(*) AS n FROM first
+ UNION ALL SELECT 'files', count(*) FROM after UNION ALL SELECT 'superseded', count(*) FROM first WHERE path IN (SELECT path FROM plan)
+ UNION ALL SELECT 'manifest', (SELECT count(*) FROM first WHERE path NOT IN (SELECT path FROM plan)) + (SELECT count(*) FROM second)
+ UNION ALL SELECT 'delta vectors', count(*) FROM second UNION ALL SELECT 'merged', 0)""",
+    "index_validation": """SELECT unnest(['dim', 'count', 'dense ids']) AS "check", true AS ok""",
+    "merged_violations": """SELECT 'superseded' AS violation, doc_id FROM documents WHERE doc_id % 97 = 0
+ UNION ALL SELECT 'no vector', doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
+    "compacted": f"""{_BEFORE_AFTER} SELECT row_number() OVER (ORDER BY path, "offset") - 1 AS doc_id, path, "offset", length FROM ({_chunked("after")})""",
+    "tagged_files": """SELECT doc_id::VARCHAR AS atom, 'files' AS "of" FROM documents WHERE lang = 'fr' UNION SELECT unnest([lang, source]), 'tags' FROM documents WHERE doc_id = 7""",
+    "stored_domain": "SELECT 'nations' AS name, n_name AS atom FROM nation UNION SELECT 'has 1', n_name FROM nation WHERE n_regionkey = 1",
+    "set_members": f"{_MEMBERS} SELECT atom FROM last WHERE adds AND name = 's3'",
+    "rel_select_second": "SELECT DISTINCT l_suppkey AS atom FROM lineitem WHERE l_partkey = 5",
+    "kv_exists": f"WITH {_COMMANDS} SELECT key FROM kv WHERE key IN (SELECT c_custkey::VARCHAR FROM customer)",
+    "path_rollup": "SELECT source AS dir, '.' || lang AS ext, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (source, '.' || lang)",
+}

@@ -7,6 +7,7 @@ Spark's own listing leaves out hidden and empty files.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -194,3 +195,35 @@ def path_rollup(listing: DataFrame) -> DataFrame:
     """``(dir, ext, files, bytes)`` with subtotals by folder and in all (nulls)."""
     rows = listing.where(~F.col("is_dir")).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"), "length")
     return rows.rollup("dir", "ext").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def write_topic(log: DataFrame, root: str) -> None:
+    """Write ``(topic, offset, segment_base, payload)`` as segments and ``global.idx`` files that ``scan_topic`` reads.
+
+    A segment is written by one task under a name of its own and then put in place, so a task may run again.
+    """
+
+    def put(group: pa.Table, file: str, data: Iterator[bytes]) -> pa.Table:
+        topic = group.column("topic")[0].as_py()
+        store, place = _store(f"{root}/topics/{topic}")
+        store.create_dir(place, recursive=True)
+        fresh = f"{place}/{file}.{uuid.uuid4().hex}"
+        with store.open_output_stream(fresh, compression=None) as out:
+            for part in data:
+                out.write(part)
+        store.move(fresh, f"{place}/{file}")
+        return pa.table({"file": pa.array([f"{topic}/{file}"])})
+
+    def segment(group: pa.Table) -> pa.Table:
+        payloads = group.sort_by("offset").column("payload").to_pylist()
+        parts = (struct.pack("<II", len(p), int(c)) + p for p, c in zip(payloads, crc32c_many(payloads), strict=True))
+        return put(group, f"{group.column('segment_base')[0].as_py():020}.log", parts)
+
+    def index(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("segment_base").to_pylist()
+        return put(group, "global.idx", (struct.pack("<Q", r["segment_base"]) * r["n"] for r in rows))
+
+    rows = log.select("topic", "offset", "segment_base", "payload")
+    rows.groupBy("topic", "segment_base").applyInArrow(segment, "file string").write.format("noop").mode("overwrite").save()
+    counts = rows.groupBy("topic", "segment_base").agg(F.count("*").alias("n"))  # one row a segment
+    counts.groupBy("topic").applyInArrow(index, "file string").write.format("noop").mode("overwrite").save()

@@ -11,10 +11,12 @@ _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local temporary folder only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir`` with its scheme; a local temporary folder only where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_LOCAL[0]}"

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import map_batches
@@ -47,19 +47,18 @@ def presence(text: str) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-def rows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenated presence columns of ``texts``, where each begins, and one over the root of its size."""
-    rows = [presence(t) for t in texts]
-    sizes = np.array([len(r) for r in rows], np.int64)
-    return np.concatenate(rows) if rows else np.empty(0, np.int64), np.concatenate([[0], np.cumsum(sizes)])[:-1], 1 / np.sqrt(np.maximum(sizes, 1))
+Sparse = list[np.ndarray]
 
 
-def times(sparse: tuple[np.ndarray, np.ndarray, np.ndarray], dense: np.ndarray) -> np.ndarray:
-    """Normalised presence rows times a dense matrix with ``COLUMNS`` rows."""
-    columns, begin, scale = sparse
-    if not len(begin):
-        return np.empty((0, dense.shape[1]))
-    return np.add.reduceat(dense[columns], begin, axis=0) * scale[:, None]
+def times(rows: Sparse, dense: np.ndarray) -> np.ndarray:
+    """Presence rows, each divided by the root of its size, times a dense matrix with ``COLUMNS`` rows.
+
+    A row at a time, so that the memory beyond the result is one row's share of the matrix.
+    """
+    out = np.empty((len(rows), dense.shape[1]))
+    for k, columns in enumerate(rows):
+        out[k] = dense[columns].sum(axis=0) / np.sqrt(max(len(columns), 1))
+    return out
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ class LanguageModel:
     bias: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return times(rows_of(texts), self.weights) + self.bias
+        return times([presence(t) for t in texts], self.weights) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and probability (soft maximum of five times the one-versus-rest scores) of each text."""
@@ -85,25 +84,23 @@ class LanguageModel:
         return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], [float(p[i, k]) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, known, strict=True))]
 
 
-def fit(sample: list[Row], landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel:
-    """Model from rows ``(text, lang)``; ``landmarks`` of them, dealt evenly over the languages, span the space."""
-    rows = [r for r in sample if r["text"] and _LETTER.search(r["text"])]
-    languages = tuple(sorted({r["lang"] for r in rows}))
+def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel:
+    """Model from ``(lang, presence row)``; ``landmarks`` of them, dealt evenly over the languages, span the space."""
+    languages = tuple(sorted({c for c, _ in sample}))
     if not languages:
         return LanguageModel((), np.zeros((COLUMNS, 0)), np.zeros(0))
-    by = {c: [k for k, r in enumerate(rows) if r["lang"] == c] for c in languages}
+    rows = [r for _, r in sample]
+    by = {c: [k for k, (own, _) in enumerate(sample) if own == c] for c in languages}
     marks = [k for c in languages for k in by[c][: max(1, landmarks // len(languages))]]
-    columns, begin, scale = rows_of([rows[k]["text"] for k in marks])
     basis = np.zeros((COLUMNS, len(marks)))
-    ends = np.append(begin[1:], len(columns))
-    for m in range(len(marks)):
-        basis[columns[begin[m] : ends[m]], m] = scale[m]
-    values, vectors = np.linalg.eigh(times((columns, begin, scale), basis))
+    for m, k in enumerate(marks):
+        basis[rows[k], m] = 1 / np.sqrt(max(len(rows[k]), 1))
+    values, vectors = np.linalg.eigh(times([rows[k] for k in marks], basis))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.concatenate([times(rows_of([r["text"] for r in rows[k : k + 256]]), basis) for k in range(0, len(rows), 256)]) @ whiten
-    target = np.array([[1.0 if r["lang"] == c else -1.0 for c in languages] for r in rows])
-    weight = np.array([len(rows) / (len(languages) * len(by[r["lang"]])) for r in rows])[:, None]  # languages count alike
+    features = times(rows, basis) @ whiten
+    target = np.array([[1.0 if own == c else -1.0 for c in languages] for own, _ in sample])
+    weight = np.array([len(rows) / (len(languages) * len(by[own])) for own, _ in sample])[:, None]  # languages count alike
     mean, goal = (features * weight).mean(axis=0) / weight.mean(), (target * weight).mean(axis=0) / weight.mean()
     x, y = features - mean, target - goal
     solution = np.linalg.solve(x.T @ (x * weight) + ridge * len(rows) * np.eye(x.shape[1]), x.T @ (y * weight))
@@ -131,8 +128,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
         share = F.when(c("lang") == r["lang"], min(1.0, 4 * per_language / r["count"])).otherwise(share)
     draw = (F.xxhash64(c("id").cast("string"), F.lit("language sample")).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("draw")
     drawn = labelled.where(c("lang").isin([r["lang"] for r in sizes])).select("*", draw).where(c("draw") < share)
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))).where(c("rank") <= per_language)
-    return fit(ranked.orderBy("lang", "rank").select("text", "lang").collect())
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [presence(t).astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["lang", "row", "draw"])
+
+    # presence rows are at most 64 KB each, whatever the text
+    rows = map_batches(drawn.select("lang", "text", "draw"), sketch, "lang string, row binary, draw double")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "row"))).where(c("rank") <= per_language)
+    return fit([(r["lang"], np.frombuffer(r["row"], "<u2")) for r in ranked.orderBy("lang", "rank").select("lang", "row").collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:

@@ -71,10 +71,12 @@ def _best(scores: DataFrame) -> DataFrame:
 def fit_formulas(points: DataFrame, max_nodes: int = 3, goal_mse: float = 0.0, tune: bool = False) -> DataFrame:
     """``(group, rpn, mse)``: the formula of least error, the first in order on ties.
 
-    With a goal, the first formula in order that meets it is taken where one does. ``tune`` also moves the constants of
-    each group's best formula by coordinate descent, each pass scoring all probes of all groups in one job.
+    With a goal, the first formula in order that meets it is taken where one does. ``tune`` moves every formula's
+    constants by coordinate descent first and adds them as ``constants``; it takes the least error and no goal.
     """
     formulas = enumerate_formulas(max_nodes)
+    if tune:
+        return _tuned(points, formulas)
     scores = score_formulas(points, formulas)
     if goal_mse > 0:
         met = F.when(F.col("mse") <= goal_mse, F.col("formula_id"))
@@ -84,8 +86,6 @@ def fit_formulas(points: DataFrame, max_nodes: int = 3, goal_mse: float = 0.0, t
     else:
         best = _best(scores)
     spark = points.sparkSession
-    if tune:
-        return _tuned(points, best, formulas)
     names = spark.createDataFrame([(k, rpn(f)) for k, f in enumerate(formulas)], "formula_id int, rpn string")
     return best.join(F.broadcast(names), "formula_id").select("group", "rpn", "mse")
 
@@ -95,23 +95,33 @@ def _probe(start: float, how: str) -> float:
     return max(v, LEAST)
 
 
-def _tuned(points: DataFrame, best: DataFrame, formulas: list[Formula]) -> DataFrame:
-    """Coordinate descent on each distinct best formula; at most ``len(formulas)`` of them, whatever the groups."""
+def _tuned(points: DataFrame, formulas: list[Formula]) -> DataFrame:
+    """Coordinate descent: every step probes one place of all formulas' constants for all groups in one job.
+
+    A group keeps, for each formula, the constants of least error among those that any group has come to, so it is never
+    worse off than by its own descent. The driver holds distinct constants, at most one set for each group and formula.
+    """
     spark = points.sparkSession
-    current: list[Formula] = sorted({formulas[r["formula_id"]] for r in best.select("formula_id").distinct().collect()}, key=repr)
-    tried: list[Formula] = list(current)
+    places = max(len(constants(f)) for f in formulas)
+    current = {(k, tuple(constants(f))) for k, f in enumerate(formulas)}
+
+    def scored(tried: list[tuple[int, tuple[float, ...]]]) -> DataFrame:
+        names = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(tried)], "formula_id int, form int")
+        scores = score_formulas(points, [with_constants(formulas[k], iter(v)) for k, v in tried])
+        return scores.join(F.broadcast(names), "formula_id")
+
     for _ in range(PASSES):
-        fresh = {with_constants(f, iter([*v[:i], _probe(v[i], p), *v[i + 1 :]])) for f in current for v in [constants(f)] for i in range(len(v)) for p in PROBES} - set(tried)
-        if not fresh:
-            break
-        tried += sorted(fresh, key=repr)
-        winners = _best(score_formulas(points, tried)).select("formula_id").distinct().collect()
-        following = sorted({tried[r["formula_id"]] for r in winners}, key=repr)
-        if following == current:
+        before = current
+        for i in range(places):
+            tried = sorted(current | {(k, (*v[:i], _probe(v[i], p), *v[i + 1 :])) for k, v in current if len(v) > i for p in PROBES})
+            best = scored(tried).groupBy("group", "form").agg(F.min(F.struct("mse", "formula_id")).alias("b"))
+            current = {tried[r[0]] for r in best.select("b.formula_id").distinct().collect()}
+        if current == before:
             break
-        current = following
-    names = spark.createDataFrame([(k, rpn(f), constants(f)) for k, f in enumerate(tried)], "formula_id int, rpn string, constants array<double>")
-    return _best(score_formulas(points, tried)).join(F.broadcast(names), "formula_id").select("group", "rpn", "constants", "mse")
+    tried = sorted(current)
+    texts = spark.createDataFrame([(i, rpn(formulas[k]), list(v)) for i, (k, v) in enumerate(tried)], "formula_id int, rpn string, constants array<double>")
+    best = scored(tried).groupBy("group").agg(F.min(F.struct("mse", "form", "formula_id")).alias("b")).select("group", "b.formula_id", "b.mse")
+    return best.join(F.broadcast(texts), "formula_id").select("group", "rpn", "constants", "mse")
 
 
 def baseline_mse(points: DataFrame) -> DataFrame:

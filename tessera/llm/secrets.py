@@ -98,7 +98,7 @@ def _score(hit: Column) -> Column:
     Nested one-element transforms name the intermediate values, so that each is computed once.
     """
     let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    token = F.regexp_replace(hit, "=+$", "")
+    token = F.rtrim(hit, F.lit("="))
 
     def battery(e: Column) -> Column:
         m, n = e["m"].cast("double"), F.size(e["x"]).cast("double")
@@ -141,9 +141,9 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     plain = lambda a: F.transform(a, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
     df = df.select("__row", plain(long_enough).alias("__assign"), plain(F.col("__access")).alias("__access"), plain(F.col("__hex")).alias("__hex"), "__random")
     base = lambda s: F.exists(F.concat("__assign", "__access", "__hex"), lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"]))
-    # slashes alone make paths: a candidate has letters, and digits or both cases
-    mixed = lambda h: h.rlike("[A-Za-z]") & (h.rlike("[0-9].*[0-9]")) & ~h.rlike("^(.)\\1*$")
-    df = df.withColumn("__random", F.filter("__random", lambda s: mixed(s["hit"]) & (F.length(F.regexp_replace(s["hit"], "=+$", "")) >= MIN_RANDOM) & ~base(s)))
+    # words and paths have letters alone: a candidate has two digits as well
+    mixed = lambda h: h.rlike("[A-Za-z]") & h.rlike("[0-9].*[0-9]")
+    df = df.withColumn("__random", F.filter("__random", lambda s: mixed(s["hit"]) & (F.length(F.rtrim(s["hit"], F.lit("="))) >= MIN_RANDOM) & ~base(s)))
     return _with_tests(df)
 
 

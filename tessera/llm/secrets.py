@@ -19,7 +19,8 @@ from tessera.llm._shared import as_row, from_row, stored
 
 #: Kinds and patterns of the base rules. Runs of a class match whole, so their least lengths are in the
 #: pattern; a short assignment still uses up its text and is dropped afterwards.
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
+ASSIGN = rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGNED, MIN_RANDOM = 12, 20
@@ -135,15 +136,15 @@ def _score(hit: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns as the struct ``__row``, and the found and tested spans."""
     df = docs.select(as_row(docs.columns if carry is None else carry), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", CANDIDATE)):
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", f"{ASSIGN}|{CANDIDATE}")):
         df = _find(df, name, pattern)
     long_enough = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= MIN_ASSIGNED)
     plain = lambda a: F.transform(a, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
     df = df.select("__row", plain(long_enough).alias("__assign"), plain(F.col("__access")).alias("__access"), plain(F.col("__hex")).alias("__hex"), "__random")
-    base = lambda s: F.exists(F.concat("__assign", "__access", "__hex"), lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"]))
-    # words and paths have letters alone: a candidate has two digits as well
-    mixed = lambda h: h.rlike("[A-Za-z]") & h.rlike("[0-9].*[0-9]")
-    df = df.withColumn("__random", F.filter("__random", lambda s: mixed(s["hit"]) & (F.length(F.rtrim(s["hit"], F.lit("="))) >= MIN_RANDOM) & ~base(s)))
+    # Base runs lie whole inside a candidate, as their classes do; assignments are matched along and dropped. So a look at
+    # the candidate alone tells whether a base span overlaps it. Words and paths have no two digits beside letters.
+    own = lambda h: ~h.rlike(KEYWORD) & ~h.rlike(f"{HEX}|{ACCESS}") & h.rlike("[A-Za-z]") & h.rlike("[0-9].*[0-9]") & (F.length(F.rtrim(h, F.lit("="))) >= MIN_RANDOM)
+    df = df.withColumn("__random", F.filter("__random", lambda s: own(s["hit"])))
     return _with_tests(df)
 
 

@@ -3,8 +3,8 @@
 Every permutation gives two signature values, the smallest and the largest hash, so half the hash evaluations band as
 many values. Documents with equal shingle sets are one class from the start. Classes that meet in a band are linked to
 the band's smallest class first, which costs one comparison each; after that only classes that are still in different
-components are compared, in blocks of bounded size, so a large group of copies is never paired out and no link that
-could join two components is left out.
+components are compared: in each band those apart from the band's main component with all, in blocks of bounded size.
+So a large group of copies is never paired out and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -184,12 +184,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stars = met.where("rep != center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
     links = stored(_confirmed(stars.join(side("v"), "v").join(side("u"), "u"), percent), "links")
     comps = stored(components(links), "components")
-    with_comp = met.join(comps, F.col("rep") == F.col("node"), "left").select("band", "value", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    open_bands = with_comp.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "value")
-    rest = with_comp.join(open_bands, ["band", "value"], "left_semi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    with_comp = met.join(comps, F.col("rep") == F.col("node"), "left").select("band", "value", "rep", "center", "n", F.coalesce("component", "rep").alias("comp"))
+    # in a band whose classes aren't all of one component, only those apart from the center's need comparing with all
+    bands = with_comp.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("center"), F.col("comp"))).alias("main")).where("lo != hi")
+    rest = stored(with_comp.join(bands.select("band", "value", "main"), ["band", "value"]).withColumn("apart", F.col("comp") != F.col("main")).select("band", "value", "rep", "comp", "n", "apart"), "rest")
+    apart = rest.where("apart").groupBy("band", "value").agg(F.count("*").alias("r"))
+    rest = rest.join(apart, ["band", "value"])
+    first, second = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("r", "__m"))
+    rest = rest.withColumn("__m", F.col("n") - F.col("r"))
+    spread = F.xxhash64("rep")
+    rest = rest.withColumn("block", F.when(F.col("apart"), F.pmod(spread, first)).otherwise(first + F.pmod(spread, F.greatest(second, F.lit(1)))).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("apart"), first + second - 1).otherwise(first - 1))))
     rest = rest.join(classes, "rep").where(F.element_at("bands", F.col("band") + 1) == F.col("value"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("band", "value", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep", "comp", "bands").join(sets, "rep")
     kind = docs.schema[id_col].dataType.simpleString()
     more = stored(rest.groupBy("band", "value", "left", "right").applyInArrow(_block_links(percent), f"u {kind}, v {kind}"), "more")

@@ -153,15 +153,11 @@ def score_quality(docs: DataFrame, text: str = "text", carry: list[str] | None =
     ``q_n_dup_lines``, ``q_n_repeat_words`` (long), ``q_posterior`` (double), ``q_base_failed`` and ``q_kept``
     (boolean). Any column may hold nulls; a null or empty text has no words and fails the base rules. Repeated rows are
     judged alike and all returned; an empty table gives an empty result; other columns are untouched, but one that
-    has the name of a new column is replaced. With ``carry`` the features are stored once, for the
-    fit and the verdict; without, they are computed for each.
+    has the name of a new column is replaced. The features are stored
+    once and read for the fit and for the verdict.
     """
-    votes = with_votes(with_features(docs, text, carry))
-    if carry is None:  # whole rows would copy the corpus to the shared folder: votes alone are stored, features computed again
-        model = fit(stored(votes.select(*(f"__v_{r}" for r in RULES)), "votes"))
-    else:
-        votes = stored(votes, "votes")
-        model = fit(votes)
+    votes = stored(with_votes(with_features(docs, text, carry)), "votes")
+    model = fit(votes)
     failed = (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
     new = {f"q_{f}": F.col(f"__{f}") for f in FEATURES} | {"q_posterior": model.posterior(), "q_base_failed": failed, "q_kept": ~failed & (model.posterior() >= threshold)}
     return from_row(votes, new)

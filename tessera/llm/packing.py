@@ -1,22 +1,27 @@
 """Lexical retrieval packing into windows of a fixed number of tokens.
 
-Documents are dealt to shards of bounded size by a hash. Each shard has a BM25 inverted index over its documents'
-token ids. A seed document opens a window; its best-scoring unused neighbours fill it; the one that overflows is cut
+Documents are ordered by a key and cut into shards of bounded size. Each shard has a BM25 inverted index over its
+documents' token ids. A seed document opens a window; its best-scoring unused neighbours fill it; the one that overflows is cut
 there and opens the next window as its seed. So every window but a shard's last is full, and the last one is cut into
 windows whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import stored
 from tessera.llm._vocab import byte_level_encoder
+from tessera.operators.ids import dense_ids
 
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
@@ -108,24 +113,40 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> list[tu
     return pieces
 
 
+def order_key(ids: bytes, doc_id: object, place: int) -> bytes:
+    """Sort key of a row: its content, its id, then its place, so that no two rows of a table share one."""
+    return zlib.crc32(ids).to_bytes(4) + hashlib.blake2b(repr(doc_id).encode(), key=hashlib.blake2b(ids, digest_size=16).digest(), digest_size=8).digest() + place.to_bytes(8)
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 1_024, end_id: int = 0, shard_rows: int = 512, query_terms: int = 16, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Null and repeated ids are kept, each
     row as a document of its own; ties in score go to the document that comes first by id and content; other columns
-    are left out; an empty table gives no pieces. Shards hold about ``shard_rows`` rows, so their number grows with the
-    table and no task holds more than a few shards; a query has its document's ``query_terms`` rarest terms.
+    are left out; an empty table gives no pieces. Shards are runs of ``shard_rows`` rows in the order of content, id and
+    place, so copies are split as well and no shard holds more; their first keys, one for ``shard_rows`` rows, go
+    through the driver. A query has its document's ``query_terms`` rarest terms.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shards = max(1, -(-docs.count() // shard_rows))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = byte_level_encoder(path)
         end = np.array([end_id], own.dtype).tobytes()
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = [own.ids(t or "") + end for t in batch.column(1).to_pylist()]
-            shard = [zlib.crc32(x) % shards for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(shard, pa.int64())], ["id", "ids", "shard"])
+            keys = [order_key(x, i, place + k) for k, (x, i) in enumerate(zip(ids, batch.column(0).to_pylist(), strict=True))]
+            place += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["id", "ids", "key"])
+
+    encoded = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(encode, f"id {kind}, ids binary, key binary"), "encoded")
+    firsts = dense_ids(encoded.select("key"), ["key"], into="at").where(F.col("at") % shard_rows == 0).select("key")
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(bytes(r["key"]) for r in firsts.collect()))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = [bisect_right(shared.value, key) - 1 for key in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard, pa.int64())], ["id", "ids", "shard"])
 
     def one(group: pa.Table) -> pa.Table:
         kept = byte_level_encoder(path).dtype
@@ -142,6 +163,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         }
         return pa.table(columns | ({"ids": pa.array(cut, pa.binary())} if with_ids else {}))
 
-    encoded = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(encode, f"id {kind}, ids binary, shard long")
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return encoded.groupBy("shard").applyInArrow(one, schema)
+    return encoded.mapInArrow(deal, f"id {kind}, ids binary, shard long").groupBy("shard").applyInArrow(one, schema)

@@ -96,6 +96,15 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), JSON).isEmpty()
 
 
+def test_packing_splits_copies(spark):
+    rows = [(k, "one text that many rows hold") for k in range(150)] + [(7, None)] * 90 + [(None, "")] * 60 + [(k, f"text {k}") for k in range(200, 230)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(df, JSON, shard_rows=20).collect()
+    docs = Counter(r["sequence_id"] >> 32 for r in got if r["start"] == 0)
+    assert sum(docs.values()) == len(rows) and max(docs.values()) <= 20 and len(docs) == -(-len(rows) // 20)
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in rows)
+
+
 def test_retrieval_is_bm25():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 60, rng.integers(5, 80)).astype(np.uint16) for _ in range(40)]

@@ -1,6 +1,7 @@
 """Lexical retrieval packing into windows of a fixed number of tokens.
 
-Documents are ordered by a key and cut into shards of bounded size. Each shard has a BM25 inverted index over its
+Documents are ordered by min-hashes of their token ids and cut into shards of bounded size, so documents that share
+many tokens tend to meet in one. Each shard has a BM25 inverted index over its
 documents' token ids. A seed document opens a window; its best-scoring unused neighbours fill it; the one that overflows is cut
 there and opens the next window as its seed. So every window but a shard's last is full, and the last one is cut into
 windows whose lengths are powers of two, which need no padding.
@@ -12,6 +13,7 @@ import hashlib
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ from tessera.operators.ids import dense_ids
 
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
+#: Most documents of a shard whose scores by common terms are computed at once, and terms of a product.
+DENSE_ROWS, BLOCK = 4_096, 2_048
+#: Odd factors of the min-hash orders.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 class ShardIndex:
@@ -41,30 +47,48 @@ class ShardIndex:
         flat, owner, tf = np.concatenate(terms), np.concatenate(owners), np.concatenate(counts).astype(np.float32)
         length = np.array([len(d) for d in docs], np.float32)
         order = np.argsort(flat, kind="stable")
-        self.owner = owner[order]
+        self.owner = owner[order].astype(np.intp)
         norm = K1 * (1 - B + B * length / length.mean())
-        self.weight = (tf * (K1 + 1) / (tf + norm[owner]))[order].astype(np.float64)
+        weight = (tf * (K1 + 1) / (tf + norm[owner]))[order].astype(np.float64)
         vocabulary = int(flat.max()) + 1
         df = np.bincount(flat, minlength=vocabulary)
         self.begin = np.concatenate([[0], np.cumsum(df)])
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         self.idf[df < 2] = 0.0  # no other document has the term
-
-    def neighbours(self, k: int, used: np.ndarray, query_terms: int) -> Iterator[int]:
-        """Unused documents that share a query term with document ``k``, best first; ties by place."""
+        # multiples of 2**-30, so that sums are exact in any order
+        self.gain = np.round(weight * self.idf[flat[order]] * 2.0**30) / 2.0**30
+        self.common = df > max(1, self.n // 16) if self.n <= DENSE_ROWS else np.zeros(vocabulary, bool)
+
+    @cached_property
+    def shares(self) -> np.ndarray:
+        """Scores by common terms alone, of every document for every seed, by products of blocks of terms."""
+        out = np.zeros((self.n, self.n))
+        terms = np.flatnonzero(self.common)
+        for first in range(0, len(terms), BLOCK):
+            block = terms[first : first + BLOCK]
+            has, gain = np.zeros((self.n, len(block))), np.zeros((self.n, len(block)))
+            for c, t in enumerate(block.tolist()):
+                at = slice(self.begin[t], self.begin[t + 1])
+                has[self.owner[at], c], gain[self.owner[at], c] = 1.0, self.gain[at]
+            out += has @ gain.T
+        return out
+
+    def neighbours(self, k: int, used: np.ndarray, query_terms: int | None = None) -> Iterator[int]:
+        """Unused documents that share a query term with document ``k``, best first; ties by place. By default all of
+        its terms are query terms."""
         terms = self.terms[k]
         idf = self.idf[terms]
-        query = terms[np.argsort(-idf, kind="stable")[:query_terms]]
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in query.tolist()]
-        owners = np.concatenate([self.owner[s] for s in spans])
-        weights = np.concatenate([self.weight[s] * self.idf[t] for s, t in zip(spans, query.tolist(), strict=True)])
-        score = np.bincount(owners, weights, self.n)
+        query = terms[(idf > 0) & ~self.common[terms]] if query_terms is None else terms[np.argsort(-idf, kind="stable")[:query_terms]]
+        score = self.shares[k].copy() if query_terms is None and self.common.any() else np.zeros(self.n)
+        if len(query):
+            spans = [slice(b, e) for b, e in zip(self.begin[query].tolist(), self.begin[query.astype(np.int64) + 1].tolist(), strict=True)]
+            score += np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.gain[s] for s in spans]), self.n)
         score[used] = 0
         found = np.flatnonzero(score > 0)
         yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
-def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, query_terms: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` that hold every id of ``docs`` once."""
     index = ShardIndex(docs)
     used = np.zeros(len(docs), bool)
@@ -113,19 +137,31 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> list[tu
     return pieces
 
 
-def order_key(ids: bytes, doc_id: object, place: int) -> bytes:
-    """Sort key of a row: its content, its id, then its place, so that no two rows of a table share one."""
-    return zlib.crc32(ids).to_bytes(4) + hashlib.blake2b(repr(doc_id).encode(), key=hashlib.blake2b(ids, digest_size=16).digest(), digest_size=8).digest() + place.to_bytes(8)
+def min_hashes(ids: np.ndarray) -> bytes:
+    """The least hashes of the token ids, in ``len(FACTORS)`` hash orders; two documents' first ones are equal with a
+    probability of their sets' Jaccard similarity."""
+    if not len(ids):
+        return bytes(4 * len(FACTORS))
+    x = (ids.astype(np.uint64) + np.uint64(1)) * FACTORS[:, None]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).min(axis=1).astype(">u4").tobytes()
+
+
+def order_key(ids: bytes, likeness: bytes, doc_id: object, place: int) -> bytes:
+    """Sort key of a row: its min-hashes, content, id, then its place, so that no two rows of a table share one."""
+    return likeness + zlib.crc32(ids).to_bytes(4) + hashlib.blake2b(repr(doc_id).encode(), key=hashlib.blake2b(ids, digest_size=16).digest(), digest_size=8).digest() + place.to_bytes(8)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 1_024, end_id: int = 0, shard_rows: int = 512, query_terms: int = 16, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 1_024, end_id: int = 0, shard_rows: int = 512, query_terms: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Null and repeated ids are kept, each
     row as a document of its own; ties in score go to the document that comes first by id and content; other columns
-    are left out; an empty table gives no pieces. Shards are runs of ``shard_rows`` rows in the order of content, id and
-    place, so copies are split as well and no shard holds more; their first keys, one for ``shard_rows`` rows, go
-    through the driver. A query has its document's ``query_terms`` rarest terms.
+    are left out; an empty table gives no pieces. Shards are runs of ``shard_rows`` rows in the order of ``order_key``,
+    so copies are split as well and no shard holds more; their first keys, one for ``shard_rows`` rows, go
+    through the driver. Neighbours outside the seed's shard are not looked at. A query has all of its
+    document's terms, or the ``query_terms`` rarest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -135,7 +171,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = [own.ids(t or "") + end for t in batch.column(1).to_pylist()]
-            keys = [order_key(x, i, place + k) for k, (x, i) in enumerate(zip(ids, batch.column(0).to_pylist(), strict=True))]
+            keys = [order_key(x, min_hashes(np.frombuffer(x, own.dtype)[:-1]), i, place + k) for k, (x, i) in enumerate(zip(ids, batch.column(0).to_pylist(), strict=True))]
             place += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["id", "ids", "key"])
 

@@ -105,6 +105,29 @@ def test_packing_splits_copies(spark):
     assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in rows)
 
 
+def test_near_copies_meet_in_a_shard(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(3_000)]
+    rows = []
+    for k in range(300):
+        own = [rng.choice(words) for _ in range(120)]
+        rows += [(k, " ".join(own)), (1_000 + k, " ".join(own[:55] + own[57:]))]
+    shards = {r["doc_id"]: r["sequence_id"] >> 32 for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), JSON, shard_rows=20).collect() if r["start"] == 0}
+    assert sum(shards[k] == shards[1_000 + k] for k in range(300)) > 200  # 10 of 300 by chance
+
+
+def test_all_terms_of_the_seed_count():
+    seed = np.arange(60, dtype=np.uint16)
+    # pairs of rare terms before a common one
+    docs = [seed, *(np.array([k, 100 + k], np.uint16) for k in range(59)), *(np.array([59, 200 + k], np.uint16) for k in range(30))]
+    assert set(packing.ShardIndex(docs).neighbours(0, np.arange(len(docs)) == 0)) == set(range(1, len(docs)))
+    rng = np.random.default_rng(2)
+    index = packing.ShardIndex([rng.integers(0, 900, rng.integers(5, 300)).astype(np.uint16) for _ in range(80)])
+    none = np.zeros(80, bool)
+    assert index.common.any() and all(list(index.neighbours(k, none)) == list(index.neighbours(k, none, 900)) for k in range(80))
+    assert not list(packing.ShardIndex([seed[:3], seed[5:9]]).neighbours(0, np.zeros(2, bool)))
+
+
 def test_retrieval_is_bm25():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 60, rng.integers(5, 80)).astype(np.uint16) for _ in range(40)]

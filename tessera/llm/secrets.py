@@ -9,6 +9,7 @@ which the tests have less power, need larger p-values for that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
@@ -93,12 +94,29 @@ def _encoding(token: Column) -> tuple[Column, Column]:
     return name, letters
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _apart(spans: str, others: str) -> Column:
+    """The spans that overlap none of the others; both are disjoint and in order.
+
+    One sort of the spans' ends among the others' begins tells how many others begin before a span ends; only the last of
+    these can reach into it.
+    """
+    ends = lambda v: F.transform(v["s"], lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("other")))
+    begins = lambda v: F.transform(v["o"], lambda o: F.struct(o["begin"].alias("at"), F.lit(1).alias("other")))
+    places = lambda v: F.filter(F.transform(F.array_sort(F.concat(ends(v), begins(v))), lambda x, j: F.when(x["other"] == 0, j)), lambda j: j.isNotNull())
+    last = lambda w, i: F.get(w["v"]["o"], F.get(w["at"], i) - i - 1)
+    kept = lambda w: F.filter(w["v"]["s"], lambda s, i: F.coalesce(last(w, i)["end"] <= s["begin"], F.lit(True)))
+    return _let(F.struct(F.col(spans).alias("s"), F.col(others).alias("o")), lambda v: _let(F.struct(v.alias("v"), places(v).alias("at")), kept))
+
+
 def _score(hit: Column) -> Column:
     """``(encoding, size, p)``: the battery on one token, without padding signs.
 
     Nested one-element transforms name the intermediate values, so that each is computed once.
     """
-    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     token = F.rtrim(hit, F.lit("="))
 
     def battery(e: Column) -> Column:
@@ -130,20 +148,21 @@ def _score(hit: Column) -> Column:
         places = F.transform(F.split(F.translate(bare, "_-", "/+"), ""), lambda ch: F.instr(letters, ch) - 1)
         return F.struct(name.alias("code"), F.length(letters).alias("m"), F.filter(places, lambda x: x >= 0).alias("x"))
 
-    return let(token, lambda bare: let(coded(bare), battery))
+    return _let(token, lambda bare: _let(coded(bare), battery))
 
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns as the struct ``__row``, and the found and tested spans."""
     df = docs.select(as_row(docs.columns if carry is None else carry), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", f"{ASSIGN}|{CANDIDATE}")):
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", CANDIDATE)):
         df = _find(df, name, pattern)
     long_enough = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= MIN_ASSIGNED)
     plain = lambda a: F.transform(a, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
     df = df.select("__row", plain(long_enough).alias("__assign"), plain(F.col("__access")).alias("__access"), plain(F.col("__hex")).alias("__hex"), "__random")
-    # Base runs lie whole inside a candidate, as their classes do; assignments are matched along and dropped. So a look at
-    # the candidate alone tells whether a base span overlaps it. Words and paths have no two digits beside letters.
-    own = lambda h: ~h.rlike(KEYWORD) & ~h.rlike(f"{HEX}|{ACCESS}") & h.rlike("[A-Za-z]") & h.rlike("[0-9].*[0-9]") & (F.length(F.rtrim(h, F.lit("="))) >= MIN_RANDOM)
+    for name in ("__assign", "__access", "__hex"):
+        df = df.withColumn("__random", _apart("__random", name))
+    # words and paths have no two digits beside letters
+    own = lambda h: h.rlike("[A-Za-z]") & h.rlike("[0-9].*[0-9]") & (F.length(F.rtrim(h, F.lit("="))) >= MIN_RANDOM)
     df = df.withColumn("__random", F.filter("__random", lambda s: own(s["hit"])))
     return _with_tests(df)
 

@@ -1,6 +1,6 @@
 """Secret scanning in DataFrame functions only: known shapes, and a randomness test battery for the rest.
 
-Tokens of ``MIN_RANDOM`` or more characters that mix letters and digits are candidates. Each is read in the smallest
+Tokens of ``MIN_RANDOM`` or more characters are candidates. Each is read in the smallest
 encoding that holds its characters and tested for chi-squared uniformity over that alphabet, runs about its middle and
 serial correlation. Fisher's method joins the three p-values of "random". A token is reported where, among tokens of
 its encoding and length class, the share of ordinary tokens over its p-value stays under ``fdr``; short tokens, on
@@ -31,11 +31,15 @@ KINDS = ("assign", "access", "hex", "random")
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS: tuple[tuple[str, str, str], ...] = (
+    ("digits", "[0-9]+", DIGITS),
     ("hex", "[0-9a-f]+", DIGITS + LOWER[:6]),
     ("hex_upper", "[0-9A-F]+", DIGITS + LOWER[:6].upper()),
+    ("lower", "[a-z]+", LOWER),
+    ("upper", "[A-Z]+", LOWER.upper()),
     ("base32", "[A-Z2-7]+", LOWER.upper() + "234567"),
     ("base36", "[0-9a-z]+", DIGITS + LOWER),
     ("base36_upper", "[0-9A-Z]+", DIGITS + LOWER.upper()),
+    ("letters", "[A-Za-z]+", LOWER.upper() + LOWER),
     ("base62", "[0-9A-Za-z]+", LOWER.upper() + LOWER + DIGITS),
     ("base64", ".+", LOWER.upper() + LOWER + DIGITS + "+/"),
 )
@@ -161,9 +165,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     df = df.select("__row", plain(long_enough).alias("__assign"), plain(F.col("__access")).alias("__access"), plain(F.col("__hex")).alias("__hex"), "__random")
     for name in ("__assign", "__access", "__hex"):
         df = df.withColumn("__random", _apart("__random", name))
-    # words and paths have no two digits beside letters
-    own = lambda h: h.rlike("[A-Za-z]") & h.rlike("[0-9].*[0-9]") & (F.length(F.rtrim(h, F.lit("="))) >= MIN_RANDOM)
-    df = df.withColumn("__random", F.filter("__random", lambda s: own(s["hit"])))
+    df = df.withColumn("__random", F.filter("__random", lambda s: F.length(F.rtrim(s["hit"], F.lit("="))) >= MIN_RANDOM))
     return _with_tests(df)
 
 

@@ -130,6 +130,20 @@ def test_secrets_beside_keywords(spark):
     assert not any(token in x for k, x in clean.items() if k not in (5, 6))
 
 
+def test_secrets_without_digits(spark):
+    import random
+    import string
+
+    rng = random.Random(3)
+    kinds = (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + "+/")
+    tokens = ["".join(rng.choice(kind) for _ in range(24)) for kind in kinds for _ in range(15)]  # under LEAST of a class
+    words = ["wordwordwordwordwordwordword", "path/to/some/long/folder/name", "a-well-known-and-ever-lasting-friend", "someVeryLongCamelCaseIdentifierName", "=" * 40, "-" * 40, "_" * 40 + "a"]
+    df = spark.createDataFrame([(k, f"x {t} end") for k, t in enumerate(tokens + words)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.find_secrets(df).select("doc_id", secrets.as_text("s_spans").alias("s")).collect()}
+    assert all(sum(got[k] == "random:2:26" for k in range(first, first + 15)) >= 10 for first in range(0, 60, 15))
+    assert not any(got[k] for k in range(60, 60 + len(words)))
+
+
 WORDS = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zwyxk qvrtz kxzyq wvkzx yqzkw".split(), "cc": "ñandú éèà öüß çêî".split()}
 
 

@@ -31,6 +31,9 @@ HIDDEN = frozenset("script style noscript template iframe object svg canvas head
 CLOSES_P = BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "head", "html", "body", "legend", "summary"}
 #: An opening element ends open ones of these kinds, up to the nearest of the scopes.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: What may stand in a head; anything else ends it. Controls that a block ends where the page lacks an end tag of theirs.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+CONTROLS = frozenset("select option button iframe".split())
 #: Words in class, id or role that tell furniture or content; cut at case changes and signs.
 FURNITURE = frozenset(
     "ad ads advert advertisement advertising adverts alert author banner bar bio breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog discuss disqus "
@@ -70,6 +73,7 @@ class Page(HTMLParser):
         self.runs: list[tuple[int, list[str]]] = []
         self._open: list[tuple[str, int]] = []  # open elements, with their node or -1
         self._at, self._hidden, self._links, self._fresh = 0, 0, 0, True
+        self._html, self._counted = html, dict[str, bool]()
         self.feed(html)
         self.close()
 
@@ -83,7 +87,25 @@ class Page(HTMLParser):
         del self._open[k:]
         self._at = next((n for _, n in reversed(self._open) if n >= 0), 0)
 
+    def _end_hidden(self, tag: str) -> None:
+        """Close a head, select or button that was left open before ``tag``."""
+        if not self._hidden:
+            return
+        for k, (open_, _) in enumerate(self._open):
+            if open_ == "head" and (tag == "body" or tag not in IN_HEAD and k == len(self._open) - 1):
+                return self._pop_to(k)
+            if open_ in CONTROLS and tag in BLOCKS and self._unclosed(open_):
+                return self._pop_to(k)
+
+    def _unclosed(self, tag: str) -> bool:
+        """Whether the page has more start than end tags of this name; counted once a page."""
+        if tag not in self._counted:
+            starts, ends = (len(re.findall(rf"{sign}{tag}\b", self._html, re.IGNORECASE)) for sign in ("<", "</"))
+            self._counted[tag] = starts > ends
+        return self._counted[tag]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_hidden(tag)
         if tag in ("br", "hr"):
             self.handle_data(" ")
         if tag in ("input", "button", "select", "textarea"):
@@ -126,6 +148,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self._hidden and self._open[-1][0] == "head" and data.strip():
+            self._end_hidden("")  # text ends a head as well
         if self._hidden:
             return
         if self._fresh or not self.runs:

@@ -202,6 +202,18 @@ def test_html(spark):
     assert html.extract(df.limit(0)).isEmpty()
 
 
+def test_html_with_omitted_tags():
+    story = "<article><h1>Tea and cake</h1><p>First line of it, and more.</p><p>Second, longer paragraph of the story.</p></article>"
+    want = "Tea and cake\nFirst line of it, and more.\nSecond, longer paragraph of the story."
+    model = html.default_model()
+    head = "<html><head><title>x</title><style>p{}</style><meta name=a>"
+    for page in (f"{head}<body>{story}", f"{head}{story}</html>", f"{head}</head>{story}", f"{head}<noscript><link rel=a></noscript>\n<body>{story}</body></html>", f"{head}<noscript><body>{story}",
+                 f"<body><nav><select><option>a<option>b</nav>{story}", f"<body><select><option>a{story}", f"<body><button>Go{story}", f"<body><button><div>Go</div></button>{story}"):
+        assert model.text(page) == want, page
+    assert "".join(html.Page(f"{head}Bare text").runs[0][1]) == "Bare text"
+    assert "hidden" not in model.text(f"<body><button><div>hidden</div></button><select><option>hidden</select>{story}")
+
+
 def test_html_held_out_and_messages():
     from itertools import product
     from math import exp, log

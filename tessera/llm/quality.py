@@ -28,7 +28,9 @@ STOP_WORDS = (
 ).split()
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MORE = ("n_lines", "n_upper", "n_bangs", "n_stop")
+_MORE = ("n_lines", "n_upper", "n_bangs", "n_stop", "n_short_again")
+#: Longest word that counts as short where a text repeats it.
+SHORT = 5
 
 
 def with_features(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -43,6 +45,7 @@ def with_features(docs: DataFrame, text: str = "text", carry: list[str] | None =
     df = docs.select(as_row(docs.columns if carry is None else carry), t.alias("__text"))
     df = df.select(*own("__text", F.array_remove(F.split("__text", f"{SPACE}+"), "").alias("__words"), F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines")))
     without = lambda chars: reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), chars, F.col("__text"))
+    short = F.filter("__words", lambda w: (F.length(w) <= SHORT) & w.rlike(r"^\p{L}+$"))
     count = lambda chars: (F.length("__text") - F.length(without(chars))).cast("long")
     df = df.select(
         *own(
@@ -54,6 +57,7 @@ def with_features(docs: DataFrame, text: str = "text", carry: list[str] | None =
             (F.length("__text") - F.length(F.regexp_replace("__text", r"\p{Lu}+", ""))).cast("long").alias("__n_upper"),
             count("!").alias("__n_bangs"),
             F.size(F.array_intersect("__words", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("__n_stop"),
+            (F.size(short) - F.size(F.array_distinct(short))).cast("long").alias("__n_short_again"),
             F.transform("__words", lambda w: F.xxhash64(w)).alias("__hash"),
         )
     )
@@ -84,6 +88,8 @@ def rules() -> list[Rule]:
     c = lambda name: F.col(f"__{name}")
     words, chars = F.greatest(c("n_words"), F.lit(1)), F.greatest(c("word_chars"), F.lit(1))
     mean = c("word_chars") / words
+    # texts of any language repeat short words of their own; one that does may be in a language that the list lacks
+    own_words = c("n_short_again") >= 0.02 * c("n_words")
     return [
         Rule("symbols", c("n_symbols") > 0.05 * chars, c("n_symbols") <= 0.01 * chars),
         Rule("duplicate_lines", (c("n_lines") >= 3) & (c("n_dup_lines") > 0.3 * c("n_lines")), (c("n_lines") >= 3) & (c("n_dup_lines") <= 0.1 * c("n_lines"))),
@@ -91,7 +97,7 @@ def rules() -> list[Rule]:
         Rule("word_length", (mean < 2.5) | (mean > 14), (mean >= 3.5) & (mean <= 10)),
         Rule("capitals", (chars >= 40) & (c("n_upper") > 0.4 * chars), (chars >= 40) & (c("n_upper") <= 0.15 * chars)),
         Rule("exclamation", c("n_bangs") > 0.2 * words, c("n_bangs") <= 0.02 * words),
-        Rule("stop_words", (c("n_words") >= 60) & (c("n_stop") < 2), (c("n_words") >= 30) & (c("n_stop") >= 3)),
+        Rule("stop_words", (c("n_words") >= 60) & (c("n_stop") < 2) & ~own_words, (c("n_words") >= 30) & (c("n_stop") >= 3)),
     ]
 
 

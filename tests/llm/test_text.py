@@ -83,6 +83,19 @@ def test_quality_model_matches_plain_expectation_maximisation(spark):
     assert [*model.on_good.values()] == pytest.approx(good) and [*model.on_bad.values()] == pytest.approx(bad)
 
 
+def test_quality_of_other_languages(spark):
+    russian = "Город стоит на берегу реки и живёт своей жизнью. Утром люди идут на рынок, и там они покупают хлеб и молоко, а вечером сидят у воды. В старом доме на площади есть школа, и дети учатся в ней уже сто лет. Зимой река стоит подо льдом, и по нему ходят рыбаки. Летом в городе много гостей, и все они хотят увидеть мост, который построили ещё до войны. О нём здесь знает каждый."
+    polish = "Miasto leży nad rzeką i żyje własnym życiem. Rano ludzie idą na rynek i kupują tam chleb oraz mleko, wieczorem siedzą nad wodą. W starym domu na placu jest szkoła i dzieci uczą się w niej już od stu lat. Zimą rzeka stoi pod lodem i chodzą po nim rybacy. Latem w mieście jest wielu gości i wszyscy chcą zobaczyć most, który zbudowano jeszcze przed wojną. Każdy tutaj o nim wie i chętnie opowiada."
+    turkish = "Şehir bir nehrin kıyısında durur ve kendi hayatını yaşar. Sabah insanlar pazara gider ve orada ekmek ve süt alır, akşam ise suyun yanında oturur. Eski bir evde bir okul var ve çocuklar orada yüz yıldır okur. Kışın nehir buzla örtülür ve bu buzun üstünde balıkçılar yürür. Yazın şehirde çok misafir olur ve hepsi bu köprüyü görmek ister. Herkes bu köprüyü bilir ve onu çok sever. Bu şehir için çok önemli bir yer."
+    rows = [(k, f"{GOOD}Number {k} has other words, {k * k}. The river was long and it is in the valley with a road for {k} people on it. " + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(200)]
+    rows += [(1_000 + k, " ".join(f"{k * 7919 + j * 104729:x}q#*" for j in range(80))) for k in range(40)]
+    rows += [(2_000, russian), (2_001, polish), (2_002, turkish)]
+    rows += [(3_000 + k, " ".join(f"zq{k}vk{j}" for j in range(80))) for k in range(5)]  # no words repeat
+    kept = {r["doc_id"]: r["q_kept"] for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[2_000] and kept[2_001] and kept[2_002] and all(kept[k] for k in range(200))
+    assert not any(kept[1_000 + k] for k in range(40)) and not any(kept[3_000 + k] for k in range(5))
+
+
 def brute_spans(text):
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from tessera.operators import series as W
 from tessera.operators import topics as L
 from tessera.operators import vectors as V
 from tessera.operators.ids import dense_ids
-from tessera.session import shared_folder
+from tessera.session import new_path
 from tessera.sources import files as S
 from tessera.sources import tables as T
 from tessera.streaming import jobs
@@ -467,10 +466,6 @@ def dense_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and sinks, through the shared folder
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 @query
 def payload_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as payloads, every other one without an id of its own, decoded, checked, normalised and searched."""
@@ -482,7 +477,7 @@ def payload_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "vectors")
+    path = new_path(spark, "vectors")
     T.write_vectors(_vectors(spark, sf_dir), path)
     return T.read_vectors(spark, path).agg(F.count("*").alias("n"), F.max(F.size("vector")).cast("long").alias("dim"), F.round(F.sum("norm"), 2).alias("norms"))
 
@@ -490,7 +485,7 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written as segments and read back, checksums verified, up to what the global index holds."""
-    root = _folder(spark, "log")
+    root = new_path(spark, "log")
     S.write_topic(_topic_log(spark, sf_dir), root)
     kept = L.committed(S.scan_topic(spark, root, "click"), S.scan_global_index(spark, root, "click"))
     return kept.select("topic", "offset", "segment_base", F.col("payload").cast("string").alias("payload"), "crc_ok")
@@ -503,7 +498,7 @@ def payload_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def facts_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "facts")
+    path = new_path(spark, "facts")
     S.save_facts(R.dump_facts(R.fold_ops(_ops(spark, sf_dir))), path)
     state, bad = R.load_facts(S.scan_lines(spark, path, K.FACTS_MAX))
     if bad is not None:
@@ -513,21 +508,21 @@ def facts_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kv_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "kv")
+    path = new_path(spark, "kv")
     S.save_kv(M.fold_kv(_commands(spark, sf_dir)), path)
     return S.load_kv(spark, path)
 
 
 @query
 def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "manifest")
+    path = new_path(spark, "manifest")
     T.write_manifest(spark, D.build_manifest(_docs(spark, sf_dir)), path, 0, "", D.CHUNK_SIZE, D.OVERLAP, sf_dir)
     return T.read_manifest(spark, path).select("doc_id", "path", "offset", "length")
 
 
 @query
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = _docs(spark, sf_dir), _folder(spark, "state")
+    docs, path = _docs(spark, sf_dir), new_path(spark, "state")
     files = D.state_from_chunks(D.assign_doc_ids(D.chunk_documents(docs)), D.hash_files(docs))
     T.write_state(spark, files, docs.select("doc_id").where("doc_id % 100 = 0"), path, 0, D.CHUNK_SIZE, D.OVERLAP, "", sf_dir)
     read, superseded, _ = T.read_state(spark, path)
@@ -624,7 +619,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "fold")
+    path = new_path(spark, "fold")
     ops = _ops_of(_stream(spark, sf_dir, "events"))
     put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n:06}")
     jobs.stream_fold(ops).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
@@ -635,7 +630,7 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "slice")
+    path = new_path(spark, "slice")
     lines = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("props").alias("line"))
     found = jobs.stream_slice(lines, field=("k", "7"), jsonl=True)
     found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
@@ -644,7 +639,7 @@ def stream_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "tail")
+    path = new_path(spark, "tail")
     vectors = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("auto_id"), F.col("embedding").alias("vector"))
     payloads = V.encode_payloads(vectors, None).select("auto_id", "payload")
     jobs.stream_vectors(payloads, f"{path}/delta", f"{path}/check").awaitTermination()

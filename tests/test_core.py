@@ -1,4 +1,5 @@
 import struct
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -284,8 +285,21 @@ def test_streams(spark, tmp_path):
     assert [r["line"] for r in spark.table("sliced").collect()] == ["x error"]
 
 
-def test_written_tables_can_be_cleared(spark, tmp_path):
+def test_written_tables_and_workspaces(spark, tmp_path, monkeypatch):
     from tessera import session
 
     df = session.written(spark.range(3), "x")
     assert df.count() == 3 and session.shared_folder(spark).startswith("file:")
+    with session.workspace(spark, "one") as place:
+        inner = session.written(spark.range(4), "y")
+        assert inner.inputFiles()[0].startswith(place)
+        with session.workspace(spark, "two") as deeper:
+            assert deeper.startswith(place) and session.new_path(spark, "z").startswith(deeper)
+    assert not session.new_path(spark, "x").startswith(place) and inner.count() == 4
+    session.discard(spark, place)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        inner.collect()
+    assert df.count() == 3
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(session.SharedFolderError):
+        session.shared_folder(bare)

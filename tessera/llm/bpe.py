@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm._vocab import CACHE_CHARS, CACHE_WORDS, pre_tokens, read_ranks
-from tessera.llm._shared import map_batches
+from tessera.llm._shared import add_columns, map_batches, named, quoted
 
 #: Known token pairs that a worker keeps.
 _PAIRS = 500_000
@@ -143,8 +143,8 @@ def encoder(path: str) -> BytePairEncoder:
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``id_col``, ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens`` for every row.
 
-    A null text counts as empty and has no ids; rows keep null or repeated ids; other columns are left out; an empty
-    table gives an empty result. No shuffle: each row is encoded where it is read.
+    A null text counts as empty and has no ids; texts of any length are read whole; rows keep null or repeated ids; other
+    columns are left out; an empty table gives an empty result. No shuffle: each row is encoded where it is read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,25 +153,25 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [id_col, "ids", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text), run, f"`{id_col}` {kind}, ids binary, n_tokens long")
+    return map_batches(docs.select(named(id_col), named(text)), run, f"{quoted(id_col)} {kind}, ids binary, n_tokens long")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary) to ``encoded``; null ids give null."""
+    """``encoded`` with ``decoded`` (binary), which replaces a column of that name; null ids give null, empty ones nothing."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(column: pa.Array) -> list[pa.Array]:
         own = encoder(vocabulary)
-        texts = [None if x is None else own.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+        return [pa.array([None if x is None else own.decode(x) for x in column.to_pylist()], pa.binary())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return map_batches(encoded, run, f"{fields}, decoded binary")
+    return add_columns(encoded, ids, run, {"decoded": "binary"})
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them.
+    """``id_col``, ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them, of every row.
 
-    Encodes and decodes in one pass, so that a task has one worker with one vocabulary.
+    A null text counts as empty; an empty one has no ids; texts of any length are read whole. Null and repeated ids and
+    repeated rows stay, alike; other columns are left out; an empty table gives an empty result. Encodes and decodes in
+    one pass, so that a task has one worker with one vocabulary.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,4 +185,4 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: s
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(named(id_col), named(text)), run, f"{quoted(id_col)} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

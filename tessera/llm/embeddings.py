@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import map_batches, stored
+from tessera.llm._shared import map_batches, named as column, stored
 from tessera.llm.graph import components
 
 #: Vectors in a block, vectors on a side that are compared outright, and leading axes of the grid.
@@ -143,7 +143,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     with null or non-finite components links with nothing, nor does a row with a null id. Rows that repeat an id are
     vectors of their own and share its component. Other columns are left out; an empty table gives an empty result.
     """
-    c, v = F.col(f"`{id_col}`").cast("long"), F.col(f"`{vector}`").cast("array<double>")
+    c, v = column(id_col).cast("long"), column(vector).cast("array<double>")
     rows = vectors.select(c.alias("id"), v.alias("v"))
     usable = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.coalesce(usable, F.lit(False)))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm._shared import map_batches
+from tessera.llm._shared import add_columns
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -373,13 +373,5 @@ def extract(pages: DataFrame, html: str = "html", into: str = "main_text", model
     feed in page order. Nulls and repeated rows stay; other columns are untouched, but one named ``into`` is
     replaced; an empty table gives an empty result. The model has a fixed size, whatever the table, and goes with the tasks.
     """
-    pages = pages.drop(into)
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
-    place = pages.columns.index(html)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [shared.value.text(h) for h in batch.column(place).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return map_batches(pages, run, f"{fields}, `{into}` string")
+    return add_columns(pages, html, lambda column: [pa.array([shared.value.text(h) for h in column.to_pylist()], pa.string())], {into: "string"})

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import stored
+from tessera.llm._shared import named, quoted, stored
 from tessera.llm._vocab import byte_level_encoder
 from tessera.operators.ids import dense_ids
 
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
             place += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["id", "ids", "key"])
 
-    encoded = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(encode, f"id {kind}, ids binary, key binary"), "encoded")
+    encoded = stored(docs.select(named(id_col).alias("id"), named(text).alias("text")).mapInArrow(encode, f"id {kind}, ids binary, key binary"), "encoded")
     firsts = dense_ids(encoded.select("key"), ["key"], into="at").where(F.col("at") % shard_rows == 0).select("key")
     shared = docs.sparkSession.sparkContext.broadcast(sorted(bytes(r["key"]) for r in firsts.collect()))
 
@@ -199,5 +199,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         }
         return pa.table(columns | ({"ids": pa.array(cut, pa.binary())} if with_ids else {}))
 
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    schema = f"{quoted(id_col)} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return encoded.mapInArrow(deal, f"id {kind}, ids binary, shard long").groupBy("shard").applyInArrow(one, schema)

@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import as_row, from_row, stored
+from tessera.llm._shared import as_row, from_row, named, stored
 
 #: White space between words: space and the characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -41,7 +41,7 @@ def with_features(docs: DataFrame, text: str = "text", carry: list[str] | None =
     repeated ones are sorted, and each position covers the words up to the next one, 8 at most.
     """
     own = lambda *cols: ["__row", *cols]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t = F.coalesce(named(text), F.lit(""))
     df = docs.select(as_row(docs.columns if carry is None else carry), t.alias("__text"))
     df = df.select(*own("__text", F.array_remove(F.split("__text", f"{SPACE}+"), "").alias("__words"), F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines")))
     without = lambda chars: reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), chars, F.col("__text"))
@@ -157,13 +157,13 @@ def score_quality(docs: DataFrame, text: str = "text", carry: list[str] | None =
 
     Returns the ``carry`` columns (all by default), ``q_n_words``, ``q_word_chars``, ``q_n_symbols``,
     ``q_n_dup_lines``, ``q_n_repeat_words`` (long), ``q_posterior`` (double), ``q_base_failed`` and ``q_kept``
-    (boolean). Any column may hold nulls; a null or empty text has no words and fails the base rules. Repeated rows are
-    judged alike and all returned; an empty table gives an empty result; other columns are untouched, but one that
-    has the name of a new column is replaced. The features are stored
-    once and read for the fit and for the verdict.
+    (boolean). Any column may hold nulls; a null or empty text has no words and fails the base rules. Texts of any length
+    are read whole. Repeated rows are judged alike and all returned; a posterior equal to ``threshold`` is kept; an empty
+    table gives an empty result; other columns are untouched, but one that has the name of a new column is replaced. The
+    votes are stored once, with the carried columns, and read for the fit and for the verdict.
     """
     votes = stored(with_votes(with_features(docs, text, carry)), "votes")
     model = fit(votes)
     failed = (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
     new = {f"q_{f}": F.col(f"__{f}") for f in FEATURES} | {"q_posterior": model.posterior(), "q_base_failed": failed, "q_kept": ~failed & (model.posterior() >= threshold)}
-    return from_row(votes, new)
+    return from_row(votes, new, docs.columns if carry is None else carry)

@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import as_row, from_row, stored
+from tessera.llm._shared import as_row, from_row, named, stored
 
 #: Kinds and patterns of the base rules. Runs of a class match whole, so their least lengths are in the
 #: pattern; a short assignment still uses up its text and is dropped afterwards.
@@ -157,7 +157,7 @@ def _score(hit: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns as the struct ``__row``, and the found and tested spans."""
-    df = docs.select(as_row(docs.columns if carry is None else carry), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    df = docs.select(as_row(docs.columns if carry is None else carry), F.coalesce(named(text), F.lit("")).alias("__text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", CANDIDATE)):
         df = _find(df, name, pattern)
     long_enough = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= MIN_ASSIGNED)
@@ -213,15 +213,16 @@ def find_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None =
 
     Both are arrays of ``(begin, kind, end)`` by begin, then kind as listed in ``KINDS`` (by number), in code points,
     end exclusive: the base matches, and these with the random tokens that overlap none of them. A null text counts as
-    empty. Nulls, repeated rows and other columns stay as they are, but one named ``s_base`` or
-    ``s_spans`` is replaced; an empty table gives an empty result. Spans are stored once and read for the control and for the result.
+    empty; texts of any length are read whole. Nulls, repeated rows and other columns stay as they are, but one named
+    ``s_base`` or ``s_spans`` is replaced; a p-value equal to its threshold is not reported; an empty table gives an
+    empty result. Spans are stored once and read for the control and for the result.
     """
     scanned = stored(scan(docs, text, carry), "spans")
     least = control(scanned, fdr)
     tag = lambda a, k: F.transform(a, lambda s: F.struct(s["begin"].alias("begin"), F.lit(k).alias("kind"), s["end"].alias("end")))
     base = F.concat(*(tag(F.col(f"__{name}"), k) for k, name in enumerate(KINDS[:3])))
     more = tag(F.filter("__random", lambda s: s["t"]["p"] > least.of(s["t"]["encoding"], s["t"]["size"])), 3)
-    return from_row(scanned, {"s_base": F.array_sort(base), "s_spans": F.array_sort(F.concat(base, more))})
+    return from_row(scanned, {"s_base": F.array_sort(base), "s_spans": F.array_sort(F.concat(base, more))}, docs.columns if carry is None else carry)
 
 
 def as_text(spans: str) -> Column:
@@ -231,8 +232,12 @@ def as_text(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", fdr: float = 0.1) -> DataFrame:
-    """``docs`` with every found span replaced by ``PLACEHOLDER``; overlapping spans are replaced as one."""
-    packed = docs.select(as_row(docs.columns), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    """``docs`` with every found span replaced by ``PLACEHOLDER``; overlapping spans are replaced as one.
+
+    A null text stays null and an empty one empty; texts of any length are read whole; repeated rows are all returned,
+    alike; columns keep their order, names and, but for ``text``, values; an empty table gives an empty result.
+    """
+    packed = docs.select(as_row(docs.columns), F.coalesce(named(text), F.lit("")).alias("text"))
     found = find_secrets(packed, fdr=fdr)
     # the spans' union, as (begin, end) in order: a cut begins where a span begins after all ends before it
     start = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
@@ -246,5 +251,5 @@ def redact(docs: DataFrame, text: str = "text", fdr: float = 0.1) -> DataFrame:
     after = lambda i: F.coalesce(F.get("s_cuts", i - 1)["end"], F.lit(0))
     parts = F.transform("s_cuts", lambda s, i: F.concat(F.col("text").substr(after(i) + 1, s["begin"] - after(i)), F.lit(PLACEHOLDER)))
     rest = F.col("text").substr(F.element_at("s_cuts", -1)["end"] + 1, F.length("text"))
-    clean = F.when(F.col("s_cuts").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("__row").getField(text))
-    return from_row(merged, {text: clean}).select(*(F.col(f"`{c}`") for c in docs.columns))
+    clean = F.when(F.col("s_cuts").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("__row").getField(f"_{docs.columns.index(text)}"))
+    return from_row(merged, {text: clean}, docs.columns).select(*map(named, docs.columns))

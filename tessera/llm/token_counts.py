@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
 
-from tessera.llm._shared import map_batches, stored
+from tessera.llm._shared import map_batches, named, stored
 from tessera.llm._vocab import byte_level_encoder
 
 
@@ -107,8 +107,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     ``huge`` characters are cut if the file is of the byte-level kind, else encoded whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), t.alias("text"))
+    t = F.coalesce(named(text), F.lit(""))
+    rows = docs.select(named(id_col).alias("id"), t.alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = byte_level_encoder(path)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import new_path, stored
+from tessera.llm._shared import named, new_path, stored
 
 #: Bytes read from an archive, and inflated from a member, at a time.
 _READ = 1 << 18
@@ -114,8 +114,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     empty payload, a null url is empty, a null id is kept as none; other columns are left out. Equal payloads meet by digest in a
     small aggregate, and rows join it; Spark splits a digest that has too many rows.
     """
-    c = lambda name: F.col(f"`{name}`")
-    rows = pages.select(c(id_col).cast("long").alias("page_id"), F.coalesce(c(url), F.lit("")).alias("url"), F.coalesce(c(html), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(named(id_col).cast("long").alias("page_id"), F.coalesce(named(url), F.lit("")).alias("url"), F.coalesce(named(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least_bytes
     first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))

@@ -3,8 +3,8 @@
 The kernel of two texts is the number of n-grams of one to three characters that both hold (presence, not counts),
 divided by the root of the product of their numbers of n-grams. N-grams are hashed to a fixed number of columns.
 Landmark documents give the Nystrom approximation; one-versus-rest kernel ridge regression is solved in its feature
-space. Kernel against landmarks, whitening and regression are all linear in a text's presence row, so scoring a batch
-is one sparse presence matrix times their product, a columns-by-languages matrix of fixed size.
+space. Kernel against landmarks, whitening and regression are all linear in a text's presence row, so a batch of texts
+is scored by one product of its sparse presence matrix with theirs, a columns-by-languages matrix.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import map_batches
+from tessera.llm._shared import add_columns, map_batches, named
 
 #: Columns that n-grams are hashed to.
 COLUMNS = 1 << 15
@@ -25,6 +25,8 @@ _LETTER = regex.compile(r"\p{L}")
 #: Characters looked at together; bounds the memory for very long texts.
 _BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Texts that are scored by one product.
+BATCH = 256
 
 
 def presence(text: str) -> np.ndarray:
@@ -47,18 +49,33 @@ def presence(text: str) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-Sparse = list[np.ndarray]
+#: Entries of the dense factor that a block of a product gathers, and landmarks whose presence is dense at once.
+_GATHERED, _LANDMARKS = 1 << 22, 256
 
 
-def times(rows: Sparse, dense: np.ndarray) -> np.ndarray:
+def times(rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
     """Presence rows, each divided by the root of its size, times a dense matrix with ``COLUMNS`` rows.
 
-    A row at a time, so that the memory beyond the result is one row's share of the matrix.
+    The rows' columns one after another, and where each row begins, are the sparse matrix; it is multiplied in blocks of
+    rows, so that what a block gathers of the dense matrix stays bounded.
     """
-    out = np.empty((len(rows), dense.shape[1]))
-    for k, columns in enumerate(rows):
-        out[k] = dense[columns].sum(axis=0) / np.sqrt(max(len(columns), 1))
-    return out
+    size = np.array([len(r) for r in rows], np.int64)
+    out = np.zeros((len(rows), dense.shape[1]))
+    block = np.cumsum(size) // max(1, _GATHERED // max(1, dense.shape[1]))
+    for some in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1):
+        full = some[size[some] > 0]
+        if len(full):
+            begin = np.cumsum(size[full]) - size[full]
+            out[full] = np.add.reduceat(dense[np.concatenate([rows[k] for k in full])], begin, axis=0)
+    return out / np.sqrt(np.maximum(size, 1))[:, None]
+
+
+def _presence_of(marks: list[np.ndarray]) -> np.ndarray:
+    """The presence of landmarks as columns of a dense matrix."""
+    basis = np.zeros((COLUMNS, len(marks)))
+    for m, row in enumerate(marks):
+        basis[row, m] = 1 / np.sqrt(max(len(row), 1))
+    return basis
 
 
 @dataclass(frozen=True)
@@ -85,49 +102,59 @@ class LanguageModel:
 
 
 def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel:
-    """Model from ``(lang, presence row)``; ``landmarks`` of them, dealt evenly over the languages, span the space."""
+    """Model from ``(lang, presence row)``. ``landmarks`` of them, dealt evenly over the languages and four of each at
+    least, span the space; their presence is dense for ``_LANDMARKS`` of them at a time."""
     languages = tuple(sorted({c for c, _ in sample}))
     if not languages:
         return LanguageModel((), np.zeros((COLUMNS, 0)), np.zeros(0))
     rows = [r for _, r in sample]
-    by = {c: [k for k, (own, _) in enumerate(sample) if own == c] for c in languages}
-    marks = [k for c in languages for k in by[c][: max(1, landmarks // len(languages))]]
-    basis = np.zeros((COLUMNS, len(marks)))
-    for m, k in enumerate(marks):
-        basis[rows[k], m] = 1 / np.sqrt(max(len(rows[k]), 1))
-    values, vectors = np.linalg.eigh(times([rows[k] for k in marks], basis))
+    by: dict[str, list[int]] = {c: [] for c in languages}
+    for k, (own, _) in enumerate(sample):
+        by[own].append(k)
+    marks = [k for c in languages for k in by[c][: max(4, landmarks // len(languages))]]
+    blocks = [marks[k : k + _LANDMARKS] for k in range(0, len(marks), _LANDMARKS)]
+    kernel = np.concatenate([times(rows, _presence_of([rows[k] for k in block])) for block in blocks], axis=1)
+    values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = times(rows, basis) @ whiten
-    target = np.array([[1.0 if own == c else -1.0 for c in languages] for own, _ in sample])
-    weight = np.array([len(rows) / (len(languages) * len(by[own])) for own, _ in sample])[:, None]  # languages count alike
+    features = kernel @ whiten
+    place = {c: k for k, c in enumerate(languages)}
+    owner = np.array([place[own] for own, _ in sample])
+    target = np.full((len(rows), len(languages)), -1.0)
+    target[np.arange(len(rows)), owner] = 1.0
+    weight = (len(rows) / (len(languages) * np.bincount(owner)))[owner][:, None]  # languages count alike
     mean, goal = (features * weight).mean(axis=0) / weight.mean(), (target * weight).mean(axis=0) / weight.mean()
-    x, y = features - mean, target - goal
-    solution = np.linalg.solve(x.T @ (x * weight) + ridge * len(rows) * np.eye(x.shape[1]), x.T @ (y * weight))
-    return LanguageModel(languages, basis @ (whiten @ solution), goal - mean @ solution)
+    features -= mean
+    solution = np.linalg.solve(features.T @ (features * weight) + ridge * len(rows) * np.eye(features.shape[1]), features.T @ ((target - goal) * weight))
+    by_landmark = whiten @ solution
+    weights = np.zeros((COLUMNS, len(languages)))
+    for k, block in enumerate(blocks):
+        weights += _presence_of([rows[m] for m in block]) @ by_landmark[k * _LANDMARKS : k * _LANDMARKS + len(block)]
+    return LanguageModel(languages, weights, goal - mean @ solution)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 200) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, sample: int = 20_000) -> LanguageModel:
     """Fit on labelled rows outside the held-out quarter.
 
-    The sample is bounded: ``per_language`` rows of each of the ``max_languages`` most frequent labels, those whose ids
-    hash lowest. The hash makes the choice the same on every run; candidates are cut inside each task first.
+    The sample is bounded: ``per_language`` rows of each label, fewer where all labels would pass ``sample`` rows
+    together, but one of each at least; those whose ids hash lowest. So every label is learned, and only the number of
+    different labels adds to the driver's memory. The hash makes the choice the same on every run; candidates are cut
+    inside each task first. Null labels and texts without letters aren't learned from; rows that repeat may be drawn
+    twice; texts of any length are read whole, in parts; an empty table gives a model that knows nothing.
     """
-    c = lambda name: F.col(f"`{name}`")
-    labelled = docs.select(c(id_col).alias("id"), c(text).alias("text"), c(lang).alias("lang")).where(c("lang").isNotNull() & ~held_out("id") & c("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    labelled = docs.select(named(id_col).alias("id"), named(text).alias("text"), named(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
+    sizes = labelled.groupBy("lang").count().collect()  # one row a label
     if not sizes:
         return fit([])
+    per_language = max(1, min(per_language, sample // len(sizes)))
     # about four times the rows that are needed pass the hash filter, so the sort is small at any size
-    share = F.lit(1.0)
-    for r in sizes:
-        share = F.when(c("lang") == r["lang"], min(1.0, 4 * per_language / r["count"])).otherwise(share)
-    draw = (F.xxhash64(c("id").cast("string"), F.lit("language sample")).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("draw")
-    drawn = labelled.where(c("lang").isin([r["lang"] for r in sizes])).select("*", draw).where(c("draw") < share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * per_language / r["count"])) for r in sizes], "lang string, share double")
+    draw = (F.xxhash64(F.col("id").cast("string"), F.lit("language sample")).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("draw")
+    drawn = labelled.select("*", draw).join(F.broadcast(shares), "lang").where("draw < share")
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [presence(t).astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
@@ -135,7 +162,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
     # presence rows are at most 64 KB each, whatever the text
     rows = map_batches(drawn.select("lang", "text", "draw"), sketch, "lang string, row binary, draw double")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "row"))).where(c("rank") <= per_language)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "row"))).where(F.col("rank") <= per_language)
     return fit([(r["lang"], np.frombuffer(r["row"], "<u2")) for r in ranked.orderBy("lang", "rank").select("lang", "row").collect()])
 
 
@@ -143,21 +170,15 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     """``docs`` with ``<prefix>lang_pred`` and ``<prefix>score`` (double, 0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned. Only the
-    text is read; rows with nulls elsewhere and repeated rows are scored alike; an empty table gives an empty result.
-    The model has a fixed size and goes out with the tasks.
+    text is read, whole at any length; equal scores go to the language that sorts first; rows with nulls elsewhere and
+    repeated rows are scored alike; other columns stay, but one that has a new column's name is replaced; an empty table
+    gives an empty result. The model grows with the labels alone and goes out with the tasks.
     """
-    docs = docs.drop(f"{prefix}lang_pred", f"{prefix}score")  # replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place, names = docs.columns.index(text), [f"{prefix}lang_pred", f"{prefix}score"]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(place).to_pylist()
-        languages, scores = [], []
-        for k in range(0, len(texts), 64):
-            some = shared.value.predict(texts[k : k + 64])
-            languages += some[0]
-            scores += some[1]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(docs, run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        texts = column.to_pylist()
+        parts = [shared.value.predict(texts[k : k + BATCH]) for k in range(0, len(texts), BATCH)]
+        return [pa.array([x for p in parts for x in p[0]], pa.string()), pa.array([x for p in parts for x in p[1]], pa.float64())]
+
+    return add_columns(docs, text, run, {f"{prefix}lang_pred": "string", f"{prefix}score": "double"})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import html, language, quality, secrets
 
 GOOD = "This is a calm and long sentence about the history of the town and its people. "
-EXTRA = [("__row", "x"), ("q_kept", "y"), ("__text", "z"), ("s_spans", "1"), ("score", "2"), ("lang_pred", "3"), ("main_text", "4"), ("words", "5")]
+EXTRA = [("__row", "x"), ("__", "x"), ("_0", "x"), ("a`b", "x"), ("q_kept", "y"), ("__text", "z"), ("s_spans", "1"), ("score", "2"), ("lang_pred", "3"), ("main_text", "4"), ("words", "5")]
 
 
 def clashing(df):
@@ -199,6 +199,66 @@ def test_language_kernel_by_definition():
             assert shared == len(grams(a) & grams(b))
 
 
+def test_language_model_is_kernel_ridge_regression():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    sample = [(c, " ".join(rng.choice(WORDS[c]) + rng.choice("xyz") for _ in range(rng.randint(2, 9)))) for c in ("aa", "bb", "cc") for _ in range({"aa": 9, "bb": 14, "cc": 6}[c])]
+    new = ["lorem qvrtz", "zwyxk", "", "ñandú dolor 77"]
+    model = language.fit([(c, language.presence(t)) for c, t in sample], landmarks=1_000, ridge=0.01)
+
+    def k(a, b):
+        x, y = set(language.presence(a).tolist()), set(language.presence(b).tolist())
+        return len(x & y) / max(1, (len(x) * len(y))) ** 0.5
+
+    n, own = len(sample), [c for c, _ in sample]
+    w = np.array([n / (3 * own.count(c)) for c in own])
+    y = np.array([[1.0 if c == d else -1.0 for d in ("aa", "bb", "cc")] for c in own])
+    kernel = np.array([[k(a, b) for _, b in sample] for _, a in sample])
+    row_mean = kernel @ w / n
+    centered = kernel - row_mean[:, None] - row_mean[None, :] + w @ row_mean / n
+    goal = w @ y / n
+    alpha = np.linalg.solve(centered + 0.01 * n * np.diag(1 / w), y - goal)
+    want = []
+    for t in new:
+        r = np.array([k(t, b) for _, b in sample])
+        want.append(goal + (r - r @ w / n - row_mean + w @ row_mean / n) @ alpha)
+    assert model.scores(new) == pytest.approx(np.array(want), abs=1e-6)
+
+
+def test_language_product_in_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(language.COLUMNS, n, replace=False)) for n in (5, 0, 40, 1, 0, 7, 300)]
+    dense = rng.normal(size=(language.COLUMNS, 3))
+    want = np.array([dense[r].sum(axis=0) / max(1, len(r)) ** 0.5 for r in rows])
+    for gathered in (1, 30, 1 << 22):
+        monkeypatch.setattr(language, "_GATHERED", gathered)
+        assert language.times(rows, dense) == pytest.approx(want)
+    assert language.times([], dense).shape == (0, 3)
+
+
+def test_language_of_many_labels():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    own = [rng.choice(language.COLUMNS, 300, replace=False) for _ in range(250)]
+    draw = lambda c: np.sort(rng.choice(own[c], 90, replace=False))
+    sample = [(f"l{c:03}", draw(c)) for c in range(250) for _ in range(8)]
+    tracemalloc.start()
+    model = language.fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 250 and peak < 500e6
+    scores = language.times([draw(c) for c in range(250)], model.weights) + model.bias
+    assert (scores.argmax(axis=1) == np.arange(250)).mean() > 0.95
+
+
 PAGES = {
     1: ("<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy now, buy cheap.</div><article><h1>Tea &amp; cake</h1><p>First   line<br>of it.<p>Second, longer paragraph of the story.</article><footer>&copy; us</footer>", "Tea & cake\nFirst line of it.\nSecond, longer paragraph of the story."),
     2: ("", ""), 3: (None, ""), 4: ("<<<>>><p", ""), 5: ("<script>var x='<p>no</p>'</script><style>p{}</style>", ""),

@@ -140,19 +140,26 @@ def supersede(files: DataFrame, plan: DataFrame, superseded: DataFrame) -> DataF
     return superseded.select("doc_id").unionByName(gone).distinct()
 
 
-def check_refresh(index: DocumentIndex, root: str, model: str, chunk_size: int, overlap: int) -> None:
-    for name, was, now in (("root", index.root, root), ("model", index.model, model), ("chunk size", index.chunk_size, chunk_size), ("overlap", index.overlap, overlap)):
+def check_refresh(index: DocumentIndex, root: str, model: str, chunk_size: int, overlap: int, dim: int | None = None) -> None:
+    """Raise before any work if the index was made otherwise, has no manifest, or its vectors aren't of its dimension."""
+    for name, was, now in (("root", index.root, root), ("model", index.model, model), ("chunk size", index.chunk_size, chunk_size), ("overlap", index.overlap, overlap), ("dimension", index.dim, index.dim if dim is None else dim)):
         if was != now:
             raise DocumentIndexError(f"the {name} was {was!r} and is {now!r}")
+    if index.manifest.isEmpty() and index.files.isEmpty():
+        raise DocumentIndexError("the index has no state")
+    stored = uniform_dim(index.base if index.delta is None else index.base.unionByName(index.delta))
+    if stored is not None and stored != index.dim:
+        raise DocumentIndexError(f"the vectors have dimension {stored} and the index {index.dim}")
 
 
 def apply_refresh(index: DocumentIndex, docs: DataFrame, embedder: Embedder, root: str | None = None, model: str | None = None) -> tuple[DocumentIndex, DataFrame]:
     """The index after the files changed, and the plan; an empty plan leaves it as it is.
 
+    The guards, the embedder's dimension on a text of one space among them, come before all work.
     Changed files are chunked before added ones, each in path order, with ids from ``next_doc_id`` on. The manifest that
     comes of it holds no texts.
     """
-    check_refresh(index, index.root if root is None else root, index.model if model is None else model, index.chunk_size, index.overlap)
+    check_refresh(index, index.root if root is None else root, index.model if model is None else model, index.chunk_size, index.overlap, len(embedder([" "])[0]))
     hashes = hash_files(docs)
     plan = written(plan_refresh(index.files, hashes), "plan")
     if plan.isEmpty():

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.formulas import MAX_ABS, Formula, constants, enumerate_formulas, predict, rpn, with_constants
+from tessera.session import written
 
 #: Up to this many formulas are scored as generated columns; more would pass the limits of generated code.
 COLUMNS_MAX = 64
-#: Probes of a constant, its least value, and the most passes over a formula's constants.
-PROBES, LEAST, PASSES = ("*0.25", "*0.5", "*2", "*4", "+0.1", "-0.1", "+1", "-1", "0.5", "1", "2", "3", "4", "5"), 1e-6, 8
+#: A constant is tried times these factors, plus these steps and as these values; its least value; passes.
+FACTORS, STEPS, VALUES = (0.25, 0.5, 2.0, 4.0), (0.1, -0.1, 1.0, -1.0), (0.5, 1.0, 2.0, 3.0, 4.0, 5.0)
+LEAST, PASSES = 1e-6, 8
+#: Points of a group that a task of the tuning holds.
+POINTS_MAX = 50_000
 
 
 def _values(formula: Formula, x: np.ndarray, known: dict) -> np.ndarray:
@@ -64,64 +68,101 @@ def score_formulas(points: DataFrame, formulas: list[Formula]) -> DataFrame:
     return sums.select("group", "formula_id", F.when(F.col("bad") > 0, float("inf")).otherwise(F.col("sse") / F.col("n")).alias("mse"))
 
 
-def _best(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("group").agg(F.min(F.struct("mse", "formula_id")).alias("b")).select("group", "b.formula_id", "b.mse")
+def _chosen(scores: DataFrame, goal_mse: float) -> DataFrame:
+    """``(group, formula_id, mse)``: the least error, the first formula on ties; the first that meets a goal if any does."""
+    met = F.when(F.lit(goal_mse > 0) & (F.col("mse") <= goal_mse), F.col("formula_id"))
+    best = scores.groupBy("group").agg(F.min(F.struct("mse", "formula_id")).alias("b"), F.min(F.struct(met.isNull().alias("no"), met.alias("formula_id"), "mse")).alias("g"))
+    pick = lambda name: F.when(~F.col("g.no"), F.col(f"g.{name}")).otherwise(F.col(f"b.{name}")).alias(name)
+    return best.select("group", pick("formula_id"), pick("mse"))
 
 
 def fit_formulas(points: DataFrame, max_nodes: int = 3, goal_mse: float = 0.0, tune: bool = False) -> DataFrame:
     """``(group, rpn, mse)``: the formula of least error, the first in order on ties.
 
     With a goal, the first formula in order that meets it is taken where one does. ``tune`` moves every formula's
-    constants by coordinate descent first and adds them as ``constants``; it takes the least error and no goal.
+    constants by coordinate descent first, for each group on its own, and adds them as ``constants``.
     """
     formulas = enumerate_formulas(max_nodes)
     if tune:
-        return _tuned(points, formulas)
-    scores = score_formulas(points, formulas)
-    if goal_mse > 0:
-        met = F.when(F.col("mse") <= goal_mse, F.col("formula_id"))
-        chosen = scores.groupBy("group").agg(F.min(F.struct("mse", "formula_id")).alias("b"), F.min(F.struct(met.isNull().alias("no"), met.alias("formula_id"), "mse")).alias("g"))
-        hit = ~F.col("g.no")
-        best = chosen.select("group", F.when(hit, F.col("g.formula_id")).otherwise(F.col("b.formula_id")).alias("formula_id"), F.when(hit, F.col("g.mse")).otherwise(F.col("b.mse")).alias("mse"))
-    else:
-        best = _best(scores)
+        return _tuned(points, formulas, goal_mse)
     spark = points.sparkSession
     names = spark.createDataFrame([(k, rpn(f)) for k, f in enumerate(formulas)], "formula_id int, rpn string")
-    return best.join(F.broadcast(names), "formula_id").select("group", "rpn", "mse")
+    return _chosen(score_formulas(points, formulas), goal_mse).join(F.broadcast(names), "formula_id").select("group", "rpn", "mse")
 
 
-def _probe(start: float, how: str) -> float:
-    v = start * float(how[1:]) if how[0] == "*" else start + float(how) if how[0] in "+-" else float(how)
-    return max(v, LEAST)
+def _probes(start: float) -> list[float]:
+    """The value itself and what it is tried as."""
+    return [start, *(max(v, LEAST) for v in (*(start * x for x in FACTORS), *(start + x for x in STEPS), *VALUES))]
 
 
-def _tuned(points: DataFrame, formulas: list[Formula]) -> DataFrame:
-    """Coordinate descent: every step probes one place of all formulas' constants for all groups in one job.
+def _tuned(points: DataFrame, formulas: list[Formula], goal_mse: float) -> DataFrame:
+    """Coordinate descent on the constants of every formula, for every group on its own.
 
-    A group keeps, for each formula, the constants of least error among those that any group has come to, so it is never
-    worse off than by its own descent. The driver holds distinct constants, at most one set for each group and formula.
+    A table holds each group's constants. A step probes one place of all formulas: parts of at most about ``POINTS_MAX``
+    points of a group meet its row and give sums of squared errors by formula and probe, which add up by group; the
+    least one, the first on ties, gives the next row. Nothing of this goes through the driver but whether a pass changed
+    anything.
     """
-    spark = points.sparkSession
-    places = max(len(constants(f)) for f in formulas)
-    current = {(k, tuple(constants(f))) for k, f in enumerate(formulas)}
-
-    def scored(tried: list[tuple[int, tuple[float, ...]]]) -> DataFrame:
-        names = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(tried)], "formula_id int, form int")
-        scores = score_formulas(points, [with_constants(formulas[k], iter(v)) for k, v in tried])
-        return scores.join(F.broadcast(names), "formula_id")
-
-    for _ in range(PASSES):
-        before = current
-        for i in range(places):
-            tried = sorted(current | {(k, (*v[:i], _probe(v[i], p), *v[i + 1 :])) for k, v in current if len(v) > i for p in PROBES})
-            best = scored(tried).groupBy("group", "form").agg(F.min(F.struct("mse", "formula_id")).alias("b"))
-            current = {tried[r[0]] for r in best.select("b.formula_id").distinct().collect()}
-        if current == before:
+    kind = points.schema["group"].dataType.simpleString()
+    first = np.cumsum([0, *(len(constants(f)) for f in formulas)])
+    sizes = written(points.groupBy("group").agg(F.count("*").alias("n")), "group-sizes")
+    parts = points.select("group", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(sizes, "group")
+    parts = written(parts.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n") / POINTS_MAX)).cast("long")).select("group", "part", "x", "y"), "group-parts")
+    state = written(sizes.select("group", "n", F.array_repeat(F.lit(1.0), int(first[-1])).alias("at")), "constants")
+
+    def step(state: DataFrame, place: int | None) -> DataFrame:
+        """``(group, form, probe, mse)``: the best probe of the place, or the error as it is."""
+
+        def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+            at = rows.column("at")[0].as_py()
+            x, y = np.asarray(own.column("x")), np.asarray(own.column("y"))
+            known: dict = {}
+            out: list[tuple[int, int, float]] = []
+            for k, f in enumerate(formulas):
+                values = at[first[k] : first[k + 1]]
+                tried = _probes(values[place]) if place is not None and len(values) > place else [None]
+                for p, v in enumerate(tried):
+                    these = values if v is None else [*values[:place], v, *values[place + 1 :]]
+                    e = (_values(with_constants(f, iter(these)), x, known) - y) ** 2
+                    out.append((k, p, float(e.sum()) if np.isfinite(e).all() else float("inf")))
+                    for g in [g for g in known if isinstance(g, tuple) and g[0] == "eml" and constants(g)]:
+                        del known[g]  # only what holds no constant is met again
+            group = pa.array([rows.column("group")[0].as_py()] * len(out), rows.schema.field("group").type)
+            return pa.table({"group": group, "form": pa.array([r[0] for r in out], pa.int32()), "probe": pa.array([r[1] for r in out], pa.int32()), "sse": pa.array([r[2] for r in out], pa.float64())})
+
+        each = state.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / POINTS_MAX) - 1)))
+        sums = parts.groupBy("group", "part").cogroup(each.groupBy("group", "part")).applyInArrow(run, f"group {kind}, form int, probe int, sse double")
+        best = sums.groupBy("group", "form", "probe").agg(F.sum("sse").alias("sse")).groupBy("group", "form").agg(F.min(F.struct("sse", "probe")).alias("b"))
+        return best.join(sizes, "group").select("group", "form", F.col("b.probe").alias("probe"), (F.col("b.sse") / F.col("n")).alias("mse"))
+
+    def moved(state: DataFrame, best: DataFrame, place: int) -> DataFrame:
+        """The state with the chosen probes, and in ``changed`` whether any isn't the value that was there."""
+        listed = best.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("form", "probe"))).alias("chosen"))  # one entry a formula
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, changed = [], []
+                for values, chosen in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    picks = {c["form"]: c["probe"] for c in chosen if c["probe"]}
+                    for k, p in picks.items():
+                        values[first[k] + place] = _probes(values[first[k] + place])[p]
+                    at.append(values)
+                    changed.append(bool(picks))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.float64())), pa.array(changed, pa.bool_())], ["group", "n", "at", "changed"])
+
+        return written(state.select("group", "n", "at").join(listed, "group").mapInArrow(run, f"group {kind}, n long, at array<double>, changed boolean"), "constants")
+
+    for _ in range(PASSES if first[-1] else 0):
+        changed = False
+        for place in range(max(len(constants(f)) for f in formulas)):
+            state = moved(state, step(state, place), place)
+            changed = not state.where("changed").isEmpty() or changed
+        if not changed:
             break
-    tried = sorted(current)
-    texts = spark.createDataFrame([(i, rpn(formulas[k]), list(v)) for i, (k, v) in enumerate(tried)], "formula_id int, rpn string, constants array<double>")
-    best = scored(tried).groupBy("group").agg(F.min(F.struct("mse", "form", "formula_id")).alias("b")).select("group", "b.formula_id", "b.mse")
-    return best.join(F.broadcast(texts), "formula_id").select("group", "rpn", "constants", "mse")
+    scores = step(state, None).select("group", F.col("form").alias("formula_id"), "mse")
+    names = points.sparkSession.createDataFrame([(k, rpn(f), int(first[k]), int(first[k + 1] - first[k])) for k, f in enumerate(formulas)], "formula_id int, rpn string, begin int, size int")
+    picked = _chosen(scores, goal_mse).join(F.broadcast(names), "formula_id").join(state.select("group", "at"), "group")
+    return picked.select("group", "rpn", F.slice("at", F.col("begin") + 1, F.col("size")).alias("constants"), "mse")
 
 
 def baseline_mse(points: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 _RESET = ("SET", "DEL")
 _COUNT = ("INCR", "DECR")
 
@@ -38,11 +40,21 @@ def fold_kv(commands: DataFrame) -> DataFrame:
 
 
 def kv_errors(commands: DataFrame) -> DataFrame:
-    """INCR and DECR commands that met a string."""
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("cmd").isin(*_RESET), F.struct("cmd", "value")), ignorenulls=True).over(w)
-    rows = commands.withColumn("__last", last).where(F.col("cmd").isin(*_COUNT) & (F.col("__last.cmd") == "SET") & as_int(F.col("__last.value")).isNull())
-    return rows.select("seq", "cmd", "key")
+    """INCR and DECR commands that met a string.
+
+    Commands are cut where range partitioning by key and order cuts them. Inside a cut a window finds the reset before a
+    command; before its first one the last reset of the key's earlier cuts counts, which a small table gives: one row a
+    key and cut. So a key with most of the rows is spread over many tasks.
+    """
+    rows = commands.select("seq", "cmd", "key", F.when(F.col("cmd").isin(*_RESET), F.struct("cmd", "value")).alias("reset"))
+    cut = written(rows.repartitionByRange("key", "seq").withColumn("cut", F.spark_partition_id()), "commands")
+    inside = Window.partitionBy("key", "cut").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy("key", "cut").agg(F.max_by("reset", F.when(F.col("reset").isNotNull(), F.col("seq"))).alias("end"))
+    before = Window.partitionBy("key").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cut
+    entry = written(ends.select("key", "cut", F.last("end", ignorenulls=True).over(before).alias("entry")), "entries")
+    met = F.coalesce(F.last("reset", ignorenulls=True).over(inside), F.col("entry"))
+    found = cut.join(entry, ["key", "cut"]).withColumn("met", met)
+    return found.where(F.col("cmd").isin(*_COUNT) & (F.col("met.cmd") == "SET") & as_int(F.col("met.value")).isNull()).select("seq", "cmd", "key")
 
 
 def mget(kv: DataFrame, keys: DataFrame) -> DataFrame:

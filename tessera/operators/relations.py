@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import valid_name
-from tessera.session import written
+from tessera.session import new_path, written
 
 #: Least arguments by operation; set operations take exactly as many.
 ARITY = {"SADD": 2, "SREM": 2, "RADD": 3, "RREM": 3}
@@ -175,15 +175,19 @@ def rintersect(r: DataFrame, s: DataFrame) -> DataFrame:
 def transitive_closure(relation: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """Pairs joined by a path of one or more steps, semi-naively: only new pairs are extended each round.
 
-    Every round is written to the shared folder; rounds are as many as the longest shortest path.
+    Every round's new pairs are one more folder of a single table, which the next round reads as one; so the plan doesn't
+    grow with the rounds, of which there are as many as the longest shortest path.
     """
-    step = written(relation.select("left", "right").distinct(), "closure")
-    total, delta = step, step
-    for _ in range(max_rounds):
-        new = written(compose(delta, step).join(total, ["left", "right"], "left_anti"), "closure")
-        if new.isEmpty():
-            return total
-        total, delta = total.unionByName(new), new
+    spark, place = relation.sparkSession, new_path(relation.sparkSession, "closure")
+    schema = relation.select("left", "right").schema
+    step = written(relation.select("left", "right").distinct(), "steps")
+    step.write.parquet(f"{place}/round=0")
+    read = lambda path: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    for n in range(max_rounds):
+        new = compose(read(f"{place}/round={n}"), step).join(read(place), ["left", "right"], "left_anti")
+        new.write.parquet(f"{place}/round={n + 1}")
+        if read(f"{place}/round={n + 1}").isEmpty():
+            return read(place)
     raise RuntimeError(f"paths are longer than {max_rounds} steps")
 
 

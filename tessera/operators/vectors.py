@@ -7,15 +7,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, l2_norm, unit
+from tessera.session import new_path
 
 #: Dimensions that a payload may have.
 MIN_DIM, MAX_DIM = 1, 4096
-#: Most query components (queries x dimensions) that are sent to every task at once.
-BROADCAST_COMPONENTS = 4_000_000
+#: Components of the vectors that a task of the batch search holds at once, and most scores of a product.
+HELD_COMPONENTS, PRODUCT = 16_000_000, 4_000_000
+#: More than a single-precision product of unit vectors can be off by.
+_SLACK = 2e-5
 
 
 class VectorError(ValueError):
@@ -78,76 +82,111 @@ def build_vectors(payloads: DataFrame) -> DataFrame:
     return normalize(resolve_ids(decoded).select("doc_id", "vector"))
 
 
-def _checked(vectors: DataFrame, query: Sequence[float], vector: str) -> list[float]:
+def _query(query: Sequence[float]) -> list[float]:
     q = [float(x) for x in query]
     if not any(q):
         raise VectorError("a query of norm zero")
-    bad = vectors.agg(F.count_if(F.size(vector) != len(q)).alias("dim"), F.count_if(F.col("norm").isNull() | F.isnan("norm") | (F.col("norm") <= 0)).alias("norm") if "norm" in vectors.columns else F.lit(0).alias("norm")).first()
-    if bad["dim"] or bad["norm"]:
-        raise VectorError(f"{bad['dim']} vectors of another dimension, {bad['norm']} without a norm")
     return q
 
 
 def cosine_topk(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "doc_id", vector: str = "vector", check: bool = True) -> DataFrame:
     """``(doc_id, score)`` of the ``k`` most similar vectors, by score, then id; scores have six decimals.
 
-    The order is taken on full-precision scores. ``k`` rows reach one task; every task first keeps its own ``k``.
+    The order is taken on full-precision scores. ``k`` rows reach one task; every task first keeps its own ``k``. A
+    query of norm zero is refused at once; a vector of another dimension than the query's, with nulls or without a norm
+    fails the job, where it is scored, unless ``check`` is off.
     """
-    q = _checked(vectors, query, vector) if check else [float(x) for x in query]
-    literal = F.lit(q)
-    norm = float(np.linalg.norm(q))
-    score = dot(vector, literal) / (l2_norm(vector) * norm)
+    q = _query(query)
+    own = l2_norm(vector)
+    score = dot(vector, F.lit(q)) / (own * float(np.linalg.norm(q)))
+    if check:
+        stored = [F.coalesce(F.col("norm") > 0, F.lit(False)) & ~F.isnan("norm")] if "norm" in vectors.columns else []
+        good = F.coalesce((F.size(vector) == len(q)) & (own > 0) & (own < float("inf")), F.lit(False))  # NaN is over infinity
+        for c in stored:
+            good = good & c
+        score = F.when(good & score.isNotNull(), score).otherwise(F.raise_error(F.lit("a vector of another dimension, or without a norm")).cast("double"))
     top = vectors.select(F.col(id_col).alias("doc_id"), score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
     return top.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _rows_of(column: pa.Array, dim: int) -> np.ndarray:
+    """A batch of vectors as unit rows in single precision; raises where one has another dimension, nulls or no norm."""
+    if column.null_count or column.flatten().null_count or len(column) * dim != len(column.flatten()) or (np.diff(np.asarray(column.offsets)) != dim).any():
+        raise VectorError(f"a vector that is null, holds nulls or has another dimension than {dim}")
+    x = np.asarray(column.flatten(), np.float32).reshape(-1, dim)
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        unit_rows = (x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+    if not np.isfinite(unit_rows).all():
+        raise VectorError("a vector without a norm")
+    return unit_rows
+
+
+def _best(q: np.ndarray, x: np.ndarray, q32: np.ndarray, x32: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, id, score)`` of each query's ``k`` best rows, by score, then id. Single precision finds who may be among
+    them, double precision orders these."""
+    s = q32 @ x32.T
+    n = s.shape[1]
+    least = np.partition(s, n - k, axis=1)[:, n - k] if n > k else s.min(axis=1)
+    rows, cols = np.nonzero(s >= least[:, None] - _SLACK)
+    a, b = q[rows], x[cols].astype(np.float64)
+    exact = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+    order = np.lexsort((ids[cols], -exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place < k
+    return rows[keep], ids[cols[keep]], exact[keep]
+
+
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vector: str = "vector", query_id: str = "query_id") -> DataFrame:
     """``(query_id, rank, doc_id, score)`` for a table of queries of like dimension.
 
-    Queries go out in blocks of a bounded number of components; each task scores a batch of vectors against a block by
-    one matrix product and keeps its ``k`` best of each query, which meet in a ranking by query.
+    The queries are stored once in the shared folder. A task holds a bounded part of its vectors, reads the queries from
+    there in blocks and scores each block by one matrix product; each query's ``k`` best of every part meet in a ranking
+    by query. So vectors are scanned once, nothing goes through the driver, and memory grows with neither table. Queries
+    that differ in dimension, hold nulls or have norm zero are refused at once; such a vector fails the job.
     """
     spark = vectors.sparkSession
-    dim = uniform_dim(queries, vector)
-    if dim is None:
+    q = F.col(vector).cast("array<double>")
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), q.alias("q"))
+    bad = F.coalesce(F.exists("q", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | (l2_norm("q") == 0), F.lit(True))
+    sums = asked.agg(F.min(F.size("q")).alias("lo"), F.max(F.size("q")).alias("hi"), F.count_if(bad).alias("bad"), F.count("*").alias("n")).first()
+    if not sums["n"]:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    step = max(1, BROADCAST_COMPONENTS // dim)
-    rows = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("q")).orderBy("query_id").toLocalIterator()
-    out: DataFrame | None = None
-    block: list = []
-
-    def part(block: list) -> DataFrame:
-        matrix = np.array([r["q"] for r in block], float)
-        norms = np.linalg.norm(matrix, axis=1)
-        if not norms.all():
-            raise VectorError("a query of norm zero")
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in block], matrix / norms[:, None]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best_s, best_d = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.asarray(batch.column(1).flatten(), float).reshape(len(batch), -1)
-                s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                d = np.broadcast_to(np.asarray(batch.column(0)), s.shape)
-                s, d = np.concatenate([best_s, s], axis=1), np.concatenate([best_d, d], axis=1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, axis=1), np.take_along_axis(d, order, axis=1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, n), pa.int64()), "doc_id": pa.array(best_d.ravel(), pa.int64()), "score": pa.array(best_s.ravel(), pa.float64())})
-
-        return vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == step:
-            out, block = part(block) if out is None else out.unionByName(part(block)), []
-    if block:
-        out = part(block) if out is None else out.unionByName(part(block))
+    if sums["bad"] or sums["lo"] != sums["hi"]:
+        raise VectorError(f"{sums['bad']} queries that are null, hold nulls or have norm zero; dimensions from {sums['lo']} to {sums['hi']}")
+    dim, path = sums["lo"], new_path(spark, "queries")
+    asked.write.parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = fs.FileSystem.from_uri(path)
+        held: list[pa.RecordBatch] = []
+        units: list[np.ndarray] = []
+        size = 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.asarray(b.column(0)) for b in held])
+            raw = np.concatenate([np.asarray(b.column(1).flatten()) for b in held]).reshape(-1, dim)
+            x32 = np.concatenate(units)
+            for block in dataset.dataset(place, filesystem=store, format="parquet").to_batches(batch_size=max(1, PRODUCT // len(ids))):
+                if len(block):
+                    asked_ids, q = np.asarray(block.column(0)), np.asarray(block.column(1).flatten(), float).reshape(-1, dim)
+                    rows, found, score = _best(q, raw, (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32), x32, ids, k)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(asked_ids[rows], pa.int64()), "doc_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
+
+        for batch in batches:
+            if len(batch):
+                units.append(_rows_of(batch.column(1), dim))
+                held.append(batch)
+                size += len(batch) * dim
+                if size >= HELD_COMPONENTS:
+                    yield from scored()
+                    held, units, size = [], [], 0
+        if held:
+            yield from scored()
+
+    parts = vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector).alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def cosine_topk_merged(base: DataFrame, delta: DataFrame | None, superseded: DataFrame, query: Sequence[float], k: int, check: bool = True) -> DataFrame:

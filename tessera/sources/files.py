@@ -20,6 +20,7 @@ from tessera.operators.ids import dense_ids
 from tessera.operators.keyed import as_int
 from tessera.operators.lines import FACTS_MAX, SLICE_MAX, lines_of
 from tessera.operators.relations import parse_facts
+from tessera.session import written
 
 #: Extensions of documents, folders that are skipped, and the most bytes of a document.
 EXTENSIONS = (".md", ".txt", ".jsonl", ".py", ".go", ".rs", ".js", ".ts", ".cpp", ".hpp", ".c", ".h", ".zig", ".asm", ".sh")
@@ -34,37 +35,37 @@ def _store(root: str) -> tuple[fs.FileSystem, str]:
 def list_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
     """``(path, is_dir, length)`` of everything below ``root``, paths relative with ``/``; links aren't followed.
 
-    The root's own entries are listed here, the folders among them in tasks of their own.
+    The tree is walked level by level: a round lists the folders of one level, each in one of many tasks and in batches,
+    and is stored; its folders are the next round's. So a large subtree is spread however it lies.
     """
-
-    def entries(store: fs.FileSystem, base: str, below: str, deep: bool) -> Iterator[tuple[str, bool, int]]:
-        for i in store.get_file_info(fs.FileSelector(f"{base}/{below}" if below else base)):
-            is_dir, name = i.type == fs.FileType.Directory, i.base_name
-            if is_dir and skip_hidden and (name.startswith(".") or name in SKIPPED) or i.type not in (fs.FileType.Directory, fs.FileType.File):
-                continue
-            path = f"{below}/{name}" if below else name
-            yield path, is_dir, 0 if is_dir else i.size
-            if is_dir and deep:
-                yield from entries(store, base, path, deep)
-
+    schema = "path string, is_dir boolean, length long"
     store, base = _store(root)
     if store.get_file_info(base).type != fs.FileType.Directory:
         raise FileNotFoundError(f"{root} is no folder")
-    top = list(entries(store, base, "", False))
-    schema = "path string, is_dir boolean, length long"
-    here = spark.createDataFrame(top, schema)
-    folders = [(p,) for p, is_dir, _ in top if is_dir]
-    if not folders:
-        return here
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, place = _store(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                rows = list(entries(own, place, folder, True))
-                yield pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "is_dir": pa.array([r[1] for r in rows], pa.bool_()), "length": pa.array([r[2] for r in rows], pa.int64())})
-
-    return here.unionByName(spark.createDataFrame(folders, "path string").repartition(len(folders), "path").mapInArrow(walk, schema))
+                rows = []
+                for i in own.get_file_info(fs.FileSelector(f"{place}/{folder}" if folder else place)):
+                    is_dir, name = i.type == fs.FileType.Directory, i.base_name
+                    hidden = is_dir and skip_hidden and (name.startswith(".") or name in SKIPPED)
+                    if not hidden and i.type in (fs.FileType.Directory, fs.FileType.File):
+                        rows.append((f"{folder}/{name}" if folder else name, is_dir, 0 if is_dir else i.size))
+                for k in range(0, len(rows), 10_000):
+                    some = rows[k : k + 10_000]
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in some], pa.string()), "is_dir": pa.array([r[1] for r in some], pa.bool_()), "length": pa.array([r[2] for r in some], pa.int64())})
+
+    level = spark.createDataFrame([("",)], "path string")
+    found: DataFrame | None = None
+    while True:
+        listed = written(level.mapInArrow(walk, schema), "listing")
+        found = listed if found is None else found.unionByName(listed)
+        folders = listed.where("is_dir").select("path")
+        if folders.isEmpty():
+            return found
+        level = folders.repartition("path")
 
 
 def read_contents(listing: DataFrame, root: str) -> DataFrame:
@@ -139,7 +140,8 @@ def scan_topic(spark: SparkSession, root: str, topic: str, on_error: str = "fail
                             rows, crcs = [], []
                     yield full(at)
 
-    records = segments.select("path").mapInArrow(run, "segment_base long, at long, payload binary, crc_ok boolean")
+    # stored, as the counts and the records both read it
+    records = written(segments.select("path").repartition("path").mapInArrow(run, "segment_base long, at long, payload binary, crc_ok boolean"), "records")
     counts = records.groupBy("segment_base").count()  # one row a segment
     before = F.coalesce(F.sum("count").over(Window.orderBy("segment_base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("segment_base", before.alias("first"))

@@ -39,13 +39,47 @@ def test_search_is_the_same_for_any_partitions(spark):
         assert [(r["query_id"], r["doc_id"], r["score"]) for r in got] == [(1, 100, 1.0), (1, 300, 0.993884), (2, 200, 1.0), (2, 300, 0.110432)]
     with pytest.raises(V.VectorError):
         V.cosine_topk(vectors, [0, 0, 0, 0], 2)
-    with pytest.raises(V.VectorError):
-        V.cosine_topk(vectors, [1, 0], 2)
+    with pytest.raises(Exception, match="another dimension"):
+        V.cosine_topk(vectors, [1, 0], 2).collect()
     assert hits(V.cosine_topk(vectors.limit(0), [1, 0, 0, 0], 2)) == []
     a = V.cosine_topk(vectors, [1, 0, 0, 0], 2)
     assert V.same_hits(a, a) and not V.same_hits(a, V.cosine_topk(vectors, [1, 0, 0, 0], 3))
 
 
+def test_batch_search_refuses_what_single_search_does(spark):
+    of = lambda rows: spark.createDataFrame(rows, "doc_id long, vector array<float>")
+    ask = lambda rows: spark.createDataFrame(rows, "query_id long, vector array<float>")
+    one = ask([(1, [1.0, 0.0])])
+    for bad in ([(1, [1.0, 0.0]), (2, [0.0, 0.0])], [(1, [1.0]), (2, [1.0, 2.0, 3.0])], [(1, None)], [(1, [1.0, None])], [(1, [float("nan"), 1.0])], [(1, [])]):
+        with pytest.raises(Exception, match="vector"):
+            V.cosine_topk_batch(of(bad), one, 2).collect()
+        with pytest.raises(Exception, match="a vector of"):
+            V.cosine_topk(of(bad), [1.0, 0.0], 2).collect()
+        with pytest.raises(V.VectorError):
+            V.cosine_topk_batch(of([(1, [1.0, 0.0])]), ask(bad), 2)
+    assert V.cosine_topk_batch(of([]), one, 2).isEmpty() and V.cosine_topk_batch(of([(1, [1.0, 0.0])]), ask([]), 2).isEmpty()
+
+
+def test_batch_search_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(700, 12)).astype(np.float32), rng.normal(size=(60, 12)).astype(np.float32)
+    x[100:140] = x[5]  # ties go to the smaller id
+    q[3] = x[5] * 3
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, vector array<float>").repartition(5)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "query_id long, vector array<float>")
+    a, b = x.astype(float), q.astype(float)
+    s = (b / np.linalg.norm(b, axis=1, keepdims=True)) @ (a / np.linalg.norm(a, axis=1, keepdims=True)).T
+    s[:, 100:140] = s[:, [5]]
+    for k in (1, 7, 50):
+        got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in V.cosine_topk_batch(vectors, queries, k).collect()}
+        want = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        assert len(got) == 60 * k
+        assert all(got[i, r + 1] == (want[i, r], pytest.approx(s[i, want[i, r]], abs=1e-6)) for i in range(60) for r in range(k))
+    monkeypatch.setattr(V, "PRODUCT", 100)
+    rows, ids, score = V._best(b, a, b.astype(np.float32) / np.linalg.norm(b, axis=1, keepdims=True).astype(np.float32), a.astype(np.float32) / np.linalg.norm(a, axis=1, keepdims=True).astype(np.float32), np.arange(700), 3)
+    assert len(rows) == 180 and (score.reshape(60, 3)[:, 0] == score.reshape(60, 3).max(axis=1)).all()
+
+
 def test_payloads(spark):
     rows = [(0, payload(ROWS[0][1], 100)), (1, payload(ROWS[1][1])), (2, payload(ROWS[2][1], 2**64 - 1))]
     built = V.build_vectors(spark.createDataFrame(rows, "auto_id long, payload binary"))
@@ -250,6 +284,8 @@ def test_formulas(spark):
     line = spark.createDataFrame([("l", x, float(np.exp(x) - np.log(4.0))) for x in (0.1, 0.5, 0.9)], "group string, x double, y double")
     tuned = E.fit_formulas(line, 1, tune=True).first()
     assert tuned["rpn"] == "x f eml" and tuned["constants"] == [4.0] and tuned["mse"] < 1e-12
+    with_goal = E.fit_formulas(line, 1, goal_mse=0.5, tune=True).first()
+    assert with_goal["mse"] <= 0.5 and f.enumerate_formulas(1)[[f.rpn(x) for x in f.enumerate_formulas(1)].index(with_goal["rpn"])] != "x f eml"
     some = f.enumerate_formulas(2)[:40]
     both = [{(r["group"], r["formula_id"]): r["mse"] for r in E.score_formulas(points, x).collect()} for x in (some, some * 2)]
     assert all(np.isclose(both[0][k], both[1][k]) or both[0][k] == both[1][k] for k in both[0])
@@ -258,6 +294,33 @@ def test_formulas(spark):
     assert np.isnan(nan)
 
 
+def test_tuning_equals_descents_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(E, "POINTS_MAX", 4)
+    rng = np.random.default_rng(2)
+    data = {g: [(x, float(np.exp(x * s) - np.log(c) + rng.normal() * 0.05)) for x in rng.uniform(0.1, 1.2, n).tolist()] for g, s, c, n in (("a", 1.0, 3.3, 11), ("b", 0.4, 0.7, 5), ("c", 1.5, 2.0, 3))}
+    points = spark.createDataFrame([(g, *p) for g, ps in data.items() for p in ps], "group string, x double, y double")
+    formulas = f.enumerate_formulas(2)
+
+    def error(form, at, ps):
+        e = E._values(f.with_constants(form, iter(at)), np.array([p[0] for p in ps]), {}) - np.array([p[1] for p in ps])
+        return float((e * e).mean()) if np.isfinite(e).all() else float("inf")
+
+    got = {r["group"]: r for r in E.fit_formulas(points, 2, tune=True).collect()}
+    for g, ps in data.items():
+        best = (float("inf"), 0, [])
+        for k, form in enumerate(formulas):
+            at = f.constants(form)
+            for _ in range(8):
+                before = list(at)
+                for i in range(len(at)):
+                    tries = [at[i], *(max(v, 1e-6) for v in (at[i] * 0.25, at[i] * 0.5, at[i] * 2, at[i] * 4, at[i] + 0.1, at[i] - 0.1, at[i] + 1, at[i] - 1, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0))]
+                    at[i] = min(tries, key=lambda v: error(form, [*at[:i], v, *at[i + 1 :]], ps))
+                if at == before:
+                    break
+            best = min(best, (error(form, at, ps), k, at), key=lambda b: b[:2])
+        assert got[g]["mse"] == pytest.approx(best[0], rel=1e-6) and f.rpn(formulas[best[1]]) == got[g]["rpn"]
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(k * 7 % 101,) for k in range(101)], "v int").repartition(4)
     got = dense_ids(df, ["v"], "n", start=10).orderBy("v").collect()

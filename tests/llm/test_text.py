@@ -287,6 +287,66 @@ def test_html_with_omitted_tags():
     assert "hidden" not in model.text(f"<body><button><div>hidden</div></button><select><option>hidden</select>{story}")
 
 
+#: Pages of varied layouts, written by hand, with their article.
+GOLD = [
+    ("""<!doctype html><html><head><title>Harbour news</title><script>var a="<p>no</p>";</script></head><body>
+<div id="cookie-banner"><p>We use cookies to improve your visit. <a href="/privacy">Read more</a></p><button>Accept</button></div>
+<div class="top-nav"><a href="/">Home</a> <a href="/news">News</a> <a href="/sport">Sport</a></div>
+<div class="story-body"><h1>Harbour wall reopens after repairs</h1>
+<p>The old harbour wall reopened on Monday, after two years of repairs that cost the town far more than planned.</p>
+<p>Fishermen said they were glad, though some boats had already moved north.</p>
+<div class="ad-slot">Buy two nets, get one free!</div>
+<p>The council will meet again in May.</p></div>
+<div class="related-links"><h3>Related</h3><ul><li><a href=/a>Old boats</a></li><li><a href=/b>New piers</a></li></ul></div>
+<div class="user-comments"><h3>3 comments</h3><div class="comment"><p>Great news for all of us, thanks for the report.</p></div><div class="comment"><p>About time, I would say.</p></div></div>
+<div class="site-footer"><p>Copyright Harbour News. All rights reserved.</p></div></body></html>""",
+     "Harbour wall reopens after repairs\nThe old harbour wall reopened on Monday, after two years of repairs that cost the town far more than planned.\nFishermen said they were glad, though some boats had already moved north.\nThe council will meet again in May."),
+    ("""<html><body><header><a href="/">My kitchen</a><form role=search><input name=q><button>Search</button></form></header>
+<main><h1>Plum cake</h1><p>This cake keeps for a week, if nobody finds it.</p><h2>You need</h2><ul><li>Six ripe plums, halved.</li><li>Two cups of flour.</li><li>Three eggs &amp; some sugar.</li></ul>
+<h2>Method</h2><p>Mix everything, pour it into a tin,<br>and bake it for an hour.</p><blockquote><p>My aunt always said to wait a day before you cut it.</p></blockquote></main>
+<aside><h3>About me</h3><p>I cook, I write, and I sleep.</p></aside><footer><nav><a href=/x>Imprint</a> <a href=/y>Contact</a></nav></footer></body></html>""",
+     "Plum cake\nThis cake keeps for a week, if nobody finds it.\nYou need\nSix ripe plums, halved.\nTwo cups of flour.\nThree eggs & some sugar.\nMethod\nMix everything, pour it into a tin, and bake it for an hour.\nMy aunt always said to wait a day before you cut it."),
+    ("""<body><table class="layout"><tr><td class="menu"><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><td>
+<div id="content"><h1>The long winter</h1><p>Snow fell for nine days, and on the tenth the road was gone.<p>We walked on the frozen river instead, which was faster, if colder.<p>Nobody complained &mdash; at least not aloud.</div></table>
+<div class="newsletter"><p>Get our letter every week.</p><form><input name=mail><button>Go</button></form></div>""",
+     "The long winter\nSnow fell for nine days, and on the tenth the road was gone.\nWe walked on the frozen river instead, which was faster, if colder.\nNobody complained — at least not aloud."),
+    ("""<html><body><nav><ul><li><a href="#">Docs</a></li><li><a href="#">Blog</a></li></ul></nav><section id="post"><h2>Release notes</h2><p>Version two is here, with a faster reader and fewer bugs.</p>
+<pre>run --fast\n  now</pre><p>Thanks to all who sent reports.</p></section><section id="comments"><h3>Comments</h3><p>Works well here, no problems so far.</p><form><textarea>Your comment</textarea><button>Send</button></form></section><footer>&copy; 2020 The team</footer></body></html>""",
+     "Release notes\nVersion two is here, with a faster reader and fewer bugs.\nrun --fast now\nThanks to all who sent reports."),
+    ("""<html><body><div class="wrapper"><div class="masthead"><h2>Village paper</h2></div><div class="notice">This site is best seen at night.</div><div><div class="entry-content"><h1>Market day moves</h1><p>From June on the market is held on Fridays, the mayor said, since Thursday is taken.</p><p>Stalls open at six.</p></div></div><div class="sidebar"><div class="widget"><h3>Weather</h3><p>Rain, then more rain.</p></div></div></div></body></html>""",
+     "Market day moves\nFrom June on the market is held on Fridays, the mayor said, since Thursday is taken.\nStalls open at six."),
+]
+
+
+def test_html_of_varied_layouts():
+    model = html.default_model()
+    for page, want in GOLD:
+        assert model.text(page) == want
+    broken = GOLD[0][0].replace("</p>", "").replace("</h1>", "")  # end tags that HTML lets out
+    assert model.text(broken).startswith(GOLD[0][1][:150])
+
+
+def test_html_parts():
+    kinds = lambda page: [(k, w) for k, w, _ in html.parts(page) if w]
+    assert kinds("a < b<p>c</P >d") == [("text", "a < b"), ("start", "p"), ("text", "c"), ("end", "p"), ("text", "d")]
+    assert kinds("<!doctype html><!-- <p> --><?x?></ y>t<!-->u<!--") == [("text", "t"), ("text", "u")]
+    assert kinds("<script>if (a<b) '</p>'</script><i>x") == [("start", "script"), ("text", "if (a<b) '</p>'"), ("end", "script"), ("start", "i"), ("text", "x")]
+    (_, _, attributes), *_ = (p for p in html.parts("""<a CLASS=x id = 'y > "z"' b/c="&amp;é" =d e>""") if p[0] == "start")
+    assert attributes == [("class", "x"), ("id", 'y > "z"'), ("b", None), ("c", "&é"), ("=d", None), ("e", None)]
+    assert kinds("x<p class='a") == [("text", "x")] and kinds("x<p") == [("text", "x")] and kinds("<style>p") == [("start", "style")] and kinds("<") == [("text", "<")]
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    n = 100_000
+    for page in ("<div>" + "<span>" * n + "</i>" * n, "<i><div>" + "<span>" * n + "</i>" * n, "<div>" + "<span>" * n + "<h1>x</h1>" * n, "<div>" + "<span>" * n + "<i>x</i>" * n, "<svg>" + "<g>" * n + "</svg>x",
+                 "<!--" * n, '<a x="' * n, "<a " + "x " * n, "<![CDATA[" * n, "</" * n, "<?" * n, "<" * n, "&" * n, "<script>" * n, "<p " * n):
+        began = time.process_time()
+        html.Page(page).features()
+        assert time.process_time() - began < 30, page[:20]
+
+
 def test_html_held_out_and_messages():
     from itertools import product
     from math import exp, log

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,17 +25,29 @@ from tessera.llm._shared import named, new_path, stored
 
 #: Bytes read from an archive, and inflated from a member, at a time.
 _READ = 1 << 18
+#: Bytes in which a record's header must end.
+_MOST_HEAD = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def payload_digest(payload: bytes) -> str:
+def payload_digest(payload: bytes | memoryview) -> str:
     """SHA-1 in upper-case base32."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_urn(page_id: int | None, serial: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{serial}')}>"
+def record_urn(page_id: int | None) -> str:
+    """The name of a page's record; rows that repeat an id share it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+
+
+_UNSAFE = re.compile(r"[\x00-\x20\x7F]")
+
+
+def url_fields(url: str) -> dict[str, str]:
+    """The address as a header can hold it; one with spaces or control signs is percent-encoded and also kept as it is."""
+    safe = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    return {"WARC-Target-URI": safe} | ({"X-Original-URL": json.dumps(url)} if safe != url else {})
 
 
 def record_bytes(kind: str, fields: dict[str, str], block: bytes) -> bytes:
@@ -76,34 +90,58 @@ def _members(stream: IO[bytes]) -> Iterator[Iterator[bytes]]:
         rest = state["rest"]
 
 
+def _parsed(head: bytes) -> tuple[dict[str, str], int]:
+    """Fields by lower-case name, and the block's length."""
+    first, *lines = head.decode("utf-8").split("\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    if not first.startswith("WARC/1.") or not fields.get("content-length", "").isdecimal():
+        raise WarcError("a record lacks its header")
+    return fields, int(fields["content-length"])
+
+
 def read_records(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """``(fields, block)`` of each record; field names are in lower case.
 
-    The block is framed by Content-Length; a response's payload digest is verified. The block of one record is held at
-    a time.
+    The header is read first; its Content-Length frames what follows while it is inflated, so a record that goes on past
+    its frame is refused at once. A response's payload digest is verified; a revisit has no payload of its own. The
+    block of one record is held at a time.
     """
     for member in _members(stream):
-        data = bytearray()
-        head = -1
+        head, block, after = bytearray(), bytearray(), bytearray()
+        fields: dict[str, str] | None = None
+        size = 0
         for chunk in member:
-            data += chunk
-            if head < 0:
-                head = data.find(b"\r\n\r\n", max(0, len(data) - len(chunk) - 3))
-        if head < 0 or not data.startswith(b"WARC/1."):
+            if fields is None:
+                head += chunk
+                cut = head.find(b"\r\n\r\n", max(0, len(head) - len(chunk) - 3))
+                if cut < 0:
+                    if len(head) > _MOST_HEAD:
+                        raise WarcError("a record's header doesn't end")
+                    continue
+                fields, size = _parsed(bytes(head[:cut]))
+                chunk = bytes(head[cut + 4 :])
+            room = size - len(block)
+            block += chunk[:room]
+            after += chunk[room:]
+            if len(after) > 4:
+                break
+        if fields is None:
             raise WarcError("a record lacks its header")
-        fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in data[:head].decode("utf-8").split("\r\n")[1:])}
-        size = int(fields["content-length"])
-        block = bytes(data[head + 4 : head + 4 + size])
-        if len(block) != size or data[head + 4 + size :] != b"\r\n\r\n":
+        if len(block) != size or after != b"\r\n\r\n":
             raise WarcError(f"a record's length differs from its Content-Length {size}")
-        if fields.get("warc-type") == "response" and fields.get("warc-payload-digest") != f"sha1:{payload_digest(payload_of(block))}":
+        if fields.get("warc-type") == "response" and fields.get("warc-payload-digest") != f"sha1:{payload_digest(memoryview(block)[_payload_at(block) :])}":
             raise WarcError("a payload differs from its digest")
-        yield fields, block
+        yield fields, bytes(block)
+
+
+def _payload_at(block: bytes | bytearray) -> int:
+    end = block.find(b"\r\n\r\n")
+    return len(block) if end < 0 else end + 4
 
 
 def payload_of(block: bytes) -> bytes:
     """What follows the HTTP header."""
-    return block.partition(b"\r\n\r\n")[2]
+    return block[_payload_at(block) :]
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -133,7 +171,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
                     again = r["first_id"] is not None and r["first_id"] != r["page_id"]
                     payload, head = r["payload"], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                     fields = {
-                        "WARC-Record-ID": record_urn(r["page_id"]), "WARC-Date": _DATE, "WARC-Target-URI": r["url"], "Content-Type": "application/http;msgtype=response",
+                        "WARC-Record-ID": record_urn(r["page_id"]), "WARC-Date": _DATE, **url_fields(r["url"]), "Content-Type": "application/http;msgtype=response",
                         "WARC-Payload-Digest": f"sha1:{payload_digest(payload)}", "X-Page-ID": "" if r["page_id"] is None else str(r["page_id"]), "X-Payload-Length": str(len(payload)),
                     }
                     if again:
@@ -168,7 +206,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
                         full = f["warc-type"] == "response"
                         payload = payload_of(block)
                         row = {
-                            "page_id": number(f["x-page-id"]), "url": f["warc-target-uri"], "payload_bytes": len(payload) if full else int(f["x-payload-length"]), "payload_digest": f["warc-payload-digest"].removeprefix("sha1:"),
+                            "page_id": number(f["x-page-id"]), "url": json.loads(f["x-original-url"]) if "x-original-url" in f else f["warc-target-uri"], "payload_bytes": len(payload) if full else int(f["x-payload-length"]), "payload_digest": f["warc-payload-digest"].removeprefix("sha1:"),
                             "record_type": f["warc-type"], "refers_to": number(f.get("x-refers-to-page-id")),
                         }
                         rows.append(row | ({"payload": payload if full else None} if with_payload else {}))
@@ -183,6 +221,11 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back."""
+    """Write ``pages`` to archives in the shared folder and read them back; a row comes back for every row.
+
+    A null html is an empty payload and a null url empty; null and repeated ids stay, and so do repeated rows; urls come
+    back as they were, whatever signs they hold. Payloads of any length are written and read whole, one at a time. Of
+    equal payloads the smallest id is the response. Other columns are left out; an empty table gives an empty result.
+    """
     folder = new_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder), folder, with_payload)

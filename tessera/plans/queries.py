@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.checksum import crc32c
@@ -68,6 +70,17 @@ def cosine_topk_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cosine_topk_merged(base, delta, vectors.where("doc_id % 7 = 0").select("doc_id"), _query_vector(vectors), 8)
 
 
+@query
+def same_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether searches of all vectors and of parts of them give the same hits."""
+    vectors = _vectors(spark, sf_dir)
+    q = _query_vector(vectors)
+    whole = V.cosine_topk(vectors, q, 8)
+    merged = V.cosine_topk_merged(vectors.where("doc_id % 3 = 0"), vectors.where("doc_id % 3 != 0"), vectors.select("doc_id").limit(0), q, 8)
+    cut = V.cosine_topk(vectors.where("doc_id % 3 = 0"), q, 8)
+    return spark.createDataFrame([("base and delta", V.same_hits(whole, merged)), ("a third", V.same_hits(whole, cut))], "of string, same boolean")
+
+
 @query
 def unit_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
@@ -105,9 +118,11 @@ def file_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("path", "hash", F.size("doc_ids").cast("long").alias("n_ids"), F.array_min("doc_ids").alias("first_id"), F.array_max("doc_ids").alias("last_id"))
 
 
-def _before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _before_after(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents as they were and as they are: of ten, one was added since, one edited and one dropped."""
     docs = _docs(spark, sf_dir)
+    if ascii_only:
+        docs = docs.withColumn("content", F.regexp_replace(F.col("content").cast("string"), r"[^\x00-\x7F]", "?").cast("binary"))
     edited = F.when(F.col("doc_id") % 10 == 3, F.concat("content", F.lit(b" edited"))).otherwise(F.col("content"))
     return docs.where("doc_id % 10 != 0"), docs.where("doc_id % 10 != 5").withColumn("content", edited)
 
@@ -123,9 +138,14 @@ def refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.refresh_counts(refresh_plan(spark, sf_dir))
 
 
-def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[D.DocumentIndex, DataFrame]:
-    before, after = _before_after(spark, sf_dir)
-    embedder = D.hashing_embedder(16)
+def _letters(texts: list[str]) -> list[list[float]]:
+    """An embedder that counts letters, and one more."""
+    return [[1.0, *(float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz")] for t in texts]
+
+
+def _refreshed(spark: SparkSession, sf_dir: str, embedder: D.Embedder | None = None, ascii_only: bool = False) -> tuple[D.DocumentIndex, DataFrame]:
+    before, after = _before_after(spark, sf_dir, ascii_only)
+    embedder = embedder or D.hashing_embedder(16)
     return D.apply_refresh(D.build_index(before.select("path", "content"), embedder), after.select("path", "content"), embedder)
 
 
@@ -134,6 +154,29 @@ def refresh_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refreshed(spark, sf_dir)[0].manifest.select("doc_id", "path", "offset", "length")
 
 
+@query
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    return D.embed(docs, "text", _letters).select("doc_id", F.transform("vector", lambda x: x.cast("long")).cast("string").alias("counts"))
+
+
+@query
+def refresh_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh refuses: another root, model or dimension, and an index whose vectors aren't of its dimension."""
+    docs = _docs(spark, sf_dir).select("path", "content")
+    index = D.build_index(docs, _letters, "root", "letters")
+    tries = {"the same": {}, "root": {"root": "other"}, "model": {"model": "other"}, "dimension": {"embedder": D.hashing_embedder(5)}, "vectors": {"index": replace(index, dim=9), "embedder": D.hashing_embedder(9)}}
+
+    def refused(index: D.DocumentIndex = index, embedder: D.Embedder = _letters, **how: str) -> bool:
+        try:
+            D.apply_refresh(index, docs, embedder, **how)
+        except D.DocumentIndexError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(**how)) for name, how in tries.items()], "what string, refused boolean")
+
+
 @query
 def refresh_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refreshed(spark, sf_dir)[0].superseded
@@ -182,10 +225,20 @@ def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def set_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every order priority, whether its customers are a subset of all customers with urgent orders."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("atom")).distinct()
-    urgent = orders.where(F.col("name").startswith("1")).select("atom")
-    missing = orders.join(urgent, "atom", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
-    return orders.select("name").distinct().join(missing, "name", "left").select("name", F.col("n").isNull().alias("is_subset"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("set"), F.col("o_custkey").cast("string").alias("atom")).distinct()
+    names = orders.select(F.lit("set").alias("kind"), F.col("set").alias("name")).distinct()
+    state = R.State(orders, orders.select(F.col("set").alias("rel"), F.col("atom").alias("left"), F.col("atom").alias("right")).limit(0), names)
+    sets = sorted(r["name"] for r in R.set_names(state).collect())  # the few priorities
+    urgent = next(n for n in sets if n.startswith("1"))
+    return spark.createDataFrame([(n, R.is_subset(state, n, urgent)) for n in [*sets, "none at all"]], "name string, is_subset boolean")
+
+
+@query
+def set_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every set of the log, whether user 7 is in it."""
+    state = R.fold_ops(_ops(spark, sf_dir))
+    names = sorted(r["name"] for r in R.set_names(state).collect())  # ten sets
+    return spark.createDataFrame([(n, R.is_member(state, n, "7")) for n in names], "name string, is_member boolean")
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -239,10 +292,10 @@ def rel_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    n = F.col("n_nationkey").cast("long")
-    edges = nation.select(n.alias("left"), ((n * 7 + 3) % 25).alias("right")).union(nation.select(n, F.col("n_regionkey").cast("long")))
-    return R.transitive_closure(edges)
+    """Which orders of a customer follow which, from each one's successor, in runs of eight orders."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("left"), F.lead("o_orderkey").over(w).alias("right"), F.row_number().over(w).alias("n"))
+    return R.transitive_closure(orders.where("right IS NOT NULL AND n % 8 != 0"))
 
 
 def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +313,24 @@ def fold_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fold_ops(_ops(spark, sf_dir)).members
 
 
+@query
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with an atom added, one removed, a pair related and one unrelated at its end."""
+    ops = _ops(spark, sf_dir)
+    for more in (R.add(spark, "s3", "new one"), R.remove(spark, "s3", "7"), R.relate(spark, "knows", "a", "b"), R.relate(spark, "knows", "b", "c"), R.unrelate(spark, "knows", "a", "b")):
+        ops = R.append_ops(ops, more)
+    state = R.fold_ops(ops)
+    return R.members(state, "s3").select(F.lit("s3").alias("name"), "atom").unionByName(R.pairs(state, "knows").select(F.lit("knows").alias("name"), F.concat_ws(" ", "left", "right").alias("atom")))
+
+
+@query
+def facts_until_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as lines of facts, of which number 777 is bad: what comes before it counts, and its number is told."""
+    line = F.when(F.col("seq") == 777, F.lit("SADD s1")).otherwise(F.concat_ws(" ", "op", "name", "a"))
+    state, bad = R.load_facts(_ops(spark, sf_dir).select(F.col("seq").alias("line_no"), line.alias("line")))
+    return state.members.withColumn("bad", F.lit(bad).cast("long"))
+
+
 @query
 def sets_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sets_containing(R.fold_ops(_ops(spark, sf_dir)), "7")
@@ -283,8 +354,14 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lines
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), max_len=K.SEARCH_MAX)
+def _lines(spark: SparkSession, sf_dir: str, max_len: int | None = None) -> DataFrame:
+    return K.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), max_len=max_len)
+
+
+@query
+def grep_lines_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the search reads them by default: longer lines are left out."""
+    return K.grep(_lines(spark, sf_dir, K.SEARCH_MAX), "license").select("path", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
 
 
 @query
@@ -319,6 +396,14 @@ def jsonl_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.jsonl_field_eq(lines, "k", "7").select("path")
 
 
+@query
+def jsonl_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of the key decides, at any depth: here it is inside ``props``, before a later one at the top."""
+    events = table(spark, sf_dir, "events")
+    line = F.concat(F.lit('{"props":'), "props", F.lit(',"k":"7"}'))
+    return K.jsonl_field_eq(events.select(F.col("event_id").alias("path"), line.alias("line")), "k", "7", first_match=True).select("path")
+
+
 @query
 def jsonl_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.slice_lines(_jsonl(spark, sf_dir), contains_text="1", level="error", jsonl=True).select("path")
@@ -447,6 +532,30 @@ def fit_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fit_formulas(_points(spark, sf_dir), max_nodes=1).select("group", "rpn", F.round("mse", 6).alias("mse"))
 
 
+@query
+def score_many_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More formulas than are scored as columns: the four of one operator, seventeen times."""
+    return E.score_formulas(_points(spark, sf_dir), ONE_NODE * 17).select("group", F.col("formula_id").cast("long").alias("formula_id"), F.round("mse", 6).alias("mse"))
+
+
+@query
+def fit_formulas_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All formulas of up to three operators."""
+    return E.fit_formulas(_points(spark, sf_dir)).select("group", "rpn", F.round("mse", 6).alias("mse"))
+
+
+@query
+def tune_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.fit_formulas(_points(spark, sf_dir), max_nodes=1, tune=True).select("group", "rpn", F.col("constants").cast("string").alias("constants"), F.round("mse", 6).alias("mse"))
+
+
+@query
+def predict_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exp(x) of quantities: most are over the bound of a node."""
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("group"), predict(("eml", "x", "1"), F.col("l_quantity").cast("double")).alias("p"))
+    return points.groupBy("group").agg(F.round(F.sum(F.nanvl("p", F.lit(0.0))), 1).alias("total"), F.count_if(F.isnan("p")).alias("bad"))
+
+
 @query
 def baseline_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.baseline_mse(_points(spark, sf_dir)).select("group", F.round("mse", 6).alias("mse"))
@@ -491,6 +600,42 @@ def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("topic", "offset", "segment_base", F.col("payload").cast("string").alias("payload"), "crc_ok")
 
 
+@query
+def topic_bad_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last byte of a segment is flipped: its last record is flagged, and no other."""
+    root = new_path(spark, "log")
+    S.write_topic(_topic_log(spark, sf_dir).where("topic = 'view'"), root)
+    store, place = fs.FileSystem.from_uri(f"{root}/topics/view/{0:020}.log")
+    with store.open_input_stream(place) as f:
+        data = f.read()
+    with store.open_output_stream(place) as f:
+        f.write(data[:-1] + bytes([data[-1] ^ 1]))
+    return S.scan_topic(spark, root, "view", on_error="flag").select("offset", "segment_base", "crc_ok")
+
+
+@query
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files under folders, some hidden and some of no document's extension, found and read again."""
+    root = new_path(spark, "tree")
+    kind = F.col("doc_id") % 5
+    name = F.when(kind == 0, ".md").when(kind == 1, ".txt").when(kind == 2, ".TXT").when(kind == 3, ".bin").otherwise(".py")
+    folder = F.when(F.col("lang") == "fr", F.concat(F.lit("."), "source")).otherwise(F.col("source"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(folder, F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id"), name).alias("path"), F.col("text").cast("binary").alias("content"))
+    S.write_files(docs, root)
+    return S.scan_documents(spark, root).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def payload_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as one payload a file, numbered by name."""
+    root = new_path(spark, "payloads")
+    vectors = _vectors(spark, sf_dir)
+    payloads = V.encode_payloads(vectors, None)
+    S.write_files(payloads.select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".bin")).alias("path"), F.col("payload").alias("content")), root)
+    decoded = V.decode_payloads(S.scan_payload_dir(spark, root))
+    return decoded.select("auto_id", "name", F.col("dim").cast("long").alias("dim"), F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("head"))
+
+
 @query
 def payload_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", crc32c(F.col("props").cast("binary")).alias("crc32c"))
@@ -552,12 +697,27 @@ def merged_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.validate_merged(docs, vectors.where("doc_id % 2 = 0"), vectors.where("doc_id % 2 = 1"), docs.where("doc_id % 97 = 0"), 64)
 
 
+@query
+def index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full validation of an index that has gaps, too few chunks and vectors of another dimension."""
+    docs = table(spark, sf_dir, "documents").select("doc_id").where("doc_id % 97 != 5")
+    return D.validate_full(docs, _vectors(spark, sf_dir), 63)
+
+
+@query
+def index_report_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an index that lists some of its chunks as superseded."""
+    index, _ = _refreshed(spark, sf_dir)
+    return D.index_report(replace(index, superseded=index.superseded.unionByName(index.manifest.where("doc_id % 50 = 7").select("doc_id"))))
+
+
 @query
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full search over a refreshed index: base and delta, without superseded chunks, joined back to the sources."""
-    index, _ = _refreshed(spark, sf_dir)
-    docs = _before_after(spark, sf_dir)[1]
-    return D.search(index, D.hashing_embedder(16)(["the and of"])[0], 8, docs=docs)
+    index, _ = _refreshed(spark, sf_dir, _letters, ascii_only=True)
+    docs = _before_after(spark, sf_dir, ascii_only=True)[1]
+    found = D.search(index, _letters(["the quick brown fox jumps over a lazy dog"])[0], 8, docs=docs)
+    return found.withColumn("score", F.round("score", 4))
 
 
 @query
@@ -579,11 +739,11 @@ def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A relation's domain kept as a set, and its inverse as a relation, beside what the log had."""
     text = lambda c: F.col(c).cast("string")
-    nation = table(spark, sf_dir, "nation")
-    ops = nation.select(F.col("n_nationkey").cast("long").alias("seq"), F.lit("RADD").alias("op"), F.lit("lies_in").alias("name"), text("n_name").alias("a"), text("n_regionkey").alias("b"))
-    relation = R.pairs(R.fold_ops(ops), "lies_in")
-    state = R.fold_ops(R.store_inverse(R.store_domain(ops, relation, "nations"), relation, "has"))
-    return R.members(state, "nations").select(F.lit("nations").alias("name"), "atom").unionByName(R.select(R.pairs(state, "has"), "first", "1").select(F.lit("has 1").alias("name"), "atom"))
+    customer = table(spark, sf_dir, "customer")
+    ops = customer.select(F.col("c_custkey").cast("long").alias("seq"), F.lit("RADD").alias("op"), F.lit("lives_in").alias("name"), text("c_custkey").alias("a"), text("c_nationkey").alias("b"))
+    relation = R.pairs(R.fold_ops(ops), "lives_in")
+    state = R.fold_ops(R.store_inverse(R.store_domain(ops, relation, "customers"), relation, "has"))
+    return R.members(state, "customers").select(F.lit("customers").alias("name"), "atom").unionByName(R.select(R.pairs(state, "has"), "first", "1").select(F.lit("has 1").alias("name"), "atom"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.functions.formulas import constants, enumerate_formulas, rpn
+
 _UNIT = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _EVENT_OPS = """ops AS (SELECT event_id AS seq, event_type IN ('click', 'view', 'signup') AS adds,
   's' || (json_extract_string(props, '$.k')::BIGINT % 10)::VARCHAR AS name, user_id::VARCHAR AS atom FROM events)"""
@@ -28,7 +30,7 @@ _BEFORE_AFTER = f"""WITH {_DOCS}, before AS (SELECT path, content FROM docs WHER
   FROM ({_chunked("(SELECT a.path, a.content FROM after a JOIN plan p USING (path) WHERE p.action <> 'deleted')")}) JOIN plan USING (path))"""
 _LINES = """lines AS (SELECT path, line_no, line FROM (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no, len(string_split(text, chr(10))) AS n FROM documents)
-  WHERE (line_no < n OR line <> '') AND strlen(line) <= 8192)"""
+  WHERE line_no < n OR line <> '')"""
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LOG = """log AS (SELECT event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS "offset", props AS payload FROM events),
  seg AS (SELECT *, "offset" // 1000 * 1000 AS segment_base FROM log)"""
@@ -76,7 +78,11 @@ ORACLE: dict[str, str] = {
     "set_intersect": "SELECT o_custkey::VARCHAR AS atom FROM orders INTERSECT SELECT c_custkey::VARCHAR FROM customer",
     "set_diff": "SELECT c_custkey::VARCHAR AS atom FROM customer EXCEPT SELECT o_custkey::VARCHAR FROM orders WHERE o_orderpriority LIKE '1%'",
     "set_subset": """WITH s AS (SELECT DISTINCT o_orderpriority AS name, o_custkey AS atom FROM orders)
- SELECT name, bool_and(atom IN (SELECT atom FROM s WHERE name LIKE '1%')) AS is_subset FROM s GROUP BY name""",
+ SELECT name, bool_and(atom IN (SELECT atom FROM s WHERE name LIKE '1%')) AS is_subset FROM s GROUP BY name UNION ALL SELECT 'none at all', true""",
+    "set_member": f"{_MEMBERS}, n AS (SELECT DISTINCT name FROM ops WHERE adds) SELECT name, name IN (SELECT name FROM last WHERE adds AND atom = '7') AS is_member FROM n",
+    "mutations": f"""{_MEMBERS} SELECT 's3' AS name, atom FROM last WHERE adds AND name = 's3' AND atom <> '7' UNION ALL SELECT 's3', 'new one' UNION ALL SELECT 'knows', 'b c'""",
+    "facts_until_bad": f"""WITH {_EVENT_OPS}, last AS (SELECT name, atom, arg_max(adds, seq) AS adds FROM ops WHERE seq < 777 GROUP BY ALL)
+ SELECT name AS "set", atom, 777::BIGINT AS bad FROM last WHERE adds""",
     "rel_compose": f'SELECT DISTINCT a.l AS "left", b."right" FROM ({_ORDERED}) a JOIN ({_HOLDS}) b ON a.r = b."left"',
     "rel_domain": "SELECT DISTINCT o_custkey AS atom FROM orders",
     "rel_range": "SELECT DISTINCT l_partkey AS atom FROM lineitem",
@@ -85,15 +91,15 @@ ORACLE: dict[str, str] = {
     "rel_union": f"{_HOLDS} UNION {_SUPPLIES}",
     "rel_intersect": f"{_HOLDS} INTERSECT {_SUPPLIES}",
     "rel_select": "SELECT DISTINCT l_partkey AS atom FROM lineitem WHERE l_suppkey = 1",
-    "transitive_closure": """WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS l, (n_nationkey::BIGINT * 7 + 3) % 25 AS r FROM nation
-  UNION SELECT n_nationkey::BIGINT, n_regionkey::BIGINT FROM nation),
- c AS (SELECT l, r FROM e UNION SELECT c.l, e.r FROM c JOIN e ON c.r = e.l) SELECT l AS "left", r AS "right" FROM c""",
+    "transitive_closure": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+ SELECT a.o_orderkey AS "left", b.o_orderkey AS "right" FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND (a.n - 1) // 8 = (b.n - 1) // 8 AND a.n < b.n""",
     "fold_ops": f'{_MEMBERS} SELECT name AS "set", atom FROM last WHERE adds',
     "sets_containing": f"{_MEMBERS} SELECT DISTINCT name AS \"set\" FROM last WHERE adds AND atom = '7'",
     "set_names": f"WITH {_EVENT_OPS} SELECT DISTINCT name FROM ops WHERE adds",
     "coverage_audit": """SELECT 'no urgent order' AS "check", c_custkey::VARCHAR AS atom FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')
  UNION SELECT 'nothing returned', p_partkey::VARCHAR FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""",
     "grep_lines": f"WITH {_LINES} SELECT path, line_no, sha256(line) AS line_sha256 FROM lines WHERE contains(line, 'license')",
+    "grep_lines_capped": f"WITH {_LINES} SELECT path, line_no, sha256(line) AS line_sha256 FROM lines WHERE contains(line, 'license') AND strlen(line) <= 8192",
     "grep_ci": f"WITH {_LINES} SELECT path, line_no, strlen(line)::BIGINT AS n_bytes FROM lines WHERE contains({_ASCII.format('line')}, 'license')",
     "grep_count": f"""WITH {_LINES} SELECT d.doc_id AS path, count(l.path) AS n FROM documents d LEFT JOIN (SELECT path FROM lines WHERE contains(line, 'the')) l
   ON l.path = d.doc_id GROUP BY d.doc_id""",
@@ -153,9 +159,60 @@ ORACLE |= {
  UNION ALL SELECT 'no vector', doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
     "compacted": f"""{_BEFORE_AFTER} SELECT row_number() OVER (ORDER BY path, "offset") - 1 AS doc_id, path, "offset", length FROM ({_chunked("after")})""",
     "tagged_files": """SELECT doc_id::VARCHAR AS atom, 'files' AS "of" FROM documents WHERE lang = 'fr' UNION SELECT unnest([lang, source]), 'tags' FROM documents WHERE doc_id = 7""",
-    "stored_domain": "SELECT 'nations' AS name, n_name AS atom FROM nation UNION SELECT 'has 1', n_name FROM nation WHERE n_regionkey = 1",
+    "stored_domain": "SELECT 'customers' AS name, c_custkey::VARCHAR AS atom FROM customer UNION SELECT 'has 1', c_custkey::VARCHAR FROM customer WHERE c_nationkey = 1",
     "set_members": f"{_MEMBERS} SELECT atom FROM last WHERE adds AND name = 's3'",
     "rel_select_second": "SELECT DISTINCT l_suppkey AS atom FROM lineitem WHERE l_partkey = 5",
     "kv_exists": f"WITH {_COMMANDS} SELECT key FROM kv WHERE key IN (SELECT c_custkey::VARCHAR FROM customer)",
     "path_rollup": "SELECT source AS dir, '.' || lang AS ext, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (source, '.' || lang)",
 }
+
+_LETTERS = "[1.0] || list_transform(range(26), lambda i: (length({0}) - length(replace(lower({0}), chr(97 + i::INTEGER), '')))::DOUBLE)"
+
+
+def _fit_sql(nodes: int) -> str:
+    """The best formula of up to ``nodes`` operators. Constants are 1 here, so formulas without them, which come first on
+    ties, are enough; one column each, made of columns of smaller ones."""
+    forms = enumerate_formulas(nodes)
+    free = [(k, f) for k, f in enumerate(forms) if not constants(f)]
+    at = {"1": "1.0::DOUBLE", "x": "x", **{f: f"p{k}" for k, f in free}}
+    size = lambda f: 0 if isinstance(f, str) else 1 + size(f[1]) + size(f[2])
+    table = "points"
+    for n in range(1, nodes + 1):
+        made = [f"CASE WHEN abs(exp({at[f[1]]}) - ln(CASE WHEN {at[f[2]]} > 0 THEN {at[f[2]]} END)) <= 1e6 THEN exp({at[f[1]]}) - ln({at[f[2]]}) END AS p{k}" for k, f in free if size(f) == n]
+        table = f"(SELECT *, {', '.join(made)} FROM {table})"
+    errors = ", ".join(f"CASE WHEN count(p{k}) = count(*) THEN avg((p{k} - y) * (p{k} - y)) END" for k, _ in free)
+    names = ", ".join(f"'{rpn(f)}'" for _, f in free)
+    return f"""WITH {_POINTS}, s AS (SELECT "group", unnest([{errors}]) AS mse, unnest(range({len(free)})) AS k FROM {table} GROUP BY "group")
+ SELECT "group", [{names}][arg_min(k, (mse, k)) + 1] AS rpn, round(min(mse), 6) AS mse FROM s WHERE mse IS NOT NULL GROUP BY "group\""""
+
+
+_TOP = f"(SELECT list(doc_id ORDER BY s DESC, doc_id) FROM (SELECT a.vec_id AS doc_id, {_UNIT} AS s FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND {{}} ORDER BY s DESC, doc_id LIMIT 8))"
+ORACLE |= {
+    "same_hits": f"SELECT 'base and delta' AS \"of\", {_TOP.format('true')} = {_TOP.format('true')} AS same UNION ALL SELECT 'a third', {_TOP.format('true')} = {_TOP.format('a.vec_id % 3 = 0')}",
+    "jsonl_first_match": "SELECT event_id AS path FROM events WHERE json_extract_string(props, '$.k') = '7'",
+    "embedded": f"SELECT doc_id, list_transform({_LETTERS.format('t')}, lambda x: x::BIGINT)::VARCHAR AS counts FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents)",
+    "refresh_guards": "SELECT unnest(['the same', 'root', 'model', 'dimension', 'vectors']) AS what, unnest([false, true, true, true, true]) AS refused",
+    "index_violations": """WITH m AS (SELECT count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi, count(DISTINCT doc_id) AS d FROM documents WHERE doc_id % 97 <> 5),
+ v AS (SELECT count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi, count(DISTINCT vec_id) AS d, count(*) FILTER (len(embedding) <> 63) AS bad FROM embeddings)
+ SELECT 'dim' AS "check", v.bad = 0 AS ok, v.bad::VARCHAR AS detail FROM v UNION ALL SELECT 'count', m.n = v.n, concat_ws(' ', m.n, v.n) FROM m, v
+ UNION ALL SELECT 'dense ids', m.n = m.d AND m.lo = 0 AND m.hi = m.n - 1 AND v.n = v.d AND v.lo = 0 AND v.hi = v.n - 1, concat_ws(' ', m.lo, m.hi, m.d) FROM m, v""",
+    "index_report_bad": f"""{_BEFORE_AFTER}, manifest AS (SELECT doc_id FROM first WHERE path NOT IN (SELECT path FROM plan) UNION ALL SELECT doc_id FROM second),
+ bad AS (SELECT count(*) AS n FROM manifest WHERE doc_id % 50 = 7)
+ SELECT "check", ok, n::VARCHAR AS detail FROM (SELECT 'base vectors' AS "check", true AS ok, count(*) AS n FROM first UNION ALL SELECT 'files', true, count(*) FROM after
+ UNION ALL SELECT 'superseded', true, (SELECT count(*) FROM first WHERE path IN (SELECT path FROM plan)) + (SELECT n FROM bad)
+ UNION ALL SELECT 'manifest', true, count(*) FROM manifest UNION ALL SELECT 'delta vectors', true, count(*) FROM second UNION ALL SELECT 'merged', n = 0, n FROM bad)""",
+    "search_index": f"""{_BEFORE_AFTER.replace("encode(text) AS content", "encode(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')) AS content")},
+ chunk AS (SELECT doc_id, f.path, f."offset", f.length, decode(b.content[("offset" + 1):("offset" + f.length)]) AS t FROM first f JOIN before b USING (path) WHERE f.path NOT IN (SELECT path FROM plan)
+  UNION ALL SELECT doc_id, s.path, s."offset", s.length, decode(a.content[("offset" + 1):("offset" + s.length)]) FROM second s JOIN after a USING (path))
+ SELECT doc_id, round(score, 4) AS score, path, "offset", left(t, 200) AS snippet
+ FROM (SELECT *, list_cosine_similarity({_LETTERS.format("t")}, {_LETTERS.format("'the quick brown fox jumps over a lazy dog'")}) AS score FROM chunk) ORDER BY score DESC, doc_id LIMIT 8""",
+    "score_many_formulas": f"""{_SCORES} SELECT "group", formula_id + 4 * k AS formula_id, round(mse, 6) AS mse FROM scores, (SELECT unnest(range(17)) AS k)""",
+    "fit_formulas_default": _fit_sql(3),
+    "predict_out_of_bounds": """SELECT l_returnflag AS "group", round(sum(CASE WHEN exp(l_quantity) <= 1e6 THEN exp(l_quantity) ELSE 0 END), 1) AS total, count(*) FILTER (exp(l_quantity) > 1e6) AS bad FROM lineitem GROUP BY l_returnflag""",
+    "topic_bad_checksum": f"""WITH {_LOG} SELECT "offset", segment_base, "offset" <> (SELECT max("offset") FROM seg WHERE topic = 'view' AND segment_base = 0) AS crc_ok FROM seg WHERE topic = 'view'""",
+    "document_files": """SELECT source || '/' || lang || '/' || doc_id || ['.md', '.txt', '.TXT', '.bin', '.py'][doc_id % 5 + 1] AS path, strlen(text)::BIGINT AS length, sha256(text) AS sha256
+ FROM documents WHERE lang <> 'fr' AND doc_id % 5 IN (0, 1, 4)""",
+    "payload_folder": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS auto_id, lpad(vec_id::VARCHAR, 12, '0') || '.bin' AS name, len(embedding)::BIGINT AS dim, round(embedding[1]::DOUBLE, 5) AS head FROM embeddings",
+    "payload_crc32c": """WITH t AS (SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 2197175160 ELSE 0 END)) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))
+ SELECT event_id, xor(list_reduce([4294967295] || list_transform(range(1, strlen(props) + 1), lambda i: ord(props[i])::BIGINT), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc32c FROM events, t""",
+}

@@ -82,6 +82,28 @@ def read_contents(listing: DataFrame, root: str) -> DataFrame:
     return listing.select("path").mapInArrow(run, "path string, content binary, length long")
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write ``(path, content)`` as files below ``root``. A file gets a name of its own and then its place, so that a task
+    may run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{base}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                fresh = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(fresh, compression=None) as out:
+                    out.write(content or b"")
+                store.move(fresh, f"{base}/{path}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    files.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     """``(path, content, length)`` of the documents below ``root``; one over 16 MiB is an error."""
     files = list_files(spark, root, skip_hidden=True).where(~F.col("is_dir"))

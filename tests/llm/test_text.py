@@ -157,6 +157,65 @@ def test_secrets_without_digits(spark):
     assert not any(got[k] for k in range(60, 60 + len(words)))
 
 
+def brute_battery(token):
+    """Encoding and p-value of one token by the definitions."""
+    import math
+
+    bare = token.rstrip("=").replace("_", "/").replace("-", "+")
+    tail = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+    name, letters = next((n, a) for n, p, a in secrets.ENCODINGS if re.fullmatch(p, bare))
+    x, m = [letters.index(c) for c in bare], len(letters)
+    n, middle = len(x), (m - 1) / 2
+    chi = m / n * sum(v * v for v in Counter(x).values()) - n
+    uniform = tail((chi - (m - 1)) / math.sqrt(2 * (m - 1) * (1 - 1 / n)))
+    sides = [v > middle for v in x]
+    runs, above = 1 + sum(a != b for a, b in zip(sides, sides[1:], strict=False)), sum(sides)
+    mean = 1 + 2 * above * (n - above) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    turning = 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0.0
+    average = sum(x) / n
+    variance = sum((v - average) ** 2 for v in x)
+    serial = 2 * tail(abs(sum((a - average) * (b - average) for a, b in zip(x, x[1:], strict=False)) / variance + 1 / n) * math.sqrt(n)) if variance > 0 else 0.0
+    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, turning, serial))
+    return name, n, math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_secret_battery_and_control(spark):
+    import math
+    import random
+    import string
+
+    rng = random.Random(12)
+    kinds = (string.digits, "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_")
+    tokens = ["".join(rng.choice(kind) for _ in range(rng.choice((20, 24, 40, 70, 150)))) for kind in kinds for _ in range(70)]
+    tokens += ["".join(rng.choice(("river", "stone", "light", "water")) for _ in range(rng.randint(5, 14))) for _ in range(150)] + ["Ab9" * 12, "q" * 30, "ab" * 20, "0123456789" * 4]
+    df = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
+    scanned = secrets.scan(df)
+    tested = {r["i"]: r["s"]["t"] for r in scanned.select(F.col("__row")["_0"].alias("i"), F.explode("__random").alias("s")).collect()}
+    want = {k: brute_battery(t) for k, t in enumerate(tokens)}
+    for k, t in tested.items():
+        assert (t["encoding"], t["size"]) == want[k][:2] and t["p"] == pytest.approx(want[k][2], rel=1e-6, abs=1e-12), tokens[k]
+    assert len(tested) > 300  # runs of hexadecimal or access shape are base spans
+    for z in (-3, -1, 0, 0.5, 2, 3.5):  # the tail is the normal distribution's
+        assert spark.range(1).select(secrets._upper_tail(F.lit(float(z)))).first()[0] == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=2e-4)
+    # the least threshold of 20 at which what a class has beyond its random tokens stays under a tenth
+    classes = {}
+    for k in tested:
+        name, n, p = want[k]
+        classes.setdefault((name, sum(n >= b for b in (32, 64, 128))), []).append(p)
+    expected = {}
+    for key, ps in classes.items():
+        if len(ps) >= 20:
+            random_ones = min(len(ps), 2 * sum(p >= 0.5 for p in ps))
+            over = lambda b: sum(p >= b / 20 for p in ps)  # noqa: B023, E731
+            expected[key] = next((b / 20 for b in range(1, 20) if over(b) and over(b) - random_ones * (1 - b / 20) <= 0.1 * over(b)), 1.0)
+    found = secrets.control(scanned)
+    assert found.by_class == pytest.approx(expected) and found.other == 0.05 and len(expected) >= 5
+    reported = {r["i"] for r in secrets.find_secrets(df).select(F.col("doc_id").alias("i"), F.explode("s_spans").alias("s")).where("s.kind = 3").collect()}
+    least = lambda k: expected.get((want[k][0], sum(want[k][1] >= b for b in (32, 64, 128))), 0.05)
+    assert reported == {k for k in tested if want[k][2] > least(k)}
+
+
 WORDS = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zwyxk qvrtz kxzyq wvkzx yqzkw".split(), "cc": "ñandú éèà öüß çêî".split()}
 
 

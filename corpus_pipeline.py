@@ -1,63 +1,95 @@
 """The corpus pipeline: quality rules, language ID, near-duplicates, secret scan and packing, in this order.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept. All but the last return
-the columns of ``documents``.
+the columns of ``documents``, whatever they are, in their order. ``docs`` must be a stored table: what the stages before
+stored beside their results is removed when a stage begins. Texts may be null, empty or of any length; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, minhash, packing, quality, secrets
-from tessera.llm._shared import new_path
+from tessera.llm._shared import discard, named, new_path, workspace
 from tessera.llm.queries import vocabulary
 
 #: Least score at which a language counts as identified.
 LEAST_LANGUAGE_SCORE = 0.3
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: What stages stored beside their results: application, ``sf_dir``, place of the stage and folder.
+_BESIDE: list[tuple[str, str, int, str]] = []
+
+
+def _stage(place: int) -> Callable[[Stage], Stage]:
+    """Give a stage a folder for what it stores beside its result, and remove those of the stages before it."""
+
+    def wrap(f: Stage) -> Stage:
+        @wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            app = spark.sparkContext.applicationId
+            for old in [x for x in _BESIDE if x[:2] == (app, sf_dir) and x[2] < place]:
+                discard(spark, old[3])
+                _BESIDE.remove(old)
+            with workspace(spark, f.__name__) as folder:
+                _BESIDE.append((app, sf_dir, place, folder))
+                return f(spark, docs, sf_dir)
+
+        return run
+
+    return wrap
+
 
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in like.columns))
+    return df.select(*map(named, like.columns))
 
 
+@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules accept."""
-    return _columns(quality.score_quality(docs).where("q_kept"), docs)
+    """Documents that the rules accept. A null or empty text fails; repeated rows are judged alike and all stay or go."""
+    return _columns(quality.score_quality(docs, carry=docs.columns).where("q_kept"), docs)
 
 
+@_stage(1)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; a text without letters or with a score under the least one goes."""
+    """Documents in an identified language; a text that is null or without letters, or has a score under the least one,
+    goes. Repeated rows are judged alike; equal scores go to the language that sorts first."""
     found = language.identify(docs, language.train(docs), prefix="l_")
     return _columns(found.where((F.col("l_lang_pred") != language.UNKNOWN) & (F.col("l_score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
+@_stage(2)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more; the smallest id stays.
 
-    Repeated rows of that id are copies as well, so one row of each id stays; rows without an id all stay.
+    Rows that repeat an id with texts that aren't alike are documents of their own; of rows alike in id and text one
+    stays. Rows with a null id and rows without words are in no group and all stay.
     """
-    kept = minhash.near_duplicates(docs, words_each=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return _columns(named, docs).unionByName(docs.where("doc_id IS NULL"))
+    return _columns(minhash.deduplicate(docs, words_each=5, percent=80), docs)
 
 
+@_stage(3)
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced in the texts, and ``n_chars`` follows; no document goes."""
+    """Found secrets are replaced in the texts, and ``n_chars`` follows where it isn't null; no row goes."""
     clean = secrets.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return _columns(clean, docs)
 
 
+@_stage(4)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 tokens."""
+    """Pieces of the documents in windows of 1024 tokens. A null or empty text is its end id alone; null and repeated ids
+    are kept, each row as a document of its own."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("language_id", language_id),
     ("near_duplicates", near_duplicates),
@@ -65,15 +97,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL expresses neither the language model nor the tokenizer; the stages are tested against brute force.
+#: SQL expresses neither the language model nor the tokenizer. Each stage's operator is tested against brute force or a
+#: library, and the stages on planted rows.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over ``documents``; each result is written to the shared folder and read again, and removed when
+    the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

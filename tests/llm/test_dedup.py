@@ -69,6 +69,43 @@ def test_near_duplicates(spark, monkeypatch, n, percent):
     assert minhash.near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_deduplicate_keeps_rows(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    one, two, three = text(), text(), text()
+    rows = [(5, one, "x"), (5, two, "x"), (3, two + " end", "y"), (7, one + " end", "x"), (8, one, "x"), (5, one, "a"), (5, one, "x"), (9, None, "x"), (9, None, "x"), (10, " ", "x"), (None, one, "x"), (None, one, "x"), (11, three, "x"), (12, three.upper(), "x"), (2, one.replace(" ", "\n"), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("id", "k", "text_key", "__row", "stay_id")})
+    got = minhash.deduplicate(df)
+    assert got.columns == df.columns
+    # of the group of one the row of id 2 stays, of that of two the row of id 3
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in got.collect()), key=str) == sorted([rows[2], rows[7], rows[8], rows[9], rows[10], rows[11], rows[12], rows[14]], key=str)
+    some = spark.createDataFrame([rows[0], rows[1], rows[5], rows[6]], "doc_id long, text string, source string")
+    kept = minhash.deduplicate(some).collect()
+    assert sorted(r["text"] for r in kept) == sorted([one, two])  # one id, two documents
+    assert minhash.deduplicate(df.limit(0)).isEmpty()
+
+
+def test_cuts_of_sorted_band_values(spark):
+    rows = [(b, v, r) for b in (0, 1) for v, n in ((5, 700), (6, 1), (7, 2), (9, 300)) for r in range(n)]
+    df = spark.createDataFrame(rows, "band int, value long, rep long").repartition(9)
+    for parts in (1, 2, 7):
+        got = df.repartitionByRange(parts, "band", "value", "rep").sortWithinPartitions("band", "value", "rep").mapInArrow(minhash._segments, "band int, value long, seg long, rep long, center long, edge boolean").collect()
+        by = {}
+        for r in got:
+            by.setdefault((r["band"], r["value"]), []).append(r)
+        edges = sum(r["edge"] for r in got)
+        assert all(sorted(r["rep"] for r in by[b, v]) == list(range(n)) for b in (0, 1) for v, n in ((5, 700), (7, 2), (9, 300))) and edges <= 2 * parts
+        for x in by.values():
+            centers = {r["center"] for r in x}
+            assert len(centers) <= parts and all(r["center"] <= r["rep"] for r in x)
+            if len(centers) > 1:  # every cut's center is on an edge row
+                assert centers == {r["center"] for r in x if r["edge"]}
+            sizes = {}
+            for r in x:
+                sizes[r["seg"]] = sizes.get(r["seg"], 0) + 1
+            assert max(sizes.values()) <= minhash.BLOCK
+
+
 def test_signature_is_min_and_max():
     a, b = minhash._permutations()
     x = minhash.shingle_set("one two three four five six seven", 3, {})
@@ -107,3 +144,36 @@ def test_vectors(spark, monkeypatch):
     by = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
     assert all(by[i] == (0, i) for i in range(9000, 9006)) and by[None] == (0, None) and by[9007] == (1, 9006) and by[9009] == (1, 9008)
     assert embeddings.near_duplicates(df.limit(0)).isEmpty()
+
+
+def test_grid_order_skips_distant_leaves(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(400, 64))
+    x = np.repeat(centers, 50, axis=0) + rng.normal(size=(20_000, 64)) * 0.1
+    rows = spark.createDataFrame([(k, 1, v.tobytes(), 64) for k, v in enumerate(x)], "rep long, n long, payload binary, dim int").repartition(4)
+    eps = float(np.sqrt(0.1))
+    leaves = embeddings.leaves_of(rows, embeddings.principal_axes(rows, 64), eps)
+    table = leaves.select("block", "leaf", "size", "lo", "hi").collect()
+    lo, hi = (np.array([np.frombuffer(r[c], np.float32) for r in table]) for c in ("lo", "hi"))
+    size, block = np.array([r["size"] for r in table]), np.array([r["block"] for r in table])
+    close = np.array([embeddings._apart(a, b, lo, hi) for a, b in zip(lo, hi, strict=True)]) <= eps * eps + 1e-4
+    share = (close * np.outer(size, size)).sum() / size.sum() ** 2
+    print(f"pairs of rows in leaves within eps over all: {share:.4f}")
+    assert size.sum() == 20_000 and len(set(block.tolist())) >= 5 and share < 0.05
+    # what goes to the tasks are the leaves of such pairs, in both directions
+    want = {(min(block[i], block[j]), max(block[i], block[j]), block[i], table[i]["leaf"]) for i, j in np.argwhere(close)}
+    assert {tuple(r) for r in embeddings.near_leaves(leaves, eps).collect()} == want
+
+
+def test_outlooks_bound_cosines():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 40))
+    axes = np.linalg.qr(rng.normal(size=(40, 40)))[0][:, : embeddings.AXES]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for y, a in ((x, axes), (x[:, :3], axes), (x, axes[:39])):
+        p = embeddings.outlook(y, a).astype(float)
+        u = y / np.linalg.norm(y, axis=1, keepdims=True)
+        assert (p @ p.T + 1e-6 >= u @ u.T).all() and np.allclose((p * p).sum(axis=1), 1, atol=1e-5)
+    p = embeddings.outlook(np.concatenate([unit, unit[:5], np.repeat(unit[:1], 400, axis=0)]), axes)
+    leaves = embeddings.arrange(p, 0.3)
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(705)) and all(0 < len(x) <= embeddings.LEAF for x in leaves)

@@ -39,7 +39,7 @@ _VOTES = {
     "word_length": ("word_chars / w < 2.5::DOUBLE OR word_chars / w > 14", "word_chars / w >= 3.5::DOUBLE AND word_chars / w <= 10"),
     "capitals": ("c >= 40 AND n_upper > 0.4::DOUBLE * c", "c >= 40 AND n_upper <= 0.15::DOUBLE * c"),
     "exclamation": ("n_bangs > 0.2::DOUBLE * w", "n_bangs <= 0.02::DOUBLE * w"),
-    "stop_words": ("n_words >= 60 AND n_stop < 2", "n_words >= 30 AND n_stop >= 3"),
+    "stop_words": ("n_words >= 60 AND n_stop < 2 AND n_short_again < 0.02::DOUBLE * n_words", "n_words >= 30 AND n_stop >= 3"),
 }
 
 
@@ -57,7 +57,8 @@ g AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (S
 r AS (SELECT doc_id, sum(least(8, coalesce(following - pos, 8)))::BIGINT AS n FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM g WHERE n > 1) GROUP BY doc_id),
 f AS MATERIALIZED (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS n_upper,
-  length(t) - length(replace(t, '!', '')) AS n_bangs, len(list_distinct(list_intersect(words, [{stops}]))) AS n_stop FROM d LEFT JOIN r USING (doc_id)),
+  length(t) - length(replace(t, '!', '')) AS n_bangs, len(list_distinct(list_intersect(words, [{stops}]))) AS n_stop, len(short) - len(list_distinct(short)) AS n_short_again
+  FROM (SELECT *, list_filter(words, lambda x: regexp_full_match(x, '\\p{{L}}{{1,5}}')) AS short FROM d) LEFT JOIN r USING (doc_id)),
 x AS MATERIALIZED (SELECT *, [{votes}] AS v FROM (SELECT *, greatest(n_words, 1)::DOUBLE AS w, greatest(word_chars, 1) AS c FROM f)),
 patterns AS MATERIALIZED (SELECT v, count(*) AS n FROM x GROUP BY v),
 em AS (SELECT 0 AS k, 0.7::DOUBLE AS prior, {[0.99] * n}::DOUBLE[] AS g, {[0.25] * n}::DOUBLE[] AS b

@@ -1,8 +1,8 @@
 """Lexical retrieval packing into windows of a fixed number of tokens.
 
-Documents are ordered by min-hashes of their token ids and cut into shards of bounded size, so documents that share
-many tokens tend to meet in one. Each shard has a BM25 inverted index over its
-documents' token ids. A seed document opens a window; its best-scoring unused neighbours fill it; the one that overflows is cut
+Documents are sorted by min-hashes of their token ids, over all partitions, and cut into shards of a bounded number of
+rows where they lie, so documents that share many tokens tend to meet in one. Each shard has a BM25 inverted index over
+its documents' token ids. A seed document opens a window; its best-scoring unused neighbours fill it; the one that overflows is cut
 there and opens the next window as its seed. So every window but a shard's last is full, and the last one is cut into
 windows whose lengths are powers of two, which need no padding.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -21,14 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import named, quoted, stored
+from tessera.llm._shared import named, stored
 from tessera.llm._vocab import byte_level_encoder
-from tessera.operators.ids import dense_ids
 
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
 #: Most documents of a shard whose scores by common terms are computed at once, and terms of a product.
 DENSE_ROWS, BLOCK = 4_096, 2_048
+#: A sequence's number: its task's partition, then the shard in it and the sequence in that, in so many bits.
+SHARD_BITS, SEQUENCE_BITS = 19, 24
+#: Columns of a piece after its document's id.
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Odd factors of the min-hash orders.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -156,12 +158,12 @@ def order_key(ids: bytes, likeness: bytes, doc_id: object, place: int) -> bytes:
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 1_024, end_id: int = 0, shard_rows: int = 512, query_terms: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
-    A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Null and repeated ids are kept, each
-    row as a document of its own; ties in score go to the document that comes first by id and content; other columns
-    are left out; an empty table gives no pieces. Shards are runs of ``shard_rows`` rows in the order of ``order_key``,
-    so copies are split as well and no shard holds more; their first keys, one for ``shard_rows`` rows, go
-    through the driver. Neighbours outside the seed's shard are not looked at. A query has all of its
-    document's terms, or the ``query_terms`` rarest.
+    A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Texts of any length are encoded whole.
+    Null and repeated ids are kept, each row as a document of its own; ties in score go to the document that comes first
+    by id and content; other columns are left out; an empty table gives no pieces. Shards are runs of ``shard_rows``
+    rows in the order of ``order_key``, so copies are split as well and no shard holds more; a task holds one shard at a
+    time. Neighbours outside the seed's shard are not looked at. A query has all of its document's terms, or the
+    ``query_terms`` rarest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -175,29 +177,36 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
             place += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["id", "ids", "key"])
 
-    encoded = stored(docs.select(named(id_col).alias("id"), named(text).alias("text")).mapInArrow(encode, f"id {kind}, ids binary, key binary"), "encoded")
-    firsts = dense_ids(encoded.select("key"), ["key"], into="at").where(F.col("at") % shard_rows == 0).select("key")
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(bytes(r["key"]) for r in firsts.collect()))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = [bisect_right(shared.value, key) - 1 for key in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard, pa.int64())], ["id", "ids", "shard"])
-
-    def one(group: pa.Table) -> pa.Table:
+    def one(table: pa.Table, shard: int) -> pa.RecordBatch:
         kept = byte_level_encoder(path).dtype
-        table = group.sort_by([("id", "ascending"), ("ids", "ascending")])
-        shard = table.column("shard")[0].as_py()
+        table = table.sort_by([("id", "ascending"), ("ids", "ascending")])
         tokens = [np.frombuffer(x, kept) for x in table.column("ids").to_pylist()]
         pieces = pack_shard(tokens, window, query_terms)
         cut = [tokens[k][s : s + n].astype("<u4").tobytes() for k, s, n, _, _ in pieces]
         longs = lambda values: pa.array(values, pa.int64())
-        columns = {
-            id_col: table.column("id").take(longs([p[0] for p in pieces])), "start": longs([p[1] for p in pieces]), "length": longs([p[2] for p in pieces]),
-            "ids_crc32": longs([zlib.crc32(x) for x in cut]), "doc_tokens": longs([len(tokens[p[0]]) for p in pieces]),
-            "sequence_id": longs([(shard << 32) + p[3] for p in pieces]), "offset": longs([p[4] for p in pieces]),
-        }
-        return pa.table(columns | ({"ids": pa.array(cut, pa.binary())} if with_ids else {}))
-
-    schema = f"{quoted(id_col)} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return encoded.mapInArrow(deal, f"id {kind}, ids binary, shard long").groupBy("shard").applyInArrow(one, schema)
+        columns = [
+            table.column("id").combine_chunks().take(longs([p[0] for p in pieces])), longs([p[1] for p in pieces]), longs([p[2] for p in pieces]),
+            longs([zlib.crc32(x) for x in cut]), longs([len(tokens[p[0]]) for p in pieces]), longs([(shard << SEQUENCE_BITS) + p[3] for p in pieces]), longs([p[4] for p in pieces]),
+            *([pa.array(cut, pa.binary())] if with_ids else []),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", *PIECE, *(["ids"] if with_ids else [])])
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << SHARD_BITS
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            while len(batch):
+                some = batch.slice(0, shard_rows - rows)
+                batch, rows = batch.slice(len(some)), rows + len(some)
+                held.append(some)
+                if rows == shard_rows:
+                    yield one(pa.Table.from_batches(held), shard)
+                    shard, held, rows = shard + 1, [], 0
+        if held:
+            yield one(pa.Table.from_batches(held), shard)
+
+    encoded = stored(docs.select(named(id_col).alias("id"), named(text).alias("text")).mapInArrow(encode, f"id {kind}, ids binary, key binary"), "encoded")
+    ordered = encoded.repartitionByRange("key").sortWithinPartitions("key").select("id", "ids")
+    packed = ordered.mapInArrow(shards, f"id {kind}, {', '.join(f'{c} long' for c in PIECE)}" + ", ids binary" * with_ids)
+    return packed.select(F.col("id").alias(id_col), *PIECE, *(["ids"] if with_ids else []))

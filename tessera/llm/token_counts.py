@@ -84,7 +84,7 @@ def _splice(group: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array([parts[0]["row"]], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
 
-def count_huge(texts: DataFrame, path: str, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
+def count_huge(texts: DataFrame, path: str, chunk: int = 16_384, overlap: int = 1_024) -> DataFrame:
     """``(row, n_tokens)`` of the stored ``texts`` ``(row, text)``, where ``row`` is unique."""
     found: DataFrame | None = None
     pending = texts
@@ -98,7 +98,7 @@ def count_huge(texts: DataFrame, path: str, chunk: int = 32_768, overlap: int =
         pending, chunk, overlap = texts.join(failed, "row", "left_semi"), 4 * chunk, 4 * overlap
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 1_024, huge: int = 65_536, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", limit: int = 1_024, huge: int = 32_768, chunk: int = 16_384, overlap: int = 1_024) -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` of every row.
 
     Counts are those of the ``tokenizers`` library for the file at ``path``, without added begin or end tokens; special

@@ -33,8 +33,7 @@ def _node(formula: Formula, x: Column) -> Column:
         return _gate(x)
     if formula[0] == "f":
         return _gate(F.lit(float(formula[1])))
-    y = _node(formula[2], x)
-    return _gate(F.when(y > 0, F.exp(_node(formula[1], x)) - F.log(y)))
+    return _gate(eml(_node(formula[1], x), _node(formula[2], x)))
 
 
 def predict(formula: Formula, x: Column) -> Column:

@@ -18,8 +18,6 @@ from tessera.session import new_path
 MIN_DIM, MAX_DIM = 1, 4096
 #: Components of the vectors that a task of the batch search holds at once, and most scores of a product.
 HELD_COMPONENTS, PRODUCT = 16_000_000, 4_000_000
-#: More than a single-precision product of unit vectors can be off by.
-_SLACK = 2e-5
 
 
 class VectorError(ValueError):
@@ -125,9 +123,9 @@ def _best(q: np.ndarray, x: np.ndarray, q32: np.ndarray, x32: np.ndarray, ids: n
     """``(query, id, score)`` of each query's ``k`` best rows, by score, then id. Single precision finds who may be among
     them, double precision orders these."""
     s = q32 @ x32.T
-    n = s.shape[1]
+    n, off = s.shape[1], 2 * (q.shape[1] + 4) * 2.0**-24  # two products of unit vectors can be off by no more together
     least = np.partition(s, n - k, axis=1)[:, n - k] if n > k else s.min(axis=1)
-    rows, cols = np.nonzero(s >= least[:, None] - _SLACK)
+    rows, cols = np.nonzero(s >= least[:, None] - off)
     a, b = q[rows], x[cols].astype(np.float64)
     exact = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
     order = np.lexsort((ids[cols], -exact, rows))

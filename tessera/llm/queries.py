@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embeddings, html, language, minhash, packing, quality, secrets, token_counts, warc
+from tessera.llm import bpe, centroids, embeddings, html, language, minhash, packing, quality, resampling, secrets, token_counts, topk, warc
 from tessera.llm._shared import table
 from tessera.llm.sql import ORACLE
 
@@ -66,8 +66,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_duplicates, op3_secret_scan, op4_byte_bpe, op5_packing, op6_minhash_duplicates, op7_token_counts, op8_html_text, op9_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_duplicates, op3_secret_scan, op4_byte_bpe, op5_packing, op6_minhash_duplicates, op7_token_counts, op8_html_text, op9_language_id, op10_warc, op11_top_k, op12_centroid_clusters, op13_target_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,4 +69,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM (SELECT x.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed, {post} AS p FROM x, em WHERE k = {iterations})"""
 
 
-ORACLE: dict[str, str] = {"op1_quality_rules": _op1(), "op2_embedding_duplicates": OP2, "op6_minhash_duplicates": OP6, "op10_warc": OP10}
+OP11 = """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+def _op12(k: int = 16, rounds: int = 3) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, min([d, c]) AS m FROM (SELECT v.vec_id, v.x, c.c, (v.s - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))::BIGINT AS d FROM v, c{r} c) GROUP BY vec_id, x)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT m[2] AS c, unnest(range(1, 65)) AS i, unnest(x) AS x FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f.x, o.x) AS x FROM c{r} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM s{r} GROUP BY c) f USING (c))""")
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, x, list_inner_product(x, x) AS s FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, m[2]::INTEGER AS cluster, m[1] AS distance, (sum(m[1]) OVER (PARTITION BY m[2]))::BIGINT AS cluster_inertia, (sum(m[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.m[2]"""
+
+
+#: CRC-32 by its table of 256 entries, over the bytes of distinct words.
+OP13 = f"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS MATERIALIZED (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+u AS MATERIALIZED (SELECT doc_id, unnest(w) AS w FROM w),
+crc AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+f AS MATERIALIZED (SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: (strpos('{_HEX.upper()}', h[i]) - 1) * 16 + strpos('{_HEX.upper()}', h[i + 1]) - 1),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM (SELECT w, hex(w) AS h FROM (SELECT w FROM u UNION SELECT w FROM b)), crc),
+s AS (SELECT bucket, count(*) AS n FROM u JOIN f USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM b JOIN f USING (w) GROUP BY bucket),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM f) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+d AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM u JOIN f USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+r AS MATERIALIZED (SELECT w.doc_id, len(w.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || w.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT r.*, CASE WHEN rank <= 10 * (SELECT count(*) FROM k) // 100 THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": _op1(), "op2_embedding_duplicates": OP2, "op6_minhash_duplicates": OP6, "op10_warc": OP10, "op11_top_k": OP11, "op12_centroid_clusters": _op12(), "op13_target_resampling": OP13}

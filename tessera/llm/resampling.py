@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,41 +24,34 @@ from tessera.operators.ids import dense_ids
 
 #: Every byte below 128 that isn't a digit or a letter becomes a space; letters are lower-cased.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_SPACES = regex.compile(rb" +")
+_SPACES = regex.compile(rb"  +")
 #: Features whose buckets are held before they are packed; bounds the memory for very long texts.
 _HELD = 1 << 20
 
 
 def collapsed(text: bytes) -> bytes:
-    """The words of a text with one space between them, and perhaps one on either end."""
-    return _SPACES.sub(b" ", text.translate(_CLEAN))
+    """The words of a text, each with one space on either side."""
+    return _SPACES.sub(b" ", b" " + text.translate(_CLEAN) + b" ")
 
 
 def patterns(max_words: int) -> list[regex.Pattern]:
     """For every number of words the pattern of such a run in a collapsed text; to be scanned with overlaps."""
-    return [regex.compile(rb"(?<![^ ])[^ ]++" + rb"(?: [^ ]++){%d}" % (n - 1) + rb"(?![^ ])" if n > 1 else rb"(?<![^ ])[^ ]++(?![^ ])") for n in range(1, max_words + 1)]
+    return [regex.compile(rb"(?<= )[^ ]++" + (rb"(?: [^ ]++){%d}" % (n - 1) if n > 1 else b"") + rb"(?= )") for n in range(1, max_words + 1)]
 
 
-def feature_spans(text: bytes, orders: list[regex.Pattern]) -> Iterator[tuple[int, int]]:
-    """``(begin, end)`` of all features of a collapsed text, shorter runs first."""
-    for pattern in orders:
-        for m in pattern.finditer(text, overlapped=True):
-            yield m.span()
+def features(text: bytes, orders: list[regex.Pattern]) -> Iterator[Iterator[regex.Match]]:
+    """For every order the spans of its features in a collapsed text, one by one."""
+    return (pattern.finditer(text, overlapped=True) for pattern in orders)
 
 
 def bucket_rows(text: bytes | None, orders: list[regex.Pattern], buckets: int) -> tuple[int, np.ndarray]:
     """Number of words, and the bucket of every feature with repeats, in scan order."""
-    clean = collapsed(text or b"")
-    crc = zlib.crc32
-    out, held = [], []
-    for b, e in feature_spans(clean, orders):
-        held.append(crc(clean[b:e]))
-        if len(held) == _HELD:
-            out.append(np.array(held, np.uint32) % np.uint32(buckets))
-            held = []
-    out.append(np.array(held, np.uint32) % np.uint32(buckets))
-    words = len(clean.split(b" ")) - clean.startswith(b" ") - clean.endswith(b" ") if clean.strip(b" ") else 0
-    return words, np.concatenate(out)
+    found, words, crc = [np.zeros(0, np.uint32)], 0, zlib.crc32
+    for order, spans in enumerate(features(collapsed(text or b""), orders)):
+        while held := [crc(m[0]) for m in islice(spans, _HELD)]:
+            found.append(np.array(held, np.uint32) % np.uint32(buckets))
+            words += len(held) * (order == 0)
+    return words, np.concatenate(found)
 
 
 def featurize(docs: DataFrame, text: str, carry: dict[str, Column], max_words: int, buckets: int) -> DataFrame:
@@ -133,14 +127,14 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: s
     """
     kind = docs.schema[id_col].dataType.simpleString()
     with workspace(docs.sparkSession, "resampling") as folder:
-        features = stored(featurize(docs, text, {"id": named(id_col)}, max_words, buckets), "features")
-        gain = gains(totals(features, buckets), totals(featurize(target, target_text, {}, max_words, buckets), buckets), buckets)
+        scanned = stored(featurize(docs, text, {"id": named(id_col)}, max_words, buckets), "features")
+        gain = gains(totals(scanned, buckets), totals(featurize(target, target_text, {}, max_words, buckets), buckets), buckets)
 
         def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
             weights = [int(gain[np.frombuffer(raw.as_buffer(), "<u4")].sum()) for raw in batch.column(3)]
             return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(weights, pa.int64())], ["id", "n_words", "n_features", "weight"])
 
-        weighed = map_batches(features, weigh, f"id {kind}, n_words long, n_features long, weight long")
+        weighed = map_batches(scanned, weigh, f"id {kind}, n_words long, n_features long, weight long")
         # the place splits rows that are alike in everything else over the ranges
         scored = stored(weighed.select("*", (F.col("weight") + gumbel("id", seed)).alias("score"), F.monotonically_increasing_id().alias("place")), "scored")
         able = F.col("n_words") >= min_words

@@ -39,9 +39,11 @@ def fold_ops(ops: DataFrame) -> State:
 
 
 def parse_facts(lines: DataFrame) -> DataFrame:
-    """``(seq, op, name, a, b, bad)`` from ``(line_no, line)``; comments and empty lines are left out."""
+    """``(seq, op, name, a, b, bad)`` from ``(line_no, line)``; comments and empty lines are left out. Lines of several
+    files are in the order of their ``seq``, where they have one."""
+    at = "seq" if "seq" in lines.columns else "line_no"
     words = F.array_remove(F.split("line", " "), "")
-    rows = lines.where((F.length("line") > 0) & ~F.col("line").startswith("#")).select(F.col("line_no").alias("seq"), words.alias("w"))
+    rows = lines.where((F.length("line") > 0) & ~F.col("line").startswith("#")).select(F.col(at).alias("seq"), words.alias("w"))
     need = F.lit(None).cast("int")
     for op, n in ARITY.items():
         need = F.when(F.get("w", F.lit(0)) == op, n).otherwise(need)
@@ -53,7 +55,8 @@ def parse_facts(lines: DataFrame) -> DataFrame:
 
 
 def load_facts(lines: DataFrame, state_ops: DataFrame | None = None) -> tuple[State, int | None]:
-    """The state after the lines before the first bad one, and that line's number (None if all are good)."""
+    """The state after the lines before the first bad one, and that line's number (None if all are good): its ``seq``,
+    the number over all files, where lines have one. ``bad_line`` tells its file."""
     parsed = parse_facts(lines)
     first_bad = parsed.where("bad").agg(F.min("seq").alias("n")).first()["n"]
     ops = parsed if first_bad is None else parsed.where(F.col("seq") < first_bad)
@@ -61,6 +64,12 @@ def load_facts(lines: DataFrame, state_ops: DataFrame | None = None) -> tuple[St
     return fold_ops(ops if state_ops is None else append_ops(state_ops, ops)), first_bad
 
 
+def bad_line(lines: DataFrame, number: int) -> tuple[str, int]:
+    """The path of the line with the number that ``load_facts`` gave, and its number there."""
+    r = lines.where(F.col("seq" if "seq" in lines.columns else "line_no") == number).select("path", "line_no").first()
+    return r["path"], r["line_no"]
+
+
 def append_ops(ops: DataFrame, more: DataFrame) -> DataFrame:
     """``more`` (by its own ``seq``) after all of ``ops``."""
     end = ops.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first()["n"]

@@ -336,6 +336,25 @@ def sets_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sets_containing(R.fold_ops(_ops(spark, sf_dir)), "7")
 
 
+@query
+def relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation for every market segment, of which one is emptied again and another only removed from."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.concat(F.lit("of."), F.lower("c_mktsegment")).alias("name"), F.col("c_nationkey").cast("string").alias("b"))
+    added = customer.select(F.col("k").alias("seq"), F.lit("RADD").alias("op"), "name", F.col("k").cast("string").alias("a"), "b")
+    removed = added.where("name IN ('of.building', 'of.machinery')").withColumn("op", F.lit("RREM")).withColumn("seq", -F.col("seq"))
+    state = R.fold_ops(added.where("name != 'of.machinery'").unionByName(removed.withColumn("seq", F.abs("seq") + 10_000_000_000)))
+    sizes = state.pairs.groupBy(F.col("rel").alias("name")).agg(F.count("*").alias("n"))
+    return R.relation_names(state).join(sizes, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query
+def stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation's range kept as a set beside what the log had."""
+    customer = table(spark, sf_dir, "customer")
+    ops = customer.select(F.col("c_custkey").cast("long").alias("seq"), F.lit("RADD").alias("op"), F.lit("lives_in").alias("name"), F.col("c_custkey").cast("string").alias("a"), F.col("c_nationkey").cast("string").alias("b"))
+    return R.members(R.fold_ops(R.store_range(ops, R.pairs(R.fold_ops(ops), "lives_in"), "nations")), "nations")
+
+
 @query
 def set_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.set_names(R.fold_ops(_ops(spark, sf_dir)))
@@ -651,6 +670,24 @@ def facts_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.members
 
 
+@query
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as lines of text files, read over small ranges of bytes and numbered through all files."""
+    path = new_path(spark, "text")
+    table(spark, sf_dir, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.coalesce("text", F.lit(""))).write.text(path)
+    return S.scan_lines(spark, path, None, 1 << 18).select("seq", F.sha2("line", 256).alias("sha256"))
+
+
+@query
+def facts_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as five files of facts with a bad line in a later one: the files before it and its lines before count."""
+    path = new_path(spark, "facts")
+    line = F.when(F.col("seq") == 777, F.lit("SREM")).otherwise(F.concat_ws(" ", "op", "name", "a"))
+    _ops(spark, sf_dir).repartitionByRange(5, "seq").sortWithinPartitions("seq").select(line.alias("line")).write.text(path)
+    state, bad = R.load_facts(S.scan_lines(spark, path, K.FACTS_MAX, 1 << 14))
+    return state.members.withColumn("bad", F.lit(bad).cast("long"))
+
+
 @query
 def kv_dump_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "kv")

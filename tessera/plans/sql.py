@@ -144,6 +144,11 @@ ORACLE |= {
     "vector_table": "SELECT count(*) AS n, max(len(embedding))::BIGINT AS dim, round(count(*)::DOUBLE, 2) AS norms FROM embeddings",
     "topic_segments": f"""WITH {_LOG} SELECT topic, "offset", segment_base, payload, true AS crc_ok FROM seg WHERE topic = 'click'""",
     "facts_dump_load": ORACLE["fold_ops"],
+    "facts_over_files": ORACLE["facts_until_bad"].replace("777::BIGINT", "778::BIGINT"),  # events count from 0, lines from 1
+    "file_lines": """SELECT row_number() OVER (ORDER BY doc_id, k) AS seq, sha256(line) AS sha256 FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)""",
+    "relation_names": """SELECT 'of.' || lower(c_mktsegment) AS name, (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE count(*) END)::BIGINT AS n FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY c_mktsegment""",
+    "stored_range": "SELECT DISTINCT c_nationkey::VARCHAR AS atom FROM customer",
     "stream_fold": ORACLE["fold_ops"],
     "stream_slice": ORACLE["jsonl_field"],
     "kv_dump_load": ORACLE["fold_kv"],

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tessera.functions.checksum import crc32c_many
 from tessera.operators.ids import dense_ids
 from tessera.operators.keyed import as_int
-from tessera.operators.lines import FACTS_MAX, SLICE_MAX, lines_of
+from tessera.operators.lines import FACTS_MAX, SLICE_MAX
 from tessera.operators.relations import parse_facts
 from tessera.session import written
+from tessera.sources.splits import SPLIT, split_lines, store_of
 
 #: Extensions of documents, folders that are skipped, and the most bytes of a document.
 EXTENSIONS = (".md", ".txt", ".jsonl", ".py", ".go", ".rs", ".js", ".ts", ".cpp", ".hpp", ".c", ".h", ".zig", ".asm", ".sh")
@@ -28,10 +29,6 @@ SKIPPED = ("node_modules", "__pycache__")
 MAX_DOCUMENT = 16 << 20
 
 
-def _store(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-
-
 def list_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
     """``(path, is_dir, length)`` of everything below ``root``, paths relative with ``/``; links aren't followed.
 
@@ -39,12 +36,12 @@ def list_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> Dat
     and is stored; its folders are the next round's. So a large subtree is spread however it lies.
     """
     schema = "path string, is_dir boolean, length long"
-    store, base = _store(root)
+    store, base = store_of(root)
     if store.get_file_info(base).type != fs.FileType.Directory:
         raise FileNotFoundError(f"{root} is no folder")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, place = _store(root)
+        own, place = store_of(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 rows = []
@@ -72,7 +69,7 @@ def read_contents(listing: DataFrame, root: str) -> DataFrame:
     """``(path, content, length)`` of the listed files, read in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(root)
+        store, base = store_of(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{base}/{path}", compression=None) as f:
@@ -87,7 +84,7 @@ def write_files(files: DataFrame, root: str) -> None:
     may run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(root)
+        store, base = store_of(root)
         made: set[str] = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -113,10 +110,30 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     return read_contents(files.select(checked.alias("path")), root)
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str], max_len: int | None = SLICE_MAX) -> DataFrame:
-    """``(path, line_no, line)`` of whole text files."""
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return lines_of(texts, max_len=max_len)
+def _files_at(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(path, length)`` of the files given and of those below the folders given, hidden ones (``_``, ``.``) left out."""
+    found, single = None, []
+    for given in [paths] if isinstance(paths, str) else paths:
+        store, place = store_of(given)
+        info = store.get_file_info(place)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"{given} isn't there")
+        if info.type == fs.FileType.File:
+            single.append((given, info.size))
+            continue
+        below = list_files(spark, given).where(~F.col("is_dir") & ~F.col("path").rlike("(^|/)[_.]")).select(F.concat(F.lit(given.rstrip("/") + "/"), "path").alias("path"), "length")
+        found = below if found is None else found.unionByName(below)
+    own = spark.createDataFrame(single, "path string, length long")
+    return own if found is None else found.unionByName(own)
+
+
+def scan_lines(spark: SparkSession, paths: str | list[str], max_len: int | None = SLICE_MAX, split_bytes: int = SPLIT) -> DataFrame:
+    """``(path, line_no, line)`` of text files of any size, and ``seq``, the line's number over all files in path order.
+
+    Files are read over ranges of ``split_bytes`` bytes, each in a task of its own. Lines are split at line feeds alone
+    and numbered from 1; those over ``max_len`` bytes are left out and still count.
+    """
+    return split_lines(_files_at(spark, paths), max_len, split_bytes).select("path", "line_no", "line", "seq")
 
 
 def scan_payload_dir(spark: SparkSession, root: str) -> DataFrame:
@@ -137,7 +154,7 @@ def scan_topic(spark: SparkSession, root: str, topic: str, on_error: str = "fail
     segments = list_files(spark, base).where(~F.col("is_dir") & F.col("path").rlike(r"^[0-9]{20}\.log$"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, place = _store(base)
+        store, place = store_of(base)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{place}/{path}", compression=None) as f:
@@ -185,19 +202,19 @@ def scan_global_index(spark: SparkSession, root: str, topic: str) -> DataFrame:
 
 
 def scan_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Operations of a facts file, with ``bad`` for lines that break a rule."""
+    """Operations of facts files, with ``bad`` for lines that break a rule; of several files in path order."""
     return parse_facts(scan_lines(spark, path, FACTS_MAX))
 
 
 def load_kv(spark: SparkSession, path: str) -> DataFrame:
     """``(key, kind, int_value, str_value)`` from a dump; comments, short lines, unknown tags and bad numbers are skipped.
 
-    The last line of a key counts.
+    The last line of a key counts; over several files, in path order.
     """
     w = F.split("line", " ", 3)
-    rows = scan_lines(spark, path, None).where(~F.col("line").startswith("#")).select("line_no", F.get(w, F.lit(0)).alias("tag"), F.get(w, F.lit(1)).alias("key"), F.get(w, F.lit(2)).alias("value"))
+    rows = scan_lines(spark, path, None).where(~F.col("line").startswith("#")).select("seq", F.get(w, F.lit(0)).alias("tag"), F.get(w, F.lit(1)).alias("key"), F.get(w, F.lit(2)).alias("value"))
     rows = rows.where(F.col("value").isNotNull() & ((F.col("tag") == "S") | ((F.col("tag") == "I") & as_int(F.col("value")).isNotNull())))
-    last = rows.groupBy("key").agg(F.max(F.struct("line_no", "tag", "value")).alias("r"))
+    last = rows.groupBy("key").agg(F.max(F.struct("seq", "tag", "value")).alias("r"))
     number = F.col("r.tag") == "I"
     return last.select("key", F.when(number, "int").otherwise("string").alias("kind"), F.when(number, as_int(F.col("r.value"))).alias("int_value"), F.when(~number, F.col("r.value")).alias("str_value"))
 
@@ -229,7 +246,7 @@ def write_topic(log: DataFrame, root: str) -> None:
 
     def put(group: pa.Table, file: str, data: Iterator[bytes]) -> pa.Table:
         topic = group.column("topic")[0].as_py()
-        store, place = _store(f"{root}/topics/{topic}")
+        store, place = store_of(f"{root}/topics/{topic}")
         store.create_dir(place, recursive=True)
         fresh = f"{place}/{file}.{uuid.uuid4().hex}"
         with store.open_output_stream(fresh, compression=None) as out:

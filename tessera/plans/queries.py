@@ -25,6 +25,7 @@ from tessera.operators.ids import dense_ids
 from tessera.session import new_path
 from tessera.sources import files as S
 from tessera.sources import tables as T
+from tessera.sources import topics as TS
 from tessera.streaming import jobs
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,6 +458,30 @@ def fetch_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fetch_batch(_topic_log(spark, sf_dir), "view", 950, 4_000).select("offset", F.col("payload").cast("string").alias("payload"))
 
 
+def _topic_files(spark: SparkSession, sf_dir: str) -> str:
+    root = new_path(spark, "log")
+    S.write_topic(_topic_log(spark, sf_dir), root)
+    return root
+
+
+@query
+def fetch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``fetch``, from segment files of which only the needed ones are opened."""
+    return TS.fetch_from(spark, _topic_files(spark, sf_dir), "click", 5, 400).select("offset", F.col("payload").cast("string").alias("payload"))
+
+
+@query
+def fetch_batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``fetch_batch``, from segment files of which one is opened."""
+    return TS.fetch_batch_from(spark, _topic_files(spark, sf_dir), "view", 950, 4_000).select("offset", F.col("payload").cast("string").alias("payload"))
+
+
+@query
+def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``read_from_group``, from segment files of which those before the group's offset aren't opened."""
+    return TS.resume_from(spark, _topic_files(spark, sf_dir), _offsets(spark, sf_dir), "g1", "purchase").select("offset", F.col("payload").cast("string").alias("payload"))
+
+
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(F.concat(F.lit("g"), F.col("user_id") % 5).alias("group"), F.col("event_type").alias("topic"), (F.col("event_id") % 997).alias("offset"), F.col("event_id").alias("seq"))
@@ -842,3 +867,21 @@ def stream_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.stream_vectors(payloads, f"{path}/delta", f"{path}/check").awaitTermination()
     delta = spark.read.parquet(f"{path}/delta").select("doc_id", "vector")
     return V.cosine_topk(delta, _query_vector(_vectors(spark, sf_dir)), 8)
+
+
+@query
+def stream_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as messages of a topic whose files a stream tails: the first half of its segments is there at the first
+    run, all are at the second, which goes on where the first ended."""
+    path = new_path(spark, "tail")
+    vectors = _vectors(spark, sf_dir)
+    log = dense_ids(V.encode_payloads(vectors, "doc_id").select("doc_id", "payload"), ["doc_id"], "offset").select(F.lit("vectors").alias("topic"), "offset", (F.floor(F.col("offset") / 100) * 100).cast("long").alias("segment_base"), "payload")
+    half = log.count() // 2
+    for part in (log.where(F.col("segment_base") < half), log):
+        S.write_topic(part, path)
+        tail = TS.stream_topic(spark, path, "vectors").select(F.col("offset").alias("auto_id"), "payload")
+        jobs.stream_vectors(tail, f"{path}/delta", f"{path}/check").awaitTermination()
+    delta = spark.read.parquet(f"{path}/delta")
+    hits = V.cosine_topk(delta.select("doc_id", "vector"), _query_vector(vectors), 8)
+    size = delta.agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"))
+    return hits.join(F.broadcast(size))

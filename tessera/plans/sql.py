@@ -141,6 +141,10 @@ ORACLE: dict[str, str] = {
 ORACLE |= {
     "payload_vectors": ORACLE["cosine_topk"],
     "stream_vectors": ORACLE["cosine_topk"],
+    "stream_topic": f"SELECT t.*, (SELECT count(*) FROM embeddings) AS n, 2::BIGINT AS batches FROM ({ORACLE['cosine_topk']}) t",
+    "fetch_files": ORACLE["fetch"],
+    "fetch_batch_files": ORACLE["fetch_batch"],
+    "resume_files": ORACLE["read_from_group"],
     "vector_table": "SELECT count(*) AS n, max(len(embedding))::BIGINT AS dim, round(count(*)::DOUBLE, 2) AS norms FROM embeddings",
     "topic_segments": f"""WITH {_LOG} SELECT topic, "offset", segment_base, payload, true AS crc_ok FROM seg WHERE topic = 'click'""",
     "facts_dump_load": ORACLE["fold_ops"],

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,7 +22,7 @@ from tessera.operators.keyed import as_int
 from tessera.operators.lines import FACTS_MAX, SLICE_MAX
 from tessera.operators.relations import parse_facts
 from tessera.session import written
-from tessera.sources.splits import SPLIT, split_lines, store_of
+from tessera.sources.splits import MOST_TASKS, SPLIT, split_lines, store_of
 
 #: Extensions of documents, folders that are skipped, and the most bytes of a document.
 EXTENSIONS = (".md", ".txt", ".jsonl", ".py", ".go", ".rs", ".js", ".ts", ".cpp", ".hpp", ".c", ".h", ".zig", ".asm", ".sh")
@@ -180,7 +181,8 @@ def scan_topic(spark: SparkSession, root: str, topic: str, on_error: str = "fail
                     yield full(at)
 
     # stored, as the counts and the records both read it
-    records = written(segments.select("path").repartition("path").mapInArrow(run, "segment_base long, at long, payload binary, crc_ok boolean"), "records")
+    dealt = segments.select("path").repartition(max(1, min(segments.count(), MOST_TASKS)))
+    records = written(dealt.mapInArrow(run, "segment_base long, at long, payload binary, crc_ok boolean"), "records")
     counts = records.groupBy("segment_base").count()  # one row a segment
     before = F.coalesce(F.sum("count").over(Window.orderBy("segment_base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("segment_base", before.alias("first"))
@@ -239,7 +241,8 @@ def path_rollup(listing: DataFrame) -> DataFrame:
 
 
 def write_topic(log: DataFrame, root: str) -> None:
-    """Write ``(topic, offset, segment_base, payload)`` as segments and ``global.idx`` files that ``scan_topic`` reads.
+    """Write ``(topic, offset, segment_base, payload)`` as segments, each with its index, and ``global.idx`` files that
+    ``scan_topic`` and ``topics.read_topic`` read.
 
     A segment is written by one task under a name of its own and then put in place, so a task may run again.
     """
@@ -257,6 +260,8 @@ def write_topic(log: DataFrame, root: str) -> None:
 
     def segment(group: pa.Table) -> pa.Table:
         payloads = group.sort_by("offset").column("payload").to_pylist()
+        ends = list(accumulate((8 + len(p) for p in payloads), initial=0))
+        put(group, f"{group.column('segment_base')[0].as_py():020}.idx", (struct.pack("<Q", at) for at in ends[:-1]))
         parts = (struct.pack("<II", len(p), int(c)) + p for p, c in zip(payloads, crc32c_many(payloads), strict=True))
         return put(group, f"{group.column('segment_base')[0].as_py():020}.log", parts)
 

@@ -2,11 +2,14 @@
 
 import io
 import random
+import struct
 
 import pytest
 
 from tessera.operators import relations as R
+from tessera.operators.topics import TopicError
 from tessera.sources import files as S
+from tessera.sources import topics as TS
 from tessera.sources.splits import lines_from, split_lines
 
 
@@ -69,3 +72,92 @@ def test_last_line_of_a_key_counts_over_files(spark, tmp_path):
     for name, text in {"1": "I k 1\nI k 2\nI k 3\nS t x\n", "2": "I k 9\n"}.items():
         (tmp_path / name).write_text(text)
     assert {r["key"]: r["int_value"] or r["str_value"] for r in S.load_kv(spark, str(tmp_path)).collect()} == {"k": 9, "t": "x"}
+
+
+def topic_rows(spark, n, size):
+    return spark.createDataFrame([("t", k, k // size * size, b"%d" % k * (k % 5)) for k in range(n)], "topic string, offset long, segment_base long, payload binary")
+
+
+def test_only_segments_from_the_offset_are_opened(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    S.write_topic(topic_rows(spark, 95, 10), root)
+    folder = tmp_path / "topics" / "t"
+    (folder / f"{95:020}.log").write_bytes(b"an orphan segment")
+    with open(folder / f"{90:020}.log", "ab") as f:
+        f.write(b"\x01")  # an orphan tail
+    want = {k: b"%d" % k * (k % 5) for k in range(95)}
+    whole = TS.read_topic(spark, root, "t")
+    assert {r["offset"]: bytes(r["payload"]) for r in whole.collect()} == want and whole.where("crc_ok AND topic = 't'").count() == 95
+    options = {"root": root, "topic": "t", "start": "47", "until": "63"}
+    reader = TS.TopicReader(options)
+    spans = reader.partitions()
+    assert [(s.base, s.first, s.until) for s in spans] == [(40, 47, 63), (50, 50, 63), (60, 60, 63)]
+    opened = []
+    records = TS.TopicFiles.records
+    monkeypatch.setattr(TS.TopicFiles, "records", lambda self, base, *a: opened.append(base) or records(self, base, *a))
+    assert [o for s in spans for b in reader.read(s) for o in b.column(1).to_pylist()] == list(range(47, 63)) and opened == [40, 50, 60]
+    for base in (0, 10, 20, 30, 70, 80):  # what isn't needed isn't read
+        (folder / f"{base:020}.log").write_bytes(b"broken")
+    assert [r["offset"] for r in TS.fetch_from(spark, root, "t", 47, max_records=13).orderBy("offset").collect()] == list(range(47, 60))
+    assert [r["offset"] for r in TS.fetch_batch_from(spark, root, "t", 45).orderBy("offset").collect()] == [45, 46, 47, 48, 49]
+    assert [r["offset"] for r in TS.fetch_batch_from(spark, root, "t", 61, 8 + 2 + 8 + 4 + 8 + 6).orderBy("offset").collect()] == [61, 62, 63]
+    assert [r["offset"] for r in TS.fetch_from(spark, root, "t", 41, max_bytes=9, max_records=20).orderBy("offset").collect()] == [41, 42]
+    assert TS.fetch_from(spark, root, "t", 95).isEmpty() and TS.fetch_batch_from(spark, root, "t", 95).isEmpty() and TS.read_topic(spark, root, "none").isEmpty()
+    offsets = spark.createDataFrame([("g", "t", 91, 1)], "group string, topic string, offset long, seq long")
+    assert [r["offset"] for r in TS.resume_from(spark, root, offsets, "g", "t").collect()] == [91, 92, 93, 94]
+    (folder / f"{90:020}.idx").unlink()  # from head to head, then
+    assert [r["offset"] for r in TS.resume_from(spark, root, offsets, "g", "t").collect()] == [91, 92, 93, 94]
+    with pytest.raises(Exception, match="truncated"):
+        TS.read_topic(spark, root, "t", 75, 76).collect()
+    for bad in (lambda: TS.fetch_from(spark, root, "t", -1), lambda: TS.fetch_batch_from(spark, root, "t", 0, 0)):
+        with pytest.raises(TopicError):
+            bad()
+
+
+def test_filters_on_offsets_are_pushed_down(spark, tmp_path):
+    root = str(tmp_path)
+    S.write_topic(topic_rows(spark, 60, 10), root)
+    for base in (0, 10, 40, 50):
+        (tmp_path / "topics" / "t" / f"{base:020}.log").write_bytes(b"broken")
+    spark.conf.set(TS.PUSHDOWN, "true")
+    try:
+        got = TS.read_topic(spark, root, "t").where("offset > 24 AND offset <= 31 AND offset < 35").select("offset").collect()
+        one = TS.read_topic(spark, root, "t").where("offset = 33").select("offset").collect()
+    finally:
+        spark.conf.unset(TS.PUSHDOWN)
+    assert sorted(r["offset"] for r in got) == list(range(25, 32)) and [r["offset"] for r in one] == [33]
+    with pytest.raises(Exception, match="truncated"):
+        TS.read_topic(spark, root, "t").where("offset > 24 AND offset <= 31").collect()
+
+
+def test_wrong_checksums(spark, tmp_path):
+    root = str(tmp_path)
+    S.write_topic(topic_rows(spark, 20, 10), root)
+    place = tmp_path / "topics" / "t" / f"{10:020}.log"
+    data = place.read_bytes()
+    place.write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
+    assert [r["offset"] for r in TS.read_topic(spark, root, "t", on_error="flag").where("NOT crc_ok").collect()] == [19]
+    with pytest.raises(Exception, match="checksum"):
+        TS.read_topic(spark, root, "t").collect()
+    with pytest.raises(ValueError):
+        TS.read_topic(spark, root, "t", on_error="ignore")
+
+
+def test_a_stream_reads_each_message_once_and_goes_on(spark, tmp_path):
+    root, out, check = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run():
+        TS.stream_topic(spark, root, "t").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["offset"] for r in spark.read.parquet(out).collect())
+
+    S.write_topic(topic_rows(spark, 25, 10), root)
+    assert run() == list(range(25))
+    (tmp_path / "log" / "topics" / "t" / f"{0:020}.log").write_bytes(b"gone")  # never opened again
+    assert run() == list(range(25))
+    S.write_topic(topic_rows(spark, 48, 10).where("segment_base >= 20"), str(tmp_path / "more"))
+    for base in (20, 30, 40):  # messages and segments added, then the index that commits them
+        for kind in ("log", "idx"):
+            (tmp_path / "log" / "topics" / "t" / f"{base:020}.{kind}").write_bytes((tmp_path / "more" / "topics" / "t" / f"{base:020}.{kind}").read_bytes())
+    assert run() == list(range(25))
+    (tmp_path / "log" / "topics" / "t" / "global.idx").write_bytes(b"".join(struct.pack("<Q", k // 10 * 10) for k in range(48)))
+    assert run() == list(range(48))

@@ -152,9 +152,13 @@ def select(relation: DataFrame, side: str, atom: str) -> DataFrame:
     return relation.where(F.col(at) == atom).select(F.col(other).alias("atom")).distinct()
 
 
+def _joined(r: DataFrame, s: DataFrame) -> DataFrame:
+    return r.select("left", F.col("right").alias("__mid")).join(s.select(F.col("left").alias("__mid"), "right"), "__mid").select("left", "right")
+
+
 def compose(r: DataFrame, s: DataFrame) -> DataFrame:
     """``(a, c)`` for ``(a, b)`` in r and ``(b, c)`` in s."""
-    return r.select("left", F.col("right").alias("__mid")).join(s.select(F.col("left").alias("__mid"), "right"), "__mid").select("left", "right").distinct()
+    return _joined(r, s).distinct()
 
 
 def domain(relation: DataFrame) -> DataFrame:
@@ -181,23 +185,29 @@ def rintersect(r: DataFrame, s: DataFrame) -> DataFrame:
     return r.intersect(s)
 
 
-def transitive_closure(relation: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """Pairs joined by a path of one or more steps, semi-naively: only new pairs are extended each round.
+def transitive_closure(relation: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Pairs joined by a path of one or more steps, in rounds that double the length of paths.
 
-    Every round's new pairs are one more folder of a single table, which the next round reads as one; so the plan doesn't
-    grow with the rounds, of which there are as many as the longest shortest path.
+    A round knows all pairs less than ``2**n`` steps apart, and those exactly ``2**n`` apart. Any part of a shortest path
+    is one itself, so pairs less than ``2**(n + 1)`` apart are the known ones, the exact ones and known ones extended by
+    an exact one; and those exactly ``2**(n + 1)`` apart are two exact ones together, unless they are known by then. So
+    there are as many rounds as the longest shortest path has binary digits, cycles or not, and one at which no pair is
+    exactly that far apart is the last. Every round's new pairs are one more folder of a single table, so the plan doesn't
+    grow with the rounds; pairs extended twice over are dropped inside tasks before they are shuffled.
     """
     spark, place = relation.sparkSession, new_path(relation.sparkSession, "closure")
-    schema = relation.select("left", "right").schema
-    step = written(relation.select("left", "right").distinct(), "steps")
-    step.write.parquet(f"{place}/round=0")
-    read = lambda path: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    exact = written(relation.select("left", "right").distinct(), "steps")
+    known = spark.read.schema(exact.schema).option("recursiveFileLookup", "true")
+    exact.write.parquet(f"{place}/round=0")
     for n in range(max_rounds):
-        new = compose(read(f"{place}/round={n}"), step).join(read(place), ["left", "right"], "left_anti")
-        new.write.parquet(f"{place}/round={n + 1}")
-        if read(f"{place}/round={n + 1}").isEmpty():
-            return read(place)
-    raise RuntimeError(f"paths are longer than {max_rounds} steps")
+        if n:
+            before = known.parquet(place)
+            new = _joined(before, exact).unionByName(exact).distinct().join(before, ["left", "right"], "left_anti")
+            new.write.parquet(f"{place}/round={n}")
+        exact = written(compose(exact, exact).join(known.parquet(place), ["left", "right"], "left_anti"), "exact")
+        if exact.isEmpty():
+            return known.parquet(place)
+    raise RuntimeError(f"paths are longer than 2 ** {max_rounds} steps")
 
 
 def stored_ops(result: DataFrame, target: str) -> DataFrame:

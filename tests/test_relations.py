@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import relations as R
@@ -75,6 +78,33 @@ def test_closure_of_cycles(spark):
     assert got == sorted([(p, q) for p in "abc" for q in "abc"] + [("d", "d")] + [("x", q) for q in "abc"])
 
 
+def reachable(edges):
+    out = set()
+    for start in {a for a, _ in edges}:
+        seen, todo = set(), [b for a, b in edges if a == start]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [b for a, b in edges if a == n]
+        out |= {(start, n) for n in seen}
+    return sorted(out)
+
+
+def test_closure_doubles_paths(spark, tmp_path):
+    """Random graphs with cycles against a search, and a long chain in as many rounds as its length has digits."""
+    for seed, nodes, n in ((1, 12, 14), (3, 25, 60)):
+        rng = random.Random(seed)
+        edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)] + [(100 + k, 100 + (k + 1) % 23) for k in range(23)]
+        assert pairs(R.transitive_closure(spark.createDataFrame(edges + edges[:3], "`left` long, `right` long"))) == reachable(edges)
+    chain = spark.range(300).select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
+    closure = R.transitive_closure(chain, max_rounds=9)
+    assert closure.count() == closure.distinct().count() == 300 * 301 // 2
+    with pytest.raises(RuntimeError):
+        R.transitive_closure(chain, max_rounds=5)
+    assert R.transitive_closure(chain.limit(0)).isEmpty()
+
+
 def test_tags_and_stores(spark):
     ops = R.tag(spark.createDataFrame([("song1.mp3", ["music", "jazz"]), ("song2.mp3", ["music"])], "file string, tags array<string>"))
     state = R.fold_ops(ops)

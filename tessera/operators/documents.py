@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tessera.functions.text import snippet
 from tessera.operators.ids import dense_ids
 from tessera.operators.vectors import cosine_topk, cosine_topk_merged, normalize, uniform_dim
 from tessera.session import written
+from tessera.sources.splits import store_of
 
 CHUNK_SIZE, OVERLAP, TOP, SNIPPET = 800, 100, 8, 200
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -223,28 +225,65 @@ def index_report(index: DocumentIndex) -> DataFrame:
     return out.unionByName(validate_full(index.manifest, index.base, index.dim))
 
 
-def hits_with_sources(hits: DataFrame, manifest: DataFrame, snippet_len: int = SNIPPET, docs: DataFrame | None = None) -> DataFrame:
+def read_ranges(root: str, ranges: list[tuple[str, int, int]]) -> list[bytes]:
+    """The bytes of ``(path, offset, size)`` below ``root``, and no others; a file that ends before is an error."""
+    store, base = store_of(root)
+    out = []
+    for path, offset, size in ranges:
+        with store.open_input_file(f"{base}/{path}") as f:
+            f.seek(offset)
+            data = f.read(size)
+        if len(data) < size:
+            raise DocumentIndexError(f"{path} ends before {offset + size} bytes")
+        out.append(data)
+    return out
+
+
+def read_snippets(rows: DataFrame, root: str, snippet_len: int = SNIPPET, into: str = "snippet") -> DataFrame:
+    """``doc_id, score, path, offset, length`` of a few hits with the first ``snippet_len`` bytes of their chunks, read from
+    the files below ``root`` in tasks: ``snippet_len`` bytes a row at most. A hit without a path has none."""
+    columns = ["doc_id", "score", "path", "offset", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.to_pylist()
+            known = [k for k, r in enumerate(own) if r["path"] is not None]
+            got = dict(zip(known, read_ranges(root, [(own[k]["path"], own[k]["offset"], min(own[k]["length"], snippet_len)) for k in known]), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([got.get(k) for k in range(len(own))], pa.binary())], [*columns, "bytes"])
+
+    return rows.select(*columns).mapInArrow(run, "doc_id long, score double, path string, offset long, length long, bytes binary").withColumnRenamed("bytes", into)
+
+
+def hits_with_sources(hits: DataFrame, manifest: DataFrame, snippet_len: int = SNIPPET, docs: DataFrame | None = None, root: str | None = None) -> DataFrame:
     """``(doc_id, score, path, offset, snippet)`` of a few hits; one that the manifest lacks keeps an empty path.
 
-    Snippets come from the manifest's texts, else from ``docs`` at the chunk's offset.
+    Snippets come from the manifest's texts; where it has none, from ``docs`` at the chunk's offset, or from the files
+    below ``root`` by reads of no more than the snippets' bytes. A cut inside a character is replaced.
     """
     # hits are the right side of a search: k rows, so they are broadcast and the manifest isn't moved
     found = F.broadcast(hits).join(manifest, "doc_id", "left") if docs is None else manifest.join(F.broadcast(hits), "doc_id").join(docs.select("path", "content"), "path", "left")
-    if docs is None:
-        text = snippet("text", snippet_len)
-    else:
+    if docs is not None:
         size = F.least(F.col("length"), F.lit(snippet_len)).cast("int")
         text = F.coalesce(snippet("text", snippet_len), F.substring("content", F.col("offset").cast("int") + 1, size).cast("string"))
         found = F.broadcast(hits).join(found.drop("score"), "doc_id", "left")
+    elif root:
+        # a hit's text may be there, or be read; k rows, so they are stored and met twice
+        found = written(found, "hits")
+        read = read_snippets(found.where("text IS NULL"), root, snippet_len).select("doc_id", "score", "path", "offset", F.col("snippet").cast("string").alias("own"))
+        found = found.where("text IS NOT NULL").select("doc_id", "score", "path", "offset", snippet("text", snippet_len).alias("own")).unionByName(read)
+        text = F.col("own")
+    else:
+        text = snippet("text", snippet_len)
     return found.select("doc_id", "score", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce(text, F.lit("")).alias("snippet")).orderBy(F.desc("score"), "doc_id")
 
 
 def search(index: DocumentIndex, query: Sequence[float], k: int = TOP, snippet_len: int = SNIPPET, docs: DataFrame | None = None) -> DataFrame:
+    """Hits with snippets from the manifest's texts, else from ``docs``, else from the files below the index's root."""
     if index.delta is None and index.superseded.isEmpty():
         hits = cosine_topk(index.base, query, k)
     else:
         hits = cosine_topk_merged(index.base, index.delta, index.superseded, query, k)
-    return hits_with_sources(hits, index.manifest, snippet_len, docs)
+    return hits_with_sources(hits, index.manifest, snippet_len, docs, index.root if docs is None else None)
 
 
 def search_text(index: DocumentIndex, spark: SparkSession, text: str, embedder: Embedder, k: int = TOP) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, l2_norm, unit
+from tessera.operators.columns import with_made
 from tessera.session import new_path
 
 #: Dimensions that a payload may have.
@@ -25,27 +26,25 @@ class VectorError(ValueError):
 
 
 def decode_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds ``explicit_id, dim, vector, ok`` from ``u32 dim, f32[dim], optional u64 id``, little-endian.
+    """Adds ``explicit_id, dim, vector, ok`` from ``u32 dim, f32[dim], optional u64 id``, little-endian; they replace
+    columns of these names.
 
     ``ok`` is false, and the others null, where the length or dimension is wrong or the id is 2**63 or more.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, dims, vectors = [], [], []
-            for raw in batch.column(batch.schema.get_field_index(payload)).to_pylist():
-                dim = struct.unpack_from("<I", raw)[0] if raw is not None and len(raw) >= 4 else 0
-                extra = len(raw) - 4 - 4 * dim if dim else -1
-                number = struct.unpack_from("<Q", raw, 4 + 4 * dim)[0] if extra == 8 else None
-                good = MIN_DIM <= dim <= MAX_DIM and extra in (0, 8) and (number is None or number < 1 << 63 or number == (1 << 64) - 1)
-                ids.append(None if not good or number == (1 << 64) - 1 else number)
-                dims.append(dim if good else None)
-                vectors.append(np.frombuffer(raw, "<f4", dim, 4) if good else None)
-            more = [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vectors, pa.list_(pa.float32())), pa.array([d is not None for d in dims], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "explicit_id", "dim", "vector", "ok"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in payloads.schema.fields)
-    return payloads.mapInArrow(run, f"{fields}, explicit_id long, dim int, vector array<float>, ok boolean")
+    def make(column: pa.Array) -> list[pa.Array]:
+        ids, dims, vectors = [], [], []
+        for raw in column.to_pylist():
+            dim = struct.unpack_from("<I", raw)[0] if raw is not None and len(raw) >= 4 else 0
+            extra = len(raw) - 4 - 4 * dim if dim else -1
+            number = struct.unpack_from("<Q", raw, 4 + 4 * dim)[0] if extra == 8 else None
+            good = MIN_DIM <= dim <= MAX_DIM and extra in (0, 8) and (number is None or number < 1 << 63 or number == (1 << 64) - 1)
+            ids.append(None if not good or number == (1 << 64) - 1 else number)
+            dims.append(dim if good else None)
+            vectors.append(np.frombuffer(raw, "<f4", dim, 4) if good else None)
+        return [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vectors, pa.list_(pa.float32())), pa.array([d is not None for d in dims], pa.bool_())]
+
+    return with_made(payloads, [payload], make, {"explicit_id": "long", "dim": "int", "vector": "array<float>", "ok": "boolean"})
 
 
 def resolve_ids(decoded: DataFrame) -> DataFrame:
@@ -207,14 +206,11 @@ def same_hits(a: DataFrame, b: DataFrame, tol: float = 1e-5) -> bool:
 
 
 def encode_payloads(vectors: DataFrame, explicit_id: str | None = "doc_id", vector: str = "vector") -> DataFrame:
-    """Adds ``payload``, the inverse of ``decode_payloads``; a null id is left out of the bytes."""
+    """Adds ``payload``, the inverse of ``decode_payloads``, in the place of a column of that name; a null id is left out of
+    the bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(batch.schema.get_field_index(vector)).to_pylist()
-            ids = [None] * len(values) if explicit_id is None else batch.column(batch.schema.get_field_index(explicit_id)).to_pylist()
-            raw = [None if v is None else struct.pack(f"<I{len(v)}f", len(v), *v) + (b"" if i is None else struct.pack("<Q", i)) for v, i in zip(values, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "payload"])
+    def make(values: pa.Array, ids: pa.Array | None = None) -> list[pa.Array]:
+        own = [None] * len(values) if ids is None else ids.to_pylist()
+        return [pa.array([None if v is None else struct.pack(f"<I{len(v)}f", len(v), *v) + (b"" if i is None else struct.pack("<Q", i)) for v, i in zip(values.to_pylist(), own, strict=True)], pa.binary())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    return vectors.mapInArrow(run, f"{fields}, payload binary")
+    return with_made(vectors, [vector] if explicit_id is None else [vector, explicit_id], make, {"payload": "binary"})

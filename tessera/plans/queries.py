@@ -590,7 +590,27 @@ def fit_formulas_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tune_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.fit_formulas(_points(spark, sf_dir), max_nodes=1, tune=True).select("group", "rpn", F.col("constants").cast("string").alias("constants"), F.round("mse", 6).alias("mse"))
+    return _tuned_columns(E.fit_formulas(_points(spark, sf_dir), max_nodes=1, tune=True))
+
+
+def _tuned_columns(found: DataFrame) -> DataFrame:
+    return found.select("group", "rpn", F.transform("constants", lambda c: F.round(c, 6)).cast("string").alias("constants"), F.round("mse", 6).alias("mse"))
+
+
+#: Between the best errors of the groups.
+GOAL = 0.00238
+
+
+@query
+def tune_formulas_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first formula whose tuned error is within the goal, where there is one."""
+    return _tuned_columns(E.fit_formulas(_points(spark, sf_dir), max_nodes=1, goal_mse=GOAL, tune=True))
+
+
+@query
+def fit_formulas_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first formula, untuned, whose error is within a goal that only some formulas meet."""
+    return E.fit_formulas(_points(spark, sf_dir), max_nodes=1, goal_mse=0.5).select("group", "rpn", F.round("mse", 6).alias("mse"))
 
 
 @query
@@ -782,6 +802,34 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 4))
 
 
+@query
+def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits joined to a manifest of chunks without texts: their first bytes, cut anywhere, are read from the documents'
+    files, and no others are."""
+    root, vectors = new_path(spark, "tree"), _vectors(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("path", "content")
+    S.write_files(docs, root)
+    manifest = D.manifest_from_chunks(D.assign_doc_ids(D.chunk_documents(docs)), embed_text=False)
+    found = F.broadcast(V.cosine_topk(vectors, _query_vector(vectors), 8)).join(manifest, "doc_id")
+    return D.read_snippets(found, root, 61).select("doc_id", "score", "path", "offset", F.hex("snippet").alias("snippet"))
+
+
+@query
+def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a table by the ids of every seventh document: only the row groups that may hold them are read."""
+    path = new_path(spark, "vectors")
+    T.write_vectors(_vectors(spark, sf_dir), path, 1 << 15)
+    wanted = table(spark, sf_dir, "documents").where("doc_id % 7 = 3").select("doc_id")
+    return T.lookup(spark, path, wanted).select("doc_id", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("head"))
+
+
+@query
+def contains_ids_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "vectors")
+    T.write_vectors(_vectors(spark, sf_dir), path, 1 << 15)
+    return T.contains(spark, path, table(spark, sf_dir, "documents").select("doc_id"))
+
+
 @query
 def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a refreshed index after compaction: ids are dense again."""

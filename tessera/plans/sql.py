@@ -225,3 +225,38 @@ ORACLE |= {
     "payload_crc32c": """WITH t AS (SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 2197175160 ELSE 0 END)) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))
  SELECT event_id, xor(list_reduce([4294967295] || list_transform(range(1, strlen(props) + 1), lambda i: ord(props[i])::BIGINT), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc32c FROM events, t""",
 }
+
+
+def _tune_sql(goal: float) -> str:
+    """Coordinate descent on the nine formulas of one operator over distinct points and their counts: 8 passes of 2 places."""
+    leaf = lambda kind, f: f"CASE {kind} WHEN '1' THEN 1.0::DOUBLE WHEN 'x' THEN x ELSE {f} END"
+    gate = lambda v: f"CASE WHEN abs({v}) <= 1e6 THEN {v} END"
+    node = "exp(a) - ln(CASE WHEN b > 0 THEN b END)"
+    sse = f"CASE WHEN bool_or(p IS NULL) THEN 'inf'::DOUBLE ELSE sum(w * (p - y) * (p - y)) END"
+    value = lambda f0, f1: f"(SELECT *, {gate(node)} AS p FROM (SELECT *, {gate(leaf('l', f0))} AS a, {gate(leaf('r', f1))} AS b FROM {{}}))"
+    return f"""WITH RECURSIVE {_POINTS}, w AS MATERIALIZED (SELECT "group", x, y, count(*) AS w FROM points GROUP BY ALL),
+forms AS (SELECT i + 3 * j AS k, ['1', 'x', 'f'][i + 1] AS l, ['1', 'x', 'f'][j + 1] AS r FROM range(3) a(i), range(3) b(j)),
+probes AS (SELECT 0 AS p, 1.0::DOUBLE AS mul, 0.0::DOUBLE AS plus UNION ALL SELECT unnest(range(1, 5)), unnest([0.25::DOUBLE, 0.5, 2, 4]), 0
+ UNION ALL SELECT unnest(range(5, 9)), 1, unnest([0.1::DOUBLE, -0.1, 1, -1]) UNION ALL SELECT unnest(range(9, 15)), 0, unnest([0.5::DOUBLE, 1, 2, 3, 4, 5])),
+s AS (SELECT 0 AS step, g AS "group", k, l, r, 1.0::DOUBLE AS f0, 1.0::DOUBLE AS f1 FROM forms, (SELECT DISTINCT "group" AS g FROM w)
+ UNION ALL SELECT step + 1, "group", k, l, r, CASE WHEN step % 2 = 0 THEN b.v ELSE f0 END, CASE WHEN step % 2 = 1 THEN b.v ELSE f1 END FROM (
+  SELECT step, "group", k, l, r, f0, f1, min(struct_pack(sse := e, p := pr, v := v)) AS b FROM (
+   SELECT step, "group", k, l, r, f0, f1, pr, v, {sse} AS e FROM {value("CASE WHEN step % 2 = 0 THEN v ELSE f0 END", "CASE WHEN step % 2 = 1 THEN v ELSE f1 END").format(
+     '(SELECT s.*, w.x, w.y, w.w, q.p AS pr, CASE WHEN q.p = 0 THEN o ELSE greatest(o * mul + plus, 1e-6) END AS v FROM (SELECT *, CASE WHEN step % 2 = 0 THEN f0 ELSE f1 END AS o FROM s WHERE step < 16) s JOIN w USING ("group"), probes q)')}
+   GROUP BY ALL) GROUP BY ALL)),
+scores AS (SELECT "group", k, l, r, f0, f1, {sse} / sum(w) AS mse FROM {value("f0", "f1").format('(SELECT s.*, w.x, w.y, w.w FROM s JOIN w USING ("group") WHERE step = 16)')} GROUP BY ALL),
+best AS (SELECT "group", min(struct_pack(no := NOT (mse <= {goal}), m := CASE WHEN mse <= {goal} THEN 0 ELSE mse END, k := k)) AS b FROM scores GROUP BY "group")
+SELECT s."group", concat_ws(' ', l, r, 'eml') AS rpn, list_transform(list_filter([CASE WHEN l = 'f' THEN f0 END, CASE WHEN r = 'f' THEN f1 END], lambda c: c IS NOT NULL), lambda c: round(c, 6))::VARCHAR AS constants,
+ round(mse, 6) AS mse FROM scores s JOIN best ON best."group" = s."group" AND s.k = b.k"""
+
+
+ORACLE |= {
+    "tune_formulas": _tune_sql(-1),
+    "contains_ids_of_table": ORACLE["contains_ids"],
+    "vector_lookup": "SELECT vec_id AS doc_id, round((embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))))::FLOAT::DOUBLE, 5) AS head FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 3)",
+    "search_files": f"""WITH {_DOCS}, chunk AS (SELECT row_number() OVER (ORDER BY path, "offset") - 1 AS doc_id, path, "offset", hex(content[("offset" + 1):("offset" + least(length, 61))]) AS snippet FROM ({_chunked("docs")}))
+ SELECT doc_id, score, path, "offset", snippet FROM ({ORACLE["cosine_topk"]}) JOIN chunk USING (doc_id)""",
+    "tune_formulas_goal": _tune_sql(0.00238),
+    "fit_formulas_goal": f"""{_SCORES} SELECT "group", ['1 1 eml', 'x 1 eml', '1 x eml', 'x x eml'][arg_min(formula_id, (NOT mse <= 0.5, CASE WHEN mse <= 0.5 THEN 0 ELSE mse END, formula_id)) + 1] AS rpn,
+ round(arg_min(mse, (NOT mse <= 0.5, CASE WHEN mse <= 0.5 THEN 0 ELSE mse END, formula_id)), 6) AS mse FROM scores GROUP BY "group\"""",
+}

@@ -93,6 +93,14 @@ def test_payloads(spark):
         V.build_vectors(spark.createDataFrame([(0, payload([0.0, 0.0]))], "auto_id long, payload binary")).collect()
 
 
+def test_payloads_beside_columns_of_any_name(spark):
+    odd = {"a`b": 1, "c.d": "x", "explicit_id": 5, "DIM": 6, "ok": None, "payload": b"old"}
+    rows = spark.createDataFrame([(0, [1.0, 2.0], *odd.values()), (None, [3.0], *odd.values())], "doc_id long, vector array<float>, `a``b` long, `c.d` string, explicit_id long, DIM long, ok boolean, payload binary")
+    got = V.decode_payloads(V.encode_payloads(rows))
+    assert sorted(got.columns) == sorted(["doc_id", "a`b", "c.d", "payload", "explicit_id", "dim", "vector", "ok"])
+    assert sorted((tuple(r["vector"]), r["explicit_id"], r["dim"], r["ok"], r["a`b"], r["c.d"]) for r in got.collect()) == [((1.0, 2.0), 0, 2, True, 1, "x"), ((3.0,), None, 1, True, 1, "x")]
+
+
 def test_vector_tables(spark, tmp_path):
     vectors = spark.createDataFrame(ROWS, "doc_id long, vector array<float>")
     T.write_vectors(vectors, str(tmp_path / "v"))
@@ -321,6 +329,47 @@ def test_tuning_equals_descents_of_their_own(spark, monkeypatch):
         assert got[g]["mse"] == pytest.approx(best[0], rel=1e-6) and f.rpn(formulas[best[1]]) == got[g]["rpn"]
 
 
+def test_bounds_stop_sums_and_lose_no_better_probe():
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0.1, 1.2, 5_000)
+    y = np.exp(x) - np.log(2.5) + rng.normal(size=len(x)) * 0.01
+    forms = f.enumerate_formulas(2)
+    free = set().union(*map(E._free, forms))
+    tries, want, whole = [], set(), 0
+    for k, form in enumerate(forms):
+        at = f.constants(form)
+        for p, v in enumerate(E._probes(1.0)):
+            tried = f.with_constants(form, iter([v, *at[1:]])) if at else form
+            e = (E._values(tried, x, {}) - y) ** 2
+            bound = float(e.sum()) if p == 0 and np.isfinite(e).all() else bound if p else float("inf")
+            if p and at:
+                tries.append((k, p, tried, bound))
+                whole += len(x)
+                if np.isfinite(e).all() and e.sum() < bound * (1 - 1e-9):
+                    want.add((k, p))
+    got, computed = E.errors_below(x, y, tries, free)
+    assert want <= {(k, p) for k, p, _ in got} and len(want) > 50
+    for k, p, e in got:
+        tried = next(t for a, b, t, _ in tries if (a, b) == (k, p))
+        assert np.isclose(e, ((E._values(tried, x, {}) - y) ** 2).sum())
+    assert computed < 0.7 * whole
+    assert E.errors_below(x[:0], y[:0], tries[:2], free)[0] == [(*tries[0][:2], 0.0), (*tries[1][:2], 0.0)]
+
+
+def test_groups_that_meet_the_goal_leave(spark, monkeypatch):
+    """One group meets the goal by a formula of one operator, one needs two, one never does."""
+    xs = [0.2, 0.5, 0.9, 1.1]
+    data = {"one": [float(np.exp(x) - np.log(3.0)) for x in xs], "two": [float(np.exp(np.exp(x)) - np.log(2.0)) for x in xs], "none": [1e5, -1e5, 3.0, 7.0]}
+    points = spark.createDataFrame([(g, x, y) for g, ys in data.items() for x, y in zip(xs, ys, strict=True)], "group string, x double, y double")
+    tried = []
+    descended = E._descended
+    monkeypatch.setattr(E, "_descended", lambda parts, groups, forms: tried.append((sorted(r["group"] for r in groups.collect()), len(forms))) or descended(parts, groups, forms))
+    got = {r["group"]: r for r in E.fit_formulas(points, 2, goal_mse=1e-3, tune=True).collect()}
+    assert tried == [(["none", "one", "two"], 9), (["none", "two"], 54)]
+    assert got["one"]["rpn"] == "x f eml" and got["one"]["constants"] == [3.0] and got["two"]["mse"] <= 1e-3 < got["none"]["mse"]
+    assert got["none"]["rpn"] == next(r["rpn"] for r in E.fit_formulas(points.where("group = 'none'"), 2, tune=True).collect())
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(k * 7 % 101,) for k in range(101)], "v int").repartition(4)
     got = dense_ids(df, ["v"], "n", start=10).orderBy("v").collect()

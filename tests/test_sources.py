@@ -3,12 +3,17 @@
 import io
 import random
 import struct
+import threading
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import documents as D
 from tessera.operators import relations as R
 from tessera.operators.topics import TopicError
 from tessera.sources import files as S
+from tessera.sources import tables as T
 from tessera.sources import topics as TS
 from tessera.sources.splits import lines_from, split_lines
 
@@ -161,3 +166,112 @@ def test_a_stream_reads_each_message_once_and_goes_on(spark, tmp_path):
     assert run() == list(range(25))
     (tmp_path / "log" / "topics" / "t" / "global.idx").write_bytes(b"".join(struct.pack("<Q", k // 10 * 10) for k in range(48)))
     assert run() == list(range(48))
+
+
+def test_a_reader_finds_a_version_during_200_commits(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        T.current(spark, path)
+    T.commit(spark, path, "v-000")
+    seen, failed, stop = [], [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(T.current(spark, path))
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 201):
+        T.commit(spark, path, f"v-{k:03}")
+    stop.set()
+    reader.join()
+    assert not failed and seen == sorted(seen) and len(seen) > 20 and T.current(spark, path).endswith("v-200")
+    assert len([p for p in (tmp_path / "t" / "_commits").iterdir() if p.suffix != ".crc" and not p.name.startswith(".")]) == T.KEPT
+
+
+def test_old_versions_stay_until_they_are_dropped(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    rows = spark.createDataFrame([(0, "a", 0, 3, "abc")], "doc_id long, path string, offset long, length long, text string")
+    T.write_manifest(spark, rows, path, 4, "m", 800, 100, "r")
+    old = T.read_manifest(spark, path)
+    T.write_manifest(spark, rows.limit(0).unionByName(rows.withColumn("doc_id", rows["doc_id"] + 7)), path, 4, "m", 800, 100, "r")
+    assert [r["doc_id"] for r in old.collect()] == [0] and [r["doc_id"] for r in T.read_manifest(spark, path).collect()] == [7]
+    T.drop_versions(spark, path)
+    assert [r["doc_id"] for r in T.read_manifest(spark, path).collect()] == [7] and len(list((tmp_path / "m").glob("v-*"))) == 1
+
+
+def test_snippets_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    (tmp_path / "d").mkdir()
+    text = "é" * 5_000
+    (tmp_path / "d" / "a.txt").write_text(text)
+    (tmp_path / "b.txt").write_bytes(b"short")
+    read = []
+    store, base = D.store_of(str(tmp_path))
+
+    class Counting:
+        def open_input_file(self, path):
+            f = store.open_input_file(path)
+
+            class File:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *a):
+                    f.close()
+
+                def seek(self, at):
+                    f.seek(at)
+
+                def read(self, n):
+                    read.append(n)
+                    return f.read(n)
+
+            return File()
+
+    monkeypatch.setattr(D, "store_of", lambda root: (Counting(), base))
+    assert D.read_ranges(str(tmp_path), [("d/a.txt", 1, 4), ("b.txt", 0, 5)]) == [text.encode()[1:5], b"short"] and read == [4, 5]
+    with pytest.raises(D.DocumentIndexError):
+        D.read_ranges(str(tmp_path), [("b.txt", 3, 4)])
+    monkeypatch.undo()
+    hits = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.7), (9, 0.1)], "doc_id long, score double")
+    manifest = spark.createDataFrame([(1, "d/a.txt", 700, 800, None), (2, "b.txt", 1, 4, None), (3, "b.txt", 0, 5, "own text")], "doc_id long, path string, offset long, length long, text string")
+    got = [tuple(r) for r in D.hits_with_sources(hits, manifest, 5, root=str(tmp_path)).collect()]
+    assert got == [(1, 0.9, "d/a.txt", 700, "éé�"), (2, 0.8, "b.txt", 1, "hort"), (3, 0.7, "b.txt", 0, "own t"), (9, 0.1, "", 0, "")]
+    with pytest.raises(Exception, match="ends before"):
+        D.hits_with_sources(hits.where("doc_id = 2"), manifest.withColumn("length", manifest["length"] + 1), 9, root=str(tmp_path)).collect()
+
+
+def test_an_index_without_texts_reads_snippets_below_its_root(spark, tmp_path):
+    (tmp_path / "one.md").write_text("alpha beta " * 100)
+    (tmp_path / "two.md").write_text("gamma delta " * 100)
+    docs = S.scan_documents(spark, str(tmp_path)).select("path", "content")
+    embedder = D.hashing_embedder(16)
+    index = D.build_index(docs, embedder, str(tmp_path))
+    whole = D.search(index, embedder(["gamma"])[0], 3).collect()
+    lite = replace(index, manifest=index.manifest.withColumn("text", F.lit(None).cast("string")))
+    assert [tuple(r) for r in D.search(lite, embedder(["gamma"])[0], 3).collect()] == [tuple(r) for r in whole] and all(len(r["snippet"]) == 200 for r in whole)
+
+
+def test_lookups_open_only_row_groups_that_may_hold_an_id(spark, tmp_path):
+    rng = random.Random(7)
+    ids = rng.sample(range(100_000), 6_000)
+    vectors = spark.createDataFrame([(i, [float(i % 91 + 1), 1.0]) for i in ids], "doc_id long, vector array<float>").repartition(3)
+    path = str(tmp_path / "v")
+    T.write_vectors(vectors, path, 4_096)
+    ranges = spark.read.parquet(f"{path}/_ranges").collect()
+    assert len(ranges) > 10 and sum(r["n"] for r in ranges) == 6_000 and T.read_vectors(spark, path).count() == 6_000
+    some = sorted(ids)[100:160]
+    wanted = spark.createDataFrame([(i,) for i in [*some, *some, -5, 200_000, some[0] + 0, None]], "doc_id long")
+    groups = T.wanted_groups(spark, path, wanted).select("file", "row_group").distinct().collect()
+    assert 1 <= len(groups) <= 3
+    opened = {g["file"] for g in groups}
+    for p in (tmp_path / "v").glob("*.parquet"):
+        if p.name not in opened:
+            p.write_bytes(b"not opened")
+    got = {r["doc_id"]: r["vector"] for r in T.lookup(spark, path, wanted).collect()}
+    assert sorted(got) == some and all(abs(v[0] / v[1] - (i % 91 + 1)) < 1e-3 for i, v in got.items())
+    assert sorted(r["doc_id"] for r in T.contains(spark, path, wanted).collect()) == some
+    assert T.lookup(spark, path, wanted.where("doc_id < 0")).isEmpty()

@@ -1,15 +1,15 @@
 """The corpus pipeline: quality rules, language ID, near-duplicates, secret scan and packing, in this order.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept. All but the last return
-the columns of ``documents``, whatever they are, in their order. ``docs`` must be a stored table: what the stages before
-stored beside their results is removed when a stage begins. Texts may be null, empty or of any length; an empty table
-gives an empty result.
+the columns of ``documents``, whatever they are, in their order. Stages compose: a stage may be given another's result as
+it is, or the same rows twice, and removes nothing that others read. What a stage stores beside its result lies in the
+workspace that is open when it is called, and belongs to the caller; ``run`` opens one for each stage and removes it once
+the result is written. Texts may be null, empty or of any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,40 +22,17 @@ from tessera.llm.queries import vocabulary
 LEAST_LANGUAGE_SCORE = 0.3
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: What stages stored beside their results: application, ``sf_dir``, place of the stage and folder.
-_BESIDE: list[tuple[str, str, int, str]] = []
-
-
-def _stage(place: int) -> Callable[[Stage], Stage]:
-    """Give a stage a folder for what it stores beside its result, and remove those of the stages before it."""
-
-    def wrap(f: Stage) -> Stage:
-        @wraps(f)
-        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            app = spark.sparkContext.applicationId
-            for old in [x for x in _BESIDE if x[:2] == (app, sf_dir) and x[2] < place]:
-                discard(spark, old[3])
-                _BESIDE.remove(old)
-            with workspace(spark, f.__name__) as folder:
-                _BESIDE.append((app, sf_dir, place, folder))
-                return f(spark, docs, sf_dir)
-
-        return run
-
-    return wrap
 
 
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*map(named, like.columns))
 
 
-@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules accept. A null or empty text fails; repeated rows are judged alike and all stay or go."""
-    return _columns(quality.score_quality(docs, carry=docs.columns).where("q_kept"), docs)
+    return _columns(quality.keep_good(docs), docs)
 
 
-@_stage(1)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language; a text that is null or without letters, or has a score under the least one,
     goes. Repeated rows are judged alike; equal scores go to the language that sorts first."""
@@ -63,7 +40,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(found.where((F.col("l_lang_pred") != language.UNKNOWN) & (F.col("l_score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
-@_stage(2)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more; the smallest id stays.
 
@@ -73,7 +49,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _columns(minhash.deduplicate(docs, words_each=5, percent=80), docs)
 
 
-@_stage(3)
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced in the texts, and ``n_chars`` follows where it isn't null; no row goes."""
     clean = secrets.redact(docs)
@@ -82,7 +57,6 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(clean, docs)
 
 
-@_stage(4)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 1024 tokens. A null or empty text is its end id alone; null and repeated ids
     are kept, each row as a document of its own."""
@@ -108,7 +82,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with workspace(spark, name) as beside:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, beside)
         if before is not None:
             discard(spark, before)
         docs, before = spark.read.parquet(path), path

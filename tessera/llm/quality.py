@@ -167,3 +167,21 @@ def score_quality(docs: DataFrame, text: str = "text", carry: list[str] | None =
     failed = (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
     new = {f"q_{f}": F.col(f"__{f}") for f in FEATURES} | {"q_posterior": model.posterior(), "q_base_failed": failed, "q_kept": ~failed & (model.posterior() >= threshold)}
     return from_row(votes, new, docs.columns if carry is None else carry)
+
+
+def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` would keep, all columns as they are.
+
+    Only votes are stored, a few bits a row, for the fit; texts are looked at a second time for the verdict, and no row is
+    stored. A row is kept if its votes are one of the at most ``3 ** len(RULES)`` patterns with a posterior of
+    ``threshold`` or more and the base rules don't fail; so the result can be read while other results are, and by them.
+    Nulls, empty and long texts, repeated rows and empty tables are as there.
+    """
+    names = [f"__v_{r}" for r in RULES]
+    votes = stored(with_votes(with_features(docs, text, [])).select(names), "votes")
+    patterns = votes.distinct().where(fit(votes).posterior() >= threshold).select(*(F.col(c).alias(f"{c}_") for c in names), F.lit(False).alias("__failed_"))
+    failed = F.coalesce((F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words")), F.lit(True))
+    rows = with_votes(with_features(docs, text)).select("__row", *names, failed.alias("__failed"))
+    meets = reduce(lambda a, c: a & (F.col(c) == F.col(f"{c}_")), [*names, "__failed"], F.lit(True))
+    # the broadcast side has a row a pattern
+    return from_row(rows.join(F.broadcast(stored(patterns.coalesce(1), "patterns")), meets, "left_semi"), {}, docs.columns)

@@ -237,8 +237,10 @@ def redact(docs: DataFrame, text: str = "text", fdr: float = 0.1) -> DataFrame:
     A null text stays null and an empty one empty; texts of any length are read whole; repeated rows are all returned,
     alike; columns keep their order, names and, but for ``text``, values; an empty table gives an empty result.
     """
-    packed = docs.select(as_row(docs.columns), F.coalesce(named(text), F.lit("")).alias("text"))
-    found = find_secrets(packed, fdr=fdr)
+    row = as_row(docs.columns)
+    own = F.col("__row").getField(f"_{docs.columns.index(text)}")
+    # the text is stored once, within its row
+    found = find_secrets(docs.select(row).select("__row", F.coalesce(own, F.lit("")).alias("text")), carry=["__row"], fdr=fdr)
     # the spans' union, as (begin, end) in order: a cut begins where a span begins after all ends before it
     start = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
     grow = lambda a, s: F.struct(
@@ -247,9 +249,9 @@ def redact(docs: DataFrame, text: str = "text", fdr: float = 0.1) -> DataFrame:
         .otherwise(F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.struct(F.element_at(a["out"], -1)["begin"].alias("begin"), F.greatest(a["reach"], s["end"]).alias("end"))))).alias("out"),
     )
     cuts = F.when(F.size("s_spans") > 0, F.aggregate("s_spans", start, grow, lambda a: a["out"]))
-    merged = found.select("__row", "text", cuts.alias("s_cuts"))
+    merged = found.select("__row", F.coalesce(own, F.lit("")).alias("text"), cuts.alias("s_cuts"))
     after = lambda i: F.coalesce(F.get("s_cuts", i - 1)["end"], F.lit(0))
     parts = F.transform("s_cuts", lambda s, i: F.concat(F.col("text").substr(after(i) + 1, s["begin"] - after(i)), F.lit(PLACEHOLDER)))
     rest = F.col("text").substr(F.element_at("s_cuts", -1)["end"] + 1, F.length("text"))
-    clean = F.when(F.col("s_cuts").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("__row").getField(f"_{docs.columns.index(text)}"))
+    clean = F.when(F.col("s_cuts").isNotNull(), F.concat(F.array_join(parts, ""), rest)).otherwise(own)
     return from_row(merged, {text: clean}, docs.columns).select(*map(named, docs.columns))

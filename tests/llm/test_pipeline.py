@@ -57,9 +57,27 @@ def test_stages(spark, tmp_path):
         whole[r["doc_id"]] = whole.get(r["doc_id"], 0) + r["length"]
         assert r["doc_tokens"] >= r["start"] + r["length"]
     assert set(whole) == set(clean) and all(whole[r["doc_id"]] == r["doc_tokens"] for r in seen["packing"] if r["doc_id"] != 90)
-    folders = [x[3] for x in corpus_pipeline._BESIDE if x[1] == str(tmp_path)]
-    assert len(folders) == 1 and "pack" in folders[0]  # what earlier stages stored beside their results is gone
-    assert not any("quality_rules" in str(p) for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("*/*"))
+
+
+def test_stages_compose_and_leave_others_results(spark, tmp_path):
+    """A stage given another's unwritten result, and results read after a later stage began on other rows."""
+    rows = corpus(spark, tmp_path)
+    docs, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    good = corpus_pipeline.quality_rules(spark, docs, sf)
+    other = corpus_pipeline.secret_scan(spark, docs.where("doc_id % 2 = 0"), sf)
+    named = corpus_pipeline.language_id(spark, good, sf)
+    apart = corpus_pipeline.near_duplicates(spark, named, sf)
+    packed = corpus_pipeline.pack(spark, corpus_pipeline.secret_scan(spark, apart, sf), sf)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in apart.select("doc_id").collect()} and named.count() < good.count() < len(rows)
+    assert other.where("doc_id = 202").first()["text"].count("[secret]") == 1 and good.count() == len(good.collect())
+
+
+def test_run_removes_what_stages_store(spark, tmp_path):
+    corpus(spark, tmp_path)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*/*"))
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert [p.name.split("-")[:2] for p in set(shared.glob("*/*")) - before] == [["stage", "packing"]]
 
 
 def test_run_equals_stages_and_takes_an_empty_table(spark, tmp_path):

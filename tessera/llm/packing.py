@@ -1,7 +1,7 @@
 """Lexical retrieval packing into windows of a fixed number of tokens.
 
-Documents are sorted by min-hashes of their token ids, over all partitions, and cut into shards of a bounded number of
-rows where they lie, so documents that share many tokens tend to meet in one. Each shard has a BM25 inverted index over
+Documents are sorted by which of their token ids come first in hash orders, over all partitions, and cut into shards of
+a bounded number of tokens and of rows where they lie, so documents that share many tokens tend to meet in one. Each shard has a BM25 inverted index over
 its documents' token ids. A seed document opens a window; its best-scoring unused neighbours fill it; the one that overflows is cut
 there and opens the next window as its seed. So every window but a shard's last is full, and the last one is cut into
 windows whose lengths are powers of two, which need no padding.
@@ -16,6 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ DENSE_ROWS, BLOCK = 4_096, 2_048
 SHARD_BITS, SEQUENCE_BITS = 19, 24
 #: Columns of a piece after its document's id.
 PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-#: Odd factors of the min-hash orders.
+#: Power of a token's number of binary digits by which it comes first more often.
+RARE = 2
+#: Odd factors of the hash orders.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -139,30 +142,36 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int | None = No
     return pieces
 
 
-def min_hashes(ids: np.ndarray) -> bytes:
-    """The least hashes of the token ids, in ``len(FACTORS)`` hash orders; two documents' first ones are equal with a
-    probability of their sets' Jaccard similarity."""
+def min_tokens(ids: np.ndarray) -> bytes:
+    """For each of the ``len(FACTORS)`` hash orders a hash of the token that is first in it; two documents have one in
+    common with a probability of about their sets' similarity. The order favours tokens of high numbers, which a byte-pair
+    vocabulary made late and which are rare; the hash of the token, unlike its place in the order, tells nothing of how
+    many tokens there are."""
     if not len(ids):
         return bytes(4 * len(FACTORS))
     x = (ids.astype(np.uint64) + np.uint64(1)) * FACTORS[:, None]
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(32)).min(axis=1).astype(">u4").tobytes()
+    drawn = ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    first = ids[(-np.log(drawn) / np.log2(ids + 2.0) ** RARE).argmin(axis=1)].astype(np.uint64)
+    y = (first + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return ((y * FACTORS[0]) >> np.uint64(32)).astype(">u4").tobytes()
 
 
 def order_key(ids: bytes, likeness: bytes, doc_id: object, place: int) -> bytes:
-    """Sort key of a row: its min-hashes, content, id, then its place, so that no two rows of a table share one."""
+    """Sort key of a row: its first tokens, content, id, then its place, so that no two rows of a table share one."""
     return likeness + zlib.crc32(ids).to_bytes(4) + hashlib.blake2b(repr(doc_id).encode(), key=hashlib.blake2b(ids, digest_size=16).digest(), digest_size=8).digest() + place.to_bytes(8)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 1_024, end_id: int = 0, shard_rows: int = 512, query_terms: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = 1_024, end_id: int = 0, shard_tokens: int = 400_000, shard_rows: int = 512, query_terms: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Texts of any length are encoded whole.
     Null and repeated ids are kept, each row as a document of its own; ties in score go to the document that comes first
-    by id and content; other columns are left out; an empty table gives no pieces. Shards are runs of ``shard_rows``
-    rows in the order of ``order_key``, so copies are split as well and no shard holds more; a task holds one shard at a
-    time. Neighbours outside the seed's shard are not looked at. A query has all of its document's terms, or the
+    by id and content; other columns are left out; an empty table gives no pieces. Shards are runs of rows
+    in the order of ``order_key``, so copies are split as well: one ends with the row that brings it to ``shard_tokens``
+    tokens, or to ``shard_rows`` rows. A task holds one shard at a time, so at most so many tokens and one document. Neighbours outside the seed's shard are not looked at. A query has all of its document's terms, or the
     ``query_terms`` rarest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -173,7 +182,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = [own.ids(t or "") + end for t in batch.column(1).to_pylist()]
-            keys = [order_key(x, min_hashes(np.frombuffer(x, own.dtype)[:-1]), i, place + k) for k, (x, i) in enumerate(zip(ids, batch.column(0).to_pylist(), strict=True))]
+            keys = [order_key(x, min_tokens(np.frombuffer(x, own.dtype)[:-1]), i, place + k) for k, (x, i) in enumerate(zip(ids, batch.column(0).to_pylist(), strict=True))]
             place += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["id", "ids", "key"])
 
@@ -193,16 +202,18 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << SHARD_BITS
+        width = np.dtype(byte_level_encoder(path).dtype).itemsize
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = tokens = 0
         for batch in batches:
-            while len(batch):
-                some = batch.slice(0, shard_rows - rows)
-                batch, rows = batch.slice(len(some)), rows + len(some)
-                held.append(some)
-                if rows == shard_rows:
-                    yield one(pa.Table.from_batches(held), shard)
-                    shard, held, rows = shard + 1, [], 0
+            sizes, at = (np.asarray(pc.binary_length(batch.column(1))) // width).tolist(), 0
+            for k, size in enumerate(sizes):
+                rows, tokens = rows + 1, tokens + size
+                if rows >= shard_rows or tokens >= shard_tokens:
+                    yield one(pa.Table.from_batches([*held, batch.slice(at, k + 1 - at)]), shard)
+                    shard, held, rows, tokens, at = shard + 1, [], 0, 0, k + 1
+            if at < len(batch):
+                held.append(batch.slice(at))
         if held:
             yield one(pa.Table.from_batches(held), shard)
 

@@ -105,6 +105,26 @@ def test_packing_splits_copies(spark):
     assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in rows)
 
 
+def test_shards_are_bounded_in_tokens_whatever_the_texts(spark):
+    """Long texts don't meet first, and shards of long and of short texts hold alike many tokens."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(2_000)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(3_000 if k % 10 == 0 else rng.randint(5, 200)))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(df, JSON, shard_tokens=40_000).collect()
+    sizes, longest = Counter(), Counter()
+    for r in got:
+        sizes[r["sequence_id"] >> packing.SEQUENCE_BITS] += r["length"]
+        if r["start"] == 0:
+            longest[r["sequence_id"] >> packing.SEQUENCE_BITS] = max(longest[r["sequence_id"] >> packing.SEQUENCE_BITS], r["doc_tokens"])
+    last = {max(s for s in sizes if s >> packing.SHARD_BITS == p) for p in {s >> packing.SHARD_BITS for s in sizes}}  # a cut's rest
+    assert all(40_000 <= n < 40_000 + longest[s] for s, n in sizes.items() if s not in last) and max(sizes.values()) < 60_000 and len(sizes) > 8
+    own = _vocab.byte_level_encoder(JSON)
+    keys = sorted(rows, key=lambda r: packing.min_tokens(np.frombuffer(own.ids(r[1]), own.dtype)))
+    places = [p for p, (k, _) in enumerate(keys) if k % 10 == 0]
+    assert 150 < np.mean(places) < 450
+
+
 def test_packing_of_one_hot_text(spark):
     rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same few words in every row").alias("text"))
     got = packing.pack(rows, JSON)

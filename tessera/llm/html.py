@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured conditional random field over the DOM.
 
-Nodes are block elements. Each has a potential from its own features (tag, words of its class and id, links,
-punctuation, length) and each parent and child share one over their labels. Sum-product messages go up from the leaves
+Nodes are block elements. Each has a potential from its own features (tag, words of its class and id, whole or joined,
+links, punctuation, length, rows of like elements and their speakers, labels of adverts, place by the main heading) and
+each parent and child share one over their labels. Sum-product messages go up from the leaves
 and down from the root and give every node's probability of being content. The weights maximise the likelihood of
 labelled pages; their gradient is observed less expected features, by the same messages.
 """
@@ -43,13 +44,30 @@ FURNITURE = frozenset(
 )
 CONTENT = frozenset("article articlebody body content entry main post story text".split())
 TAGS = ("article", "main", "section", "div", "p", "h", "ul", "li", "nav", "header", "footer", "aside", "form", "table", "blockquote", "pre", "dl", "figure", "body", "other")
-FEATURES = (*(f"tag_{t}" for t in TAGS), "furniture", "content", "under_furniture", "under_content", "links", "link_heavy", "no_text", "short", "medium", "long", "stops", "commas", "first_quarter", "last_quarter", "controls", "one")
+#: Evidence beyond whole class words: words joined from the lists' ones, of the node or one around it; rows of like elements,
+#: and whether these begin with a speaker; a label of adverts at the beginning; links of the elements around; the main heading.
+MORE = ("joined_furniture", "joined_content", "under_joined", "repeated", "speaker", "under_speaker", "advert_label", "copyright_mark", "among_links", "before_heading", "after_heading", "heading_beside")
+FEATURES = (*(f"tag_{t}" for t in TAGS), "furniture", "content", "under_furniture", "under_content", "links", "link_heavy", "no_text", "short", "medium", "long", "stops", "commas", "first_quarter", "last_quarter", "controls", "one", *MORE)
 _INDEX = {f: k for k, f in enumerate(FEATURES)}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
+#: Shortest word of the lists that a joined word is told by.
+_STEM = 4
+#: Labels that adverts bear, in English, French, German and Spanish.
+_ADVERT = re.compile(r"\s*(?:advert(?:isement|isements|s)?|sponsored|promoted|paid (?:content|post|partnership)|anzeige|werbung|gesponsert|publicit[eé]|sponsoris[eé]|publicidad|patrocinado)\b", re.IGNORECASE)
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.IGNORECASE)
+_SPEAKER = re.compile(r"\s*[^\W\d][\w .'@-]{0,29}(?::| (?:says|said|wrote|writes|schrieb|a écrit|dice)\b)")
 _GROUP = {**{t: t for t in TAGS}, **{f"h{k}": "h" for k in range(1, 7)}, "hgroup": "h", "ol": "ul", "menu": "nav", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "tfoot": "table", "figcaption": "figure", "fieldset": "form", "html": "body", "search": "form"}
 
 
+@lru_cache(maxsize=1 << 14)
+def _joined(word: str) -> tuple[bool, bool]:
+    """Whether a word that is in no list begins or ends with a longer one of the furniture's or of the content's list."""
+    if word in FURNITURE or word in CONTENT:
+        return False, False
+    return tuple(any(len(s) >= _STEM and len(word) > len(s) and (word.startswith(s) or word.endswith(s)) for s in known) for known in (FURNITURE, CONTENT))
+
+
 @dataclass
 class Node:
     tag: str
@@ -245,6 +263,27 @@ class Page:
         for k in range(n - 1, 0, -1):  # children come after their parents
             chars[nodes[k].parent] += chars[k]
             links[nodes[k].parent] += links[k]
+        heads = ["".join(parts)[:120] for _, parts in self.runs]
+        begin = [min(v.runs, default=len(heads)) for v in nodes]
+        for k in range(n - 1, 0, -1):
+            begin[nodes[k].parent] = min(begin[nodes[k].parent], begin[k])
+        first = [*heads, ""]
+        first = [first[b] for b in begin]
+        outside = [False] * n  # in a header, menu or the like, by tag or class word
+        for k, v in enumerate(nodes):
+            outside[k] = v.tag in ("header", "nav", "footer", "aside", "form") or bool(v.hints & FURNITURE) or v.parent >= 0 and outside[v.parent]
+        heading = next((k for tag in ("h1", "h2") for k, v in enumerate(nodes) if v.tag == tag and not outside[k]), -1)
+        joined = [tuple(any(w) for w in zip(*map(_joined, v.hints), strict=True)) or (False, False) for v in nodes]
+        rows, speakers, under_j, under_s = [False] * n, [False] * n, [False] * n, [False] * n
+        for v in nodes:
+            kin: dict[tuple, list[int]] = {}
+            for c in v.children:
+                if nodes[c].tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "br"):
+                    kin.setdefault((nodes[c].tag, nodes[c].hints), []).append(c)
+            for like in kin.values():
+                said = sum(bool(_SPEAKER.match(first[c])) for c in like)
+                for c in like:
+                    rows[c], speakers[c] = len(like) >= 3, 2 * said > len(like)
         for k, v in enumerate(nodes):
             on = [f"tag_{_GROUP.get(v.tag, 'other')}", "one"]
             f, c = bool(v.hints & FURNITURE), bool(v.hints & CONTENT)
@@ -252,7 +291,14 @@ class Page:
                 p = nodes[v.parent]
                 under_f[k] = under_f[v.parent] or bool(p.hints & FURNITURE) or p.tag in ("nav", "footer", "aside", "form")
                 under_c[k] = under_c[v.parent] or bool(p.hints & CONTENT) or p.tag in ("article", "main")
+                under_j[k] = under_j[v.parent] or joined[v.parent][0]
+                under_s[k] = under_s[v.parent] or speakers[v.parent]
+                around = chars[v.parent] - chars[k]
+                on += ["among_links"] * (around > 0 and (links[v.parent] - links[k]) > 0.6 * around) + ["heading_beside"] * (heading >= 0 and nodes[heading].parent == v.parent and not f and not joined[k][0])
             on += ["furniture"] * f + ["content"] * (c and not f) + ["under_furniture"] * under_f[k] + ["under_content"] * under_c[k] + ["controls"] * (v.controls > 0)
+            on += ["joined_furniture"] * joined[k][0] + ["joined_content"] * (joined[k][1] and not joined[k][0]) + ["under_joined"] * under_j[k]
+            on += ["repeated"] * rows[k] + ["speaker"] * speakers[k] + ["under_speaker"] * under_s[k] + ["advert_label"] * bool(_ADVERT.match(first[k])) + ["copyright_mark"] * bool(_RIGHTS.match(first[k]))
+            on += ["before_heading"] * (0 <= k < heading) + ["after_heading"] * (0 <= heading < k)
             share = links[k] / chars[k] if chars[k] else 0.0
             on += ["link_heavy"] * (share > 0.6) + ["no_text"] * (v.chars == 0) + ["short"] * (0 < v.chars < 40) + ["medium"] * (40 <= v.chars < 200) + ["long"] * (v.chars >= 200)
             on += ["first_quarter"] * (4 * k < n) + ["last_quarter"] * (4 * k >= 3 * n)
@@ -308,8 +354,8 @@ def marginals(nodes: list[Node], unary: list[float], pair: list[list[float]]) ->
     return prob, expected, total
 
 
-#: Least probability of a content block. On 400 generated pages of another seed than the model's, F1 is best here: 0.984,
-#: with precision and recall alike; it is 0.979 at 0.3, 0.984 at 0.5 and 0.980 at 0.6.
+#: Least probability of a content block. On 400 generated pages of another seed than the model's, F1 is 0.986 here, 0.983
+#: at 0.3, 0.990 at 0.5 and 0.987 at 0.6; on 25 pages written by hand it is best here.
 LEAST = 0.4
 
 
@@ -330,7 +376,7 @@ class ContentModel:
         return "\n".join(b for b in blocks if b)
 
 
-def fit(pages: list[tuple[str, str]], steps: int = 150, rate: float = 0.5, penalty: float = 0.002) -> ContentModel:
+def fit(pages: list[tuple[str, str]], steps: int = 250, rate: float = 0.5, penalty: float = 0.0005) -> ContentModel:
     """Weights from ``(html, mark)`` pages; a node is content if an attribute ``data-label`` of ``mark`` encloses it.
 
     Gradient ascent on the likelihood with per-weight step sizes and a quadratic penalty.
@@ -388,29 +434,53 @@ def training_pages(n: int = 200, seed: int = 7) -> list[tuple[str, str]]:
     listed = lambda a, b: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(a, b))) + "</ul>"
     some = lambda *x: rng.choice(x)
 
+    unlisted = lambda: word() + some("", "-" + word(), "_box", "-col")  # noqa: E731  tells nothing
+    person = lambda: word().capitalize() + some("", " " + word().capitalize())
+    labelled = lambda: some("Advertisement", "Sponsored", "Sponsored links", "Anzeige", "Publicité", "Publicidad") + some(": ", " ", "<br>") + some(prose(1, 2), link() + " " + link())
+
+    def replies() -> str:
+        return f'<{(t := some("section", "div"))} {some("id", "class")}="{some("comments", "replies", "discussion comments", "user-comments", "commentarea")}"><h3>{words(1, 2)}</h3>' + "".join(f'<div{some("", " class=comment", " class=reply")}><p>{prose(1, 4)}</p></div>' for _ in range(rng.randint(1, 4))) + f"</{t}>"
+
+    def talk() -> str:
+        """A list of remarks with their speakers, under joined or unlisted class words."""
+        own = some("commentlist", "commentslist", "replylist", "comment-thread", unlisted())
+        say = lambda: some(f"{person()}: {prose(1, 2)}", f"<b>{person()}</b>: {prose(1, 2)}", f"<p>{person()} says</p><p>{prose(1, 2)}</p>", f"<b>{person()}</b> wrote: {prose(1, 3)}")
+        outer, inner = some(("ol", "li"), ("ul", "li"), ("div", "div"))
+        like = some("", f" class={unlisted()}")
+        all_ = f'<{outer} class="{own}">' + "".join(f"<{inner}{like}>{say()}</{inner}>" for _ in range(rng.randint(1, 6))) + f"</{outer}>"
+        return some(all_, f"<div><h3>{words(1, 3)}</h3>{all_}</div>")
+
+    def laid_in_table(body: str, side: str, top: str) -> str:
+        """A page of the kind that lays its columns out in a table."""
+        cells = [f'<td data-label="no"{some("", " width=20%", " valign=top")}>{side}</td>', f"<td{some('', ' width=60%')}>{body}</td>", f'<td data-label="no">{some(labelled(), listed(2, 5), prose(1, 2))}</td>']
+        rng.shuffle(cells)
+        return f'<table{some("", " width=100%", " border=0")}><tr><td data-label="no" colspan=3>{top}</td></tr><tr>{"".join(cells)}</tr></table>'
+
     def furniture() -> dict[str, str]:
         return {
-            "nav": some(f"<nav>{listed(3, 8)}</nav>", f'<div class="{some("menu", "navbar", "nav-main", "breadcrumbs")}">{some(listed(3, 8), link() + " " + link() + " " + link())}</div>'),
+            "nav": some(f"<nav>{listed(3, 8)}</nav>", f'<div class="{some("menu", "navbar", "nav-main", "breadcrumbs")}">{some(listed(3, 8), link() + " " + link() + " " + link())}</div>', f'<{(t := some("center", "div", "p"))}>{some(" | ", " ", " &middot; ").join(link() for _ in range(rng.randint(2, 5)))}</{t}>'),
             "header": some(f"<header><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>", f"<header>{link()}<p>{sentence()}</p></header>", f'<div id="{some("header", "masthead", "banner")}"><h2>{words(1, 3)}</h2></div>'),
-            "footer": some(f"<footer>&copy; {words(1, 4)} &middot; {sentence()}</footer>", f"<footer><p>{sentence()}</p>{listed(2, 4)}</footer>", f'<div class="{some("footer", "site-footer", "copyright")}"><p>{prose(1, 2)}</p></div>'),
-            "aside": some(f"<aside><h3>{words(1, 3)}</h3>{listed(2, 6)}</aside>", f"<aside><p>{prose(1, 3)}</p></aside>", f'<div class="{some("sidebar", "related", "widget", "right-sidebar")}"><h3>{words(1, 3)}</h3>{some(listed(2, 5), f"<p>{prose(1, 3)}</p>")}</div>'),
-            "ad": f'<{(t := some("div", "section"))} class="{some("ad", "ads", "advert", "sponsored", "promo", "ad-slot", "banner-ad")}">{some(prose(1, 2), f"<p>{prose(1, 3)}</p>")}</{t}>',
-            "notice": f'<div class="{some("cookie-notice", "consent", "notice", "alert", "gdpr-banner", "newsletter")}">{some(f"<p>{prose(1, 2)}</p>", prose(1, 2))}{some("<button>" + word() + "</button>", "")}</div>',
+            "footer": some(f"<footer>&copy; {words(1, 4)} &middot; {sentence()}</footer>", f"<footer><p>{sentence()}</p>{listed(2, 4)}</footer>", f"<center>{some('&copy; ', 'Copyright ')}{words(1, 4)}</center>", f"<p>{some('&copy; ', 'Copyright ')}{words(1, 5)}.</p>", f'<div class="{some("footer", "site-footer", "copyright", unlisted())}"><p>{some("&copy; ", "", "")}{prose(1, 2)}</p></div>'),
+            "aside": some(f"<aside><h3>{words(1, 3)}</h3>{listed(2, 6)}</aside>", f"<aside><p>{prose(1, 3)}</p></aside>", f'<div class="{some("sidebar", "related", "widget", "right-sidebar", "sidebarright", "relatedposts", unlisted())}"><h3>{words(1, 3)}</h3>{some(listed(2, 5), f"<p>{prose(1, 3)}</p>")}</div>'),
+            "ad": some(f'<{(t := some("div", "section"))} class="{some("ad", "ads", "advert", "sponsored", "promo", "ad-slot", "banner-ad", "advertbox")}">{some(prose(1, 2), f"<p>{prose(1, 3)}</p>", labelled())}</{t}>', f'<{(t := some("div", "section"))} class="{unlisted()}">{some(labelled(), f"<p>{labelled()}</p>")}</{t}>'),
+            "notice": f'<div class="{some("cookie-notice", "consent", "notice", "alert", "gdpr-banner", "newsletter", "cookiebar", "newsletterbox")}">{some(f"<p>{prose(1, 2)}</p>", prose(1, 2))}{some("<button>" + word() + "</button>", "")}</div>',
             "form": f'<form{some("", " class=search", " id=login-form")}><label>{words(1, 2)}</label><p>{words(1, 6)}</p><input name=q><button>{word()}</button></form>',
-            "comments": f'<{(t := some("section", "div"))} {some("id", "class")}="{some("comments", "replies", "discussion comments", "user-comments")}"><h3>{words(1, 2)}</h3>' + "".join(f'<div{some("", " class=comment", " class=reply")}><p>{prose(1, 4)}</p></div>' for _ in range(rng.randint(1, 4))) + f"</{t}>",
+            "comments": some(replies(), replies(), talk()),
         }
 
     pages = []
     for _ in range(n):
         f = furniture()
-        end = some("</p>", "</p>", "")
+        end, par = some(("</p>", "p"), ("</p>", "p"), ("", "p"), ("</div>", "div")) if rng.random() < 0.6 else ("</p>", "p")
         parts = [f"<h1>{words(2, 8)}</h1>" if rng.random() < 0.85 else f"<h2>{words(2, 8)}</h2>"]
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if kind < 0.75:
                 text = prose(1, 6) if rng.random() < 0.7 else some(words(1, 4) + some(".", ""), " | ".join(words(1, 2) for _ in range(rng.randint(2, 20))), "!! ".join(word().upper() for _ in range(rng.randint(2, 20))))
-                parts.append(f"<p>{some(text, '<b>' + text, text + ' ' + link() + ' ' + sentence(), text + '<br>')}{end}")
-            elif kind < 0.82:
+                parts.append(f"<{par}>{some(text, '<b>' + text, text + ' ' + link() + ' ' + sentence(), text + '<br>')}{end}")
+            elif kind < 0.78:
+                parts.append("<ul>" + "".join(f"<li>{word().capitalize()}: {sentence()}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            elif kind < 0.83:
                 parts.append("<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
             elif kind < 0.88:
                 parts.append(f"<h2>{words(1, 6)}</h2>")
@@ -421,14 +491,16 @@ def training_pages(n: int = 200, seed: int = 7) -> list[tuple[str, str]]:
             else:
                 parts.append(f"<pre>{words(3, 10)}</pre>")
         for name in ("ad", "comments", "aside", "form", "notice"):
-            if rng.random() < 0.15:
+            if rng.random() < 0.25:
                 parts.insert(rng.randint(1, len(parts)), f'<div data-label="no">{f[name]}</div>' if rng.random() < 0.3 else re.sub(r"^<(\w+)", r'<\1 data-label="no"', furniture()[name]))
         open_, close = some(
-            ("<article", "</article>"), ("<article", "</article>"), ("<main", "</main>"), (f'<div class="{some("content", "post", "entry-content", "article-body", "story", "main-text")}"', "</div>"), (f'<section id="{some("content", "main", "post")}"', "</section>"), ("<div", "</div>")
+            ("<article", "</article>"), ("<article", "</article>"), ("<main", "</main>"), (f'<div class="{some("content", "post", "entry-content", "article-body", "story", "main-text")}"', "</div>"), (f'<section id="{some("content", "main", "post")}"', "</section>"), ("<div", "</div>"), (f'<div class="{some("articletext", "postcontent", "maincontent", unlisted())}"', "</div>")
         )
         body = f'{open_} data-label="content">{"".join(parts)}{close}'
         if rng.random() < 0.2:
-            body = f"<div{some('', ' class=container', ' id=page')}>{body}</div>"
+            body = f"<div{some('', ' class=container', ' id=page', f' id={unlisted()}')}>{body}</div>"
+        if rng.random() < 0.12:
+            body = laid_in_table(body, f["nav"], f["header"])
         before = [f[k] for k in ("nav", "header", "notice", "ad", "form") if rng.random() < (0.75 if k == "nav" else 0.4)]
         after = [f[k] for k in ("aside", "comments", "ad", "footer") if rng.random() < (0.8 if k == "footer" else 0.4)]
         rng.shuffle(before)

@@ -15,16 +15,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import discard, map_batches, stored, workspace
+from tessera.llm._shared import discard, map_batches, new_path, stored, workspace
 from tessera.llm._shared import named as column
 from tessera.llm.graph import components
 
 #: Vectors in a block, most in a leaf, and those at which a leaf is split no more; principal axes, and those of the grid; most groups of blocks.
 BLOCK, LEAF, LEAST, AXES, GRID, GROUPS = 4_096, 256, 32, 24, 8, 128
+#: Most dimensions whose whole covariance is summed.
+WHOLE = 256
 #: Allowances for single-precision outlooks: in their products and in squared distances of boxes.
 _IN_PRODUCT, _IN_SQUARE = 1e-5, 1e-4
 
@@ -37,29 +40,42 @@ def _outlooks(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, AXES + 1)
 
 
-def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """The ``AXES`` leading principal axes (columns) of all unit vectors ``payload`` of dimension ``dim``.
-
-    Every task sums its vectors' products; the sums of ``dim * dim`` entries are added up by Spark.
-    """
+def _moments(classes: DataFrame, dim: int, basis: np.ndarray) -> np.ndarray:
+    """``C @ basis`` of the covariance ``C`` of all unit vectors ``payload`` of dimension ``dim``. Every task sums its
+    vectors' products; the sums, as many as the basis has entries, are added up by Spark."""
+    width = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, mean = np.zeros((dim, dim)), 0, np.zeros(dim)
+        total, n, mean = np.zeros((dim, width)), 0, np.zeros(dim)
         for batch in batches:
             x = _matrix(batch.column(0), dim)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            total, n, mean = total + x.T @ x, n + len(x), mean + x.sum(axis=0)
+            total, n, mean = total + x.T @ (x @ basis), n + len(x), mean + x.sum(axis=0)
         if n:
             values = np.concatenate([total.ravel(), mean, [n]])
             yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(values)), pa.int64()), "x": pa.array(values)})
 
-    rows = classes.where(F.col("dim") == dim).select("payload").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    sums = np.zeros(dim * dim + dim + 1)
-    for r in rows:
+    sums = np.zeros(dim * width + dim + 1)
+    for r in classes.where(F.col("dim") == dim).select("payload").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         sums[r["k"]] = r["x"]
-    n, mean = max(sums[-1], 1), sums[dim * dim : -1] / max(sums[-1], 1)
-    _, vectors = np.linalg.eigh(sums[: dim * dim].reshape(dim, dim) / n - np.outer(mean, mean))
-    return vectors[:, ::-1][:, :AXES]
+    n, mean = max(sums[-1], 1), sums[dim * width : -1] / max(sums[-1], 1)
+    return sums[: dim * width].reshape(dim, width) / n - np.outer(mean, mean @ basis)
+
+
+def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
+    """The ``AXES`` leading principal axes (columns) of all unit vectors ``payload`` of dimension ``dim``.
+
+    Up to ``WHOLE`` dimensions from the covariance itself. Beyond, it is multiplied by a random basis of a few more columns
+    than axes, and then looked at within the span of the product: two scans, and sums that grow with the dimension, not
+    with its square. Any orthonormal axes are right; near the principal ones they tell more apart.
+    """
+    if dim <= WHOLE:
+        inner, span = _moments(classes, dim, np.eye(dim)), np.eye(dim)
+    else:
+        span, _ = np.linalg.qr(_moments(classes, dim, np.random.default_rng(dim).normal(size=(dim, AXES + 8))))
+        inner = span.T @ _moments(classes, dim, span)
+    _, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    return (span @ vectors)[:, ::-1][:, :AXES]
 
 
 def outlook(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -257,13 +273,33 @@ def leaves_of(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
 _LEAF_SCHEMA = pa.schema([("block", pa.int64()), *((c, pa.int32()) for c in ("leaf", "part", "dim", "size")), *((c, pa.binary()) for c in ("lo", "hi", "reps", "copies", "near", "data"))])
 
 
+def _near_pairs(left: pa.Table, right: pa.Table, own: bool, eps2: float) -> Iterator[pa.RecordBatch]:
+    """``(l, r, block, leaf)`` of two shares' blocks: blocks whose boxes come within ``eps`` are looked into, leaf by leaf."""
+    box = lambda t, name: np.array(t.column(name).to_pylist(), np.float32).reshape(-1, AXES + 1)
+    lo, hi, dims, blocks = box(left, "least"), box(left, "most"), np.asarray(left.column("dim")), left.column("block").to_pylist()
+    lo2, hi2, dims2, blocks2 = box(right, "least"), box(right, "most"), np.asarray(right.column("dim")), right.column("block").to_pylist()
+    leaves = lambda t, k: tuple(np.frombuffer(t.column(name)[k].as_py(), np.float32).reshape(-1, AXES + 1) for name in ("lo", "hi"))
+    for i, l in enumerate(blocks):
+        close = (_apart(lo[i], hi[i], lo2, hi2) <= eps2) & (dims2 == dims[i])
+        for j in np.flatnonzero(close).tolist():
+            r = blocks2[j]
+            if own and r < l:
+                continue
+            (a, b), (c, d) = leaves(left, i), leaves(right, j)
+            near = np.stack([_apart(x, y, c, d) <= eps2 for x, y in zip(a, b, strict=True)])
+            found = [(l, k) for k in np.flatnonzero(near.any(axis=1)).tolist()] + [(r, k) for k in np.flatnonzero(near.any(axis=0)).tolist() if l != r]
+            if found:
+                yield pa.RecordBatch.from_pydict({"l": pa.array([l] * len(found), pa.int64()), "r": pa.array([r] * len(found), pa.int64()), "block": pa.array([b for b, _ in found], pa.int64()), "leaf": pa.array([k for _, k in found], pa.int32())})
+
+
 def near_leaves(leaves: DataFrame, eps: float) -> DataFrame:
     """``(l, r, block, leaf)``: for pairs of blocks the leaves of either that come within ``eps`` of one of the other.
 
-    Blocks meet by pairs of the at most ``GROUPS`` shares of the sequence whose boxes come within ``eps``; only these
-    shares' boxes go through the driver.
+    A tree of boxes is gone down: shares of the sequence, blocks, leaves. Boxes of shares, ``GROUPS`` at most, meet in the
+    driver; a task takes pairs of shares within ``eps``, reads either's boxes from the shared folder, 200 bytes a leaf,
+    and looks into those blocks alone that come within ``eps``. So no pair of blocks is a row unless it is near.
     """
-    eps2 = eps * eps + _IN_SQUARE
+    eps2, spark = eps * eps + _IN_SQUARE, leaves.sparkSession
 
     def boxes(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
@@ -273,27 +309,24 @@ def near_leaves(leaves: DataFrame, eps: float) -> DataFrame:
             "least": pa.array([lo.min(axis=0).tolist()], pa.list_(pa.float32())), "most": pa.array([hi.max(axis=0).tolist()], pa.list_(pa.float32())),
         })
 
-    blocks = stored(leaves.select("block", "leaf", "part", "dim", "lo", "hi").groupBy("block").applyInArrow(boxes, "block long, part int, dim int, lo binary, hi binary, least array<float>, most array<float>"), "boxes")
+    path = new_path(spark, "boxes")
+    made = leaves.select("block", "leaf", "part", "dim", "lo", "hi").groupBy("block").applyInArrow(boxes, "block long, part int, dim int, lo binary, hi binary, least array<float>, most array<float>")
+    made.repartition("part").write.partitionBy("part").parquet(path)  # a folder a share
+    blocks = spark.read.parquet(path)
     each = lambda f, name: F.array(*(f(F.get(name, F.lit(k))) for k in range(AXES + 1))).alias(name)
     parts = sorted(tuple(r) for r in blocks.groupBy("part").agg(each(F.min, "least"), each(F.max, "most")).collect())
     lo, hi = np.array([p[1] for p in parts]).reshape(-1, AXES + 1), np.array([p[2] for p in parts]).reshape(-1, AXES + 1)
     close = np.argwhere(np.triu(_apart(lo[:, None], hi[:, None], lo, hi) <= eps2)) if parts else []
-    pairs = F.broadcast(leaves.sparkSession.createDataFrame([(parts[i][0], parts[j][0]) for i, j in close], "g int, h int"))
-    side = lambda at, name: blocks.join(pairs, F.col("part") == F.col(at)).select("g", "h", "dim", F.col("block").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
-    both = side("g", "l").join(side("h", "r"), ["g", "h", "dim"]).where("l <= r").select("l", "r", "l_lo", "l_hi", "r_lo", "r_hi")
+    pairs = spark.createDataFrame([(parts[i][0], parts[j][0]) for i, j in close], "g int, h int").repartition(max(1, len(close)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = fs.FileSystem.from_uri(path)
+        share = lambda g: dataset.dataset(f"{place}/part={g}", filesystem=store, format="parquet").to_table(columns=["block", "dim", "lo", "hi", "least", "most"])
         for batch in batches:
-            for l, r, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lo, hi, lo2, hi2 = (np.frombuffer(x, np.float32).reshape(-1, AXES + 1) for x in raw)
-                if _apart(lo.min(axis=0), hi.max(axis=0), lo2.min(axis=0), hi2.max(axis=0)) > eps2:
-                    continue
-                near = np.stack([_apart(a, b, lo2, hi2) <= eps2 for a, b in zip(lo, hi, strict=True)])
-                found = [(l, k) for k in np.flatnonzero(near.any(axis=1)).tolist()] + [(r, k) for k in np.flatnonzero(near.any(axis=0)).tolist() if l != r]
-                if found:
-                    yield pa.RecordBatch.from_pydict({"l": pa.array([l] * len(found), pa.int64()), "r": pa.array([r] * len(found), pa.int64()), "block": pa.array([b for b, _ in found], pa.int64()), "leaf": pa.array([k for _, k in found], pa.int32())})
-
-    return both.mapInArrow(run, "l long, r long, block long, leaf int")
+            for g, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _near_pairs(left := share(g), left if g == h else share(h), g == h, eps2)
+
+    return pairs.mapInArrow(run, "l long, r long, block long, leaf int")
 
 
 def _by_side(group: pa.Table) -> tuple[list[pa.Table], bool]:

@@ -165,6 +165,20 @@ def test_grid_order_skips_distant_leaves(spark):
     assert {tuple(r) for r in embeddings.near_leaves(leaves, eps).collect()} == want
 
 
+def test_axes_of_many_dimensions(spark, monkeypatch):
+    """Within a random span the axes are orthonormal and hold nearly the variance of the principal ones."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(800, 20)) @ rng.normal(size=(20, 300)) + 0.1 * rng.normal(size=(800, 300)) + 1.0
+    rows = spark.createDataFrame([(k, 1, v.tobytes(), 300) for k, v in enumerate(x)], "rep long, n long, payload binary, dim int").repartition(3)
+    axes = embeddings.principal_axes(rows, 300)
+    monkeypatch.setattr(embeddings, "WHOLE", 300)
+    whole = embeddings.principal_axes(rows, 300)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cov = np.cov(unit.T, bias=True)
+    held = [np.trace(a.T @ cov @ a) for a in (axes, whole)]
+    assert axes.shape == whole.shape == (300, embeddings.AXES) and np.allclose(axes.T @ axes, np.eye(embeddings.AXES), atol=1e-9) and held[0] > 0.99 * held[1] > 0
+
+
 def test_outlooks_bound_cosines():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 40))

@@ -167,7 +167,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
         count = 0
         with store.open_output_stream(f"{name}.open", compression=None) as out:
             for batch in batches:
-                for r in batch.to_pylist():
+                for k in range(len(batch)):  # one payload at a time
+                    r = {c: batch.column(c)[k].as_py() for c in ("page_id", "url", "payload", "first_id")}
                     again = r["first_id"] is not None and r["first_id"] != r["page_id"]
                     payload, head = r["payload"], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                     fields = {

@@ -116,7 +116,7 @@ def state_from_chunks(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, embedder: Embedder, root: str = "", model: str = "", chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DocumentIndex:
-    chunks = written(assign_doc_ids(chunk_documents(docs, chunk_size, overlap)), "chunks")
+    chunks = assign_doc_ids(chunk_documents(docs, chunk_size, overlap))  # stored by then
     if chunks.isEmpty():
         raise DocumentIndexError("no chunks")
     vectors = written(normalize(embed(chunks.select("doc_id", "text"), "text", embedder).select("doc_id", "vector")), "vectors")
@@ -169,7 +169,7 @@ def apply_refresh(index: DocumentIndex, docs: DataFrame, embedder: Embedder, roo
     work = docs.join(plan.where("action != 'deleted'"), "path")
     actions = plan.select("path", (F.col("action") == "added").cast("int").alias("added"))
     chunks = chunk_documents(work, index.chunk_size, index.overlap).join(actions, "path")
-    chunks = written(assign_doc_ids(chunks, index.next_doc_id, ("added", "path", "offset")).drop("added"), "chunks")
+    chunks = assign_doc_ids(chunks, index.next_doc_id, ("added", "path", "offset")).drop("added")  # stored by then
     n = chunks.count()
     delta = index.delta
     if n:

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,13 @@ from tessera.sources.splits import MOST_TASKS, SPLIT, split_lines, store_of
 EXTENSIONS = (".md", ".txt", ".jsonl", ".py", ".go", ".rs", ".js", ".ts", ".cpp", ".hpp", ".c", ".h", ".zig", ".asm", ".sh")
 SKIPPED = ("node_modules", "__pycache__")
 MAX_DOCUMENT = 16 << 20
+#: Files, or bytes of files, that a task reads or lists one after another; entries of an index that a task reads.
+FILES_EACH, BYTES_EACH, ENTRIES_EACH = 64, 64 << 20, 1 << 20
+
+
+def _tasks(files: int, size: int = 0) -> int:
+    """Tasks for so many files of so many bytes together."""
+    return max(1, min(max(-(-files // FILES_EACH), -(-size // BYTES_EACH)), files, MOST_TASKS))
 
 
 def list_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
@@ -61,13 +69,15 @@ def list_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> Dat
         listed = written(level.mapInArrow(walk, schema), "listing")
         found = listed if found is None else found.unionByName(listed)
         folders = listed.where("is_dir").select("path")
-        if folders.isEmpty():
+        n = folders.count()
+        if not n:
             return found
-        level = folders.repartition("path")
+        level = folders.repartition(_tasks(n))  # by number: the rows are small, and each is a call to the store
 
 
 def read_contents(listing: DataFrame, root: str) -> DataFrame:
-    """``(path, content, length)`` of the listed files, read in tasks."""
+    """``(path, content, length)`` of the files listed as ``(path, length)``, read in tasks that get a bounded share each."""
+    all_ = listing.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = store_of(root)
@@ -77,7 +87,7 @@ def read_contents(listing: DataFrame, root: str) -> DataFrame:
                     data = f.read()
                 yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([data], pa.binary()), "length": pa.array([len(data)], pa.int64())})
 
-    return listing.select("path").mapInArrow(run, "path string, content binary, length long")
+    return listing.select("path").repartition(_tasks(all_["n"], all_["size"])).mapInArrow(run, "path string, content binary, length long")
 
 
 def write_files(files: DataFrame, root: str) -> None:
@@ -108,7 +118,7 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     # what a name has from its last dot on, unless that dot begins it
     files = files.where(F.regexp_extract("path", r"[^/](\.[^./]*)$", 1).isin(*EXTENSIONS))
     checked = F.when(F.col("length") > MAX_DOCUMENT, F.raise_error(F.concat(F.lit("document too large: "), F.col("path")))).otherwise(F.col("path"))
-    return read_contents(files.select(checked.alias("path")), root)
+    return read_contents(files.select(checked.alias("path"), "length"), root)
 
 
 def _files_at(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -190,17 +200,22 @@ def scan_topic(spark: SparkSession, root: str, topic: str, on_error: str = "fail
 
 
 def scan_global_index(spark: SparkSession, root: str, topic: str) -> DataFrame:
-    """``(topic, offset, segment_base)``: the entries of ``global.idx``, one little-endian u64 a message."""
-    base = f"{root}/topics/{topic}"
+    """``(topic, offset, segment_base)``: the entries of ``global.idx``, one little-endian u64 a message, read over ranges."""
+    store, place = store_of(f"{root}/topics/{topic}/global.idx")
+    info = store.get_file_info(place)
+    n = info.size // 8 if info.type == fs.FileType.File else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, path = store_of(f"{root}/topics/{topic}/global.idx")
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                bases = [x[0] for x in struct.iter_unpack("<Q", data[: len(data) // 8 * 8])]
-                yield pa.RecordBatch.from_pydict({"offset": pa.array(range(len(bases)), pa.int64()), "segment_base": pa.array(bases, pa.int64())})
-
-    listed = list_files(spark, base).where("path = 'global.idx'")
-    return read_contents(listed, base).select("content").mapInArrow(run, "offset long, segment_base long").withColumn("topic", F.lit(topic)).select("topic", "offset", "segment_base")
+            for first in batch.column(0).to_pylist():
+                with own.open_input_file(path) as f:
+                    f.seek(8 * first)
+                    bases = np.frombuffer(f.read(8 * min(ENTRIES_EACH, n - first)), "<u8").astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"offset": pa.array(np.arange(first, first + len(bases))), "segment_base": pa.array(bases)})
+
+    ranges = -(-n // ENTRIES_EACH)
+    return spark.range(0, n, ENTRIES_EACH, max(1, min(ranges, MOST_TASKS))).mapInArrow(run, "offset long, segment_base long").select(F.lit(topic).alias("topic"), "offset", "segment_base")
 
 
 def scan_facts(spark: SparkSession, path: str) -> DataFrame:

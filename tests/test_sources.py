@@ -275,3 +275,15 @@ def test_lookups_open_only_row_groups_that_may_hold_an_id(spark, tmp_path):
     assert sorted(got) == some and all(abs(v[0] / v[1] - (i % 91 + 1)) < 1e-3 for i, v in got.items())
     assert sorted(r["doc_id"] for r in T.contains(spark, path, wanted).collect()) == some
     assert T.lookup(spark, path, wanted.where("doc_id < 0")).isEmpty()
+
+
+def test_the_message_index_is_read_over_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "ENTRIES_EACH", 7)
+    S.write_topic(topic_rows(spark, 95, 10), str(tmp_path))
+    got = S.scan_global_index(spark, str(tmp_path), "t")
+    assert got.rdd.getNumPartitions() == 14 and sorted(map(tuple, got.collect())) == [("t", k, k // 10 * 10) for k in range(95)]
+    assert S.scan_global_index(spark, str(tmp_path), "none").isEmpty()
+
+
+def test_files_are_dealt_by_number_and_bytes():
+    assert S._tasks(0) == S._tasks(1) == 1 and S._tasks(1_000, 0) == 16 and S._tasks(3, 64 << 30) == 3 and S._tasks(10_000, 64 << 30) == 1_024

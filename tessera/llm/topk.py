@@ -23,6 +23,8 @@ from tessera.llm._shared import discard, named, new_path, stored, workspace
 
 #: Vectors of a block, queries that meet it at once, and dimensions of a slab.
 BLOCK, QUERIES, SLAB = 1_024, 512, 16
+#: Components of blocks that a task holds open, one block a length; beyond, they are closed as they are.
+OPEN = 1 << 23
 #: The first round has one block of so many of every partition; pairs are carried singly when this share of them survives.
 FIRST, FEW = 16, 1 / 16
 _BLOCKS = "serial long, dim int, first boolean, ids binary, asks binary, order binary, width int, slabs binary"
@@ -147,6 +149,9 @@ def to_blocks(rows: DataFrame) -> DataFrame:
                     at = end
                     if sum(len(i) for i, _, _ in own) == BLOCK:
                         yield full(dim)
+            if sum(x.size for rows in held.values() for _, x, _ in rows) > OPEN:
+                for dim in sorted(held):
+                    yield full(dim)
         for dim in sorted(held):
             yield full(dim)
 

@@ -44,7 +44,7 @@ def brute_top(rows, k=5, scale=256):
 
 @pytest.mark.parametrize(("block", "slab", "few"), [(16, 3, 1 / 16), (64, 5, 0.0), (1024, 16, 1.0)])
 def test_top_k(spark, monkeypatch, block, slab, few):
-    for name, value in {"BLOCK": block, "SLAB": slab, "FEW": few, "QUERIES": 7, "FIRST": 3}.items():
+    for name, value in {"BLOCK": block, "SLAB": slab, "FEW": few, "QUERIES": 7, "FIRST": 3, "OPEN": 12 * 40}.items():
         monkeypatch.setattr(topk, name, value)
     x = sample(np.random.default_rng(block), 12, 700)
     rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]

@@ -26,6 +26,8 @@ from tessera.llm.graph import components
 
 #: Vectors in a block, most in a leaf, and those at which a leaf is split no more; principal axes, and those of the grid; most groups of blocks.
 BLOCK, LEAF, LEAST, AXES, GRID, GROUPS = 4_096, 256, 32, 24, 8, 128
+#: Least blocks of a share of the sequence, if it can have them; most tasks that pairs of shares are dealt to.
+SHARE, PAIR_TASKS = 8, 1_024
 #: Most dimensions whose whole covariance is summed.
 WHOLE = 256
 #: Allowances for single-precision outlooks: in their products and in squared distances of boxes.
@@ -221,8 +223,8 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.ndar
 
 
 def leaves_of(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """``block, leaf, part, dim, size, lo, hi, reps, copies, near, data``: the classes ``(rep, n, payload, dim)`` in grid
-    order, cut into blocks and leaves; ``part`` is the share of the sequence that the block lies in."""
+    """``block, leaf, dim, size, lo, hi, reps, copies, near, data``: the classes ``(rep, n, payload, dim)`` in grid
+    order, cut into blocks and leaves; a block's number has that of its partition, and so of its place, in front."""
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         dims = np.asarray(batch.column(3))
@@ -235,15 +237,13 @@ def leaves_of(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "near", "cells"])
 
     parts = max(1, -(-classes.count() // (4 * BLOCK)))
-    groups = min(GROUPS, parts)
     # stored: range partitioning looks at its rows twice
     placed = stored(map_batches(classes, place, "rep long, n long, payload binary, dim int, near binary, cells array<int>"), "placed")
     order = ["dim", *(F.get("cells", F.lit(k)) for k in range(GRID)), "rep"]
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("cells")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        serial = partition << 32
+        serial = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
@@ -253,7 +253,7 @@ def leaves_of(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             for k, places in enumerate(arrange(near, eps)):
                 own, box = [held[p] for p in places.tolist()], near[places]
                 rows.append({
-                    "block": serial, "leaf": k, "part": partition * groups // parts, "dim": own[0][3], "size": len(own), "lo": box.min(axis=0).tobytes(), "hi": box.max(axis=0).tobytes(),
+                    "block": serial, "leaf": k, "dim": own[0][3], "size": len(own), "lo": box.min(axis=0).tobytes(), "hi": box.max(axis=0).tobytes(),
                     "reps": np.array([r[0] for r in own], np.int64).tobytes(), "copies": np.array([r[1] for r in own], np.int64).tobytes(), "near": box.tobytes(), "data": b"".join(r[2] for r in own),
                 })
             serial, held = serial + 1, []
@@ -267,10 +267,10 @@ def leaves_of(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
         if held:
             yield emit()
 
-    return stored(ordered.mapInArrow(cut, "block long, leaf int, part int, dim int, size int, lo binary, hi binary, reps binary, copies binary, near binary, data binary"), "leaves")
+    return stored(ordered.mapInArrow(cut, "block long, leaf int, dim int, size int, lo binary, hi binary, reps binary, copies binary, near binary, data binary"), "leaves")
 
 
-_LEAF_SCHEMA = pa.schema([("block", pa.int64()), *((c, pa.int32()) for c in ("leaf", "part", "dim", "size")), *((c, pa.binary()) for c in ("lo", "hi", "reps", "copies", "near", "data"))])
+_LEAF_SCHEMA = pa.schema([("block", pa.int64()), *((c, pa.int32()) for c in ("leaf", "dim", "size")), *((c, pa.binary()) for c in ("lo", "hi", "reps", "copies", "near", "data"))])
 
 
 def _near_pairs(left: pa.Table, right: pa.Table, own: bool, eps2: float) -> Iterator[pa.RecordBatch]:
@@ -310,14 +310,18 @@ def near_leaves(leaves: DataFrame, eps: float) -> DataFrame:
         })
 
     path = new_path(spark, "boxes")
-    made = leaves.select("block", "leaf", "part", "dim", "lo", "hi").groupBy("block").applyInArrow(boxes, "block long, part int, dim int, lo binary, hi binary, least array<float>, most array<float>")
+    # shares of the partitions there are, for a few blocks each
+    size = leaves.agg(F.coalesce(F.max(F.shiftright("block", 32)), F.lit(0)).alias("last"), F.count_if(F.col("leaf") == 0).alias("blocks")).first()
+    groups = max(1, min(GROUPS, -(-size["blocks"] // SHARE)))
+    part = F.floor(F.shiftright("block", 32) * groups / (size["last"] + 1)).cast("int")
+    made = leaves.select("block", "leaf", part.alias("part"), "dim", "lo", "hi").groupBy("block").applyInArrow(boxes, "block long, part int, dim int, lo binary, hi binary, least array<float>, most array<float>")
     made.repartition("part").write.partitionBy("part").parquet(path)  # a folder a share
     blocks = spark.read.parquet(path)
     each = lambda f, name: F.array(*(f(F.get(name, F.lit(k))) for k in range(AXES + 1))).alias(name)
     parts = sorted(tuple(r) for r in blocks.groupBy("part").agg(each(F.min, "least"), each(F.max, "most")).collect())
     lo, hi = np.array([p[1] for p in parts]).reshape(-1, AXES + 1), np.array([p[2] for p in parts]).reshape(-1, AXES + 1)
     close = np.argwhere(np.triu(_apart(lo[:, None], hi[:, None], lo, hi) <= eps2)) if parts else []
-    pairs = spark.createDataFrame([(parts[i][0], parts[j][0]) for i, j in close], "g int, h int").repartition(max(1, len(close)))
+    pairs = spark.createDataFrame([(parts[i][0], parts[j][0]) for i, j in close], "g int, h int").repartition(max(1, min(len(close), PAIR_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = fs.FileSystem.from_uri(path)

@@ -49,8 +49,9 @@ def presence(text: str) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-#: Entries of the dense factor that a block of a product gathers, and landmarks whose presence is dense at once.
-_GATHERED, _LANDMARKS = 1 << 22, 256
+#: Entries of the dense factor that a block of a product gathers, and landmarks whose presence is dense at once. Both are
+#: 8 MB, as the model is fitted on the driver; any other numbers give the same model but for rounding.
+_GATHERED, _LANDMARKS = 1 << 20, 32
 
 
 def times(rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:

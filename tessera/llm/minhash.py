@@ -260,8 +260,8 @@ def _links(docs: DataFrame, id_col: str, text: str, words_each: int, percent: in
     """``(node, component)`` of the classes ``(rep, id, text_key, n, bands, sketch)`` that are linked with another."""
     placed = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("band", "value", "rep")
     met = stored(placed.repartitionByRange("band", "value", "rep").sortWithinPartitions("band", "value", "rep").mapInArrow(_segments, "band int, value long, seg long, rep long, center long, edge boolean"), "met")
-    first = met.where("edge").groupBy("band", "value").agg(F.min("center").alias("u"))  # two rows a cut
-    across = met.where("edge").select("band", "value", F.col("center").alias("v")).join(first, ["band", "value"]).where("u != v").select("u", "v")
+    # two rows a cut, so no value has more of them than twice the number of cuts
+    across = met.where("edge").groupBy("band", "value").agg(F.min("center").alias("u"), F.collect_set("center").alias("vs")).select("u", F.explode("vs").alias("v")).where("u != v")
     stars = met.where("rep != center").select(F.col("center").alias("u"), F.col("rep").alias("v")).unionByName(across).distinct()
     short = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
     likely = stored(_likely(stars.join(short("v"), "v").join(short("u"), "u"), percent), "likely")

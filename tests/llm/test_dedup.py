@@ -33,6 +33,33 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
+def test_components_of_stars_in_few_tasks(spark):
+    """Every task takes driver's memory: stars are told from others without a round, and a round has five exchanges."""
+    sc = spark.sparkContext
+
+    def tasks(edges):
+        group = f"components of {len(edges)}"
+        sc.setLocalProperty("spark.jobGroup.id", group)
+        got = {r["node"]: r["component"] for r in graph.components(edges_of(edges)).collect()}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert got == roots({n for e in edges for n in e}, edges)
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+
+    edges_of = lambda edges: spark.createDataFrame(edges, "u long, v long").repartition(3)
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 20)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        stars = tasks([(c, c + k) for c in range(0, 1000, 100) for k in range(1, 40)])
+        chain = tasks([(k, k + 1) for k in range(30)])
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert stars <= 120 and chain <= 650
+
+
 def shingles(text, n):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()

@@ -427,3 +427,20 @@ def test_html_held_out_and_messages():
     prob, expected, score = html.marginals(nodes, unary, pair)
     assert prob == pytest.approx([sum(w for y, w in weight.items() if y[k]) / total for k in range(4)]) and score == pytest.approx(log(total))
     assert expected[1][1] == pytest.approx(sum(w * sum(y[n.parent] and y[k] for k, n in enumerate(nodes) if k) for y, w in weight.items()) / total)
+
+
+def test_fit_takes_little_memory():
+    """The driver fits the model beside all else that it holds."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sample = [("abcd"[k % 4], np.flatnonzero(rng.random(language.COLUMNS) < 0.03)) for k in range(600)]
+    tracemalloc.start()
+    try:
+        model = language.fit(sample)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ("a", "b", "c", "d") and most < 40e6
